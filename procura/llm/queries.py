@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, gif_media, packing, simhash
+from . import ann, bpe, gif_media, packing, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op4_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def owner_and_repository() -> tuple[Column, Column]:
+    """The owner of a document is its source; each language of a source is a repository."""
+    return F.col("source"), F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))
+
+
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"), *owner_and_repository())
+
+
 def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +44,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op2_simhash, op4_block_matrix_neighbours, op6_hierarchical_packing, op9_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_gif_media, op2_simhash, op4_block_matrix_neighbours, op5_secret_ownership, op6_hierarchical_packing, op9_bpe_round_trip)}
 
 
 OP4_SQL = """
@@ -54,5 +63,42 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def secrets_sql() -> str:
+    def matches(kind: int, pattern: str, group: int) -> str:
+        e = "'" + pattern.replace("'", "''") + "'"
+        return f"""
+    SELECT rid, owner, repository, {kind} AS kind, i, length(gaps[i]) AS gap, length(raws[i]) AS n, vals[i] AS value
+    FROM (SELECT *, regexp_split_to_array(t, {e}) AS gaps, regexp_extract_all(t, {e}, 0) AS raws, regexp_extract_all(t, {e}, {group}) AS vals
+          FROM d WHERE regexp_matches(t, {e})), unnest(range(1, len(raws) + 1)) AS u(i)"""
+
+    found = " UNION ALL ".join(matches(k, *secrets.PATTERNS[name]) for k, name in enumerate(secrets.KINDS))
+    text = "concat(CASE kind " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(secrets.KINDS)) + " END, ':', \"start\", ':', \"end\")"
+    return f"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner,
+           concat(coalesce(source, ''), '/', coalesce(lang, '')) AS repository
+    FROM documents),
+f AS ({found}),
+p AS (
+    SELECT *, CAST(sum(gap + n) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS "end", md5(value) AS h FROM f),
+g AS (
+    SELECT *, "end" - n AS "start" FROM p
+    WHERE (kind = 0 AND length(value) >= {secrets.ASSIGNED}) OR kind IN (1, 2)
+       OR (kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]'))),
+o AS (SELECT h, count(DISTINCT owner) AS owners FROM g GROUP BY h),
+s AS (
+    SELECT rid, kind, "start", owners < {secrets.SHARED_FROM} AS live, {text} AS span
+    FROM g JOIN o USING (h) WHERE kind < 3 OR owners < {secrets.SHARED_FROM}),
+a AS (
+    SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+           string_agg(span, ',' ORDER BY "start", kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY "start", kind) AS spans,
+           string_agg(span, ',' ORDER BY "start", kind) FILTER (live) AS live_spans, string_agg(span, ',' ORDER BY "start", kind) FILTER (NOT live) AS example_spans
+    FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live_spans, '') AS live_spans, coalesce(example_spans, '') AS example_spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_matrix_neighbours": OP4_SQL}
+    return {"op4_block_matrix_neighbours": OP4_SQL, "op5_secret_ownership": secrets_sql()}
