@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, gif_media, packing, secrets, simhash
+from . import ann, bpe, gif_media, packing, quality, secrets, simhash, toxicity
+from .common import crc_bucket
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket = crc_bucket(F.col("doc_id"), 4)
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket != 2)
+    return scored.select("doc_id", (bucket == 2).alias("held_out"), "score", "predicted", "offending")
+
+
 def op4_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -43,8 +50,14 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket = crc_bucket(F.col("doc_id"), 5)
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket != 0)
+    return scored.select("doc_id", (bucket == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op2_simhash, op4_block_matrix_neighbours, op5_secret_ownership, op6_hierarchical_packing, op9_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_gif_media, op2_simhash, op3_toxicity, op4_block_matrix_neighbours, op5_secret_ownership, op6_hierarchical_packing, op9_bpe_round_trip, op10_positive_unlabelled_quality)}
 
 
 OP4_SQL = """
