@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, gif_media, packing, quality, secrets, simhash, toxicity
+from . import ann, bpe, gif_media, html_text, packing, quality, secrets, simhash, suffix_dedup, toxicity
 from .common import crc_bucket
 
 
@@ -46,6 +46,14 @@ def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -57,7 +65,7 @@ def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op2_simhash, op3_toxicity, op4_block_matrix_neighbours, op5_secret_ownership, op6_hierarchical_packing, op9_bpe_round_trip, op10_positive_unlabelled_quality)}
+    return {f.__name__: f for f in (op1_gif_media, op2_simhash, op3_toxicity, op4_block_matrix_neighbours, op5_secret_ownership, op6_hierarchical_packing, op7_consensus_html, op8_suffix_runs, op9_bpe_round_trip, op10_positive_unlabelled_quality)}
 
 
 OP4_SQL = """
