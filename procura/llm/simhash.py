@@ -134,12 +134,41 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def classes(prints: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """(fp, root) of a table with column fp: fingerprints of one root can reach each other."""
+    distinct = written(prints.select("fp").distinct())
+    roots = components(links(distinct, radius, chunk))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Per document its fingerprint and the smallest doc_id that can be reached by links."""
     prints = written(fingerprints(df, id_col, text_col, words))
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, radius, chunk))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = written(classes(prints, radius, chunk).join(least, "fp"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_print = rooted.join(named, "root").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """The rows and columns of one document of each class: that of the smallest doc_id, a null id last.
+
+    Of rows that agree in doc_id and text one stays.
+    """
+    key = "__simhash_key"
+    mark = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    keyed = df.withColumn(key, mark)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        prints = np.array([fingerprint(t, words) for t in part.column("text").to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(prints.view(np.int64))], names=["doc_id", "key", "fp"])
+
+    texts = keyed.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(key).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    prints = written(map_slices(texts, run, "doc_id bigint, key string, fp bigint"))
+    # the first of each fingerprint, then of each class: neither gathers a class
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
+    firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    chosen = classes(prints, radius, chunk).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = chosen.select(F.col("first.key").alias(key))
+    return keyed.join(kept, key).dropDuplicates([key]).select(*df.columns)

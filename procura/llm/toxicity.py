@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_slices
+from .common import documents, map_slices, slices
 from .training import Adam, sample, sigmoid, softplus
 
 PER_LABEL = {1: 3000, 0: 6000}
@@ -146,13 +146,34 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         rows = []
         for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
             found = sentence_scores(text, held[0], bias) or [(0, 0, bias)]
-            total = float(softplus(np.array([z for _, _, z in found])).sum())
+            total = sum_of([z for _, _, z in found])
             rows.append({"doc_id": key, "score": -math.expm1(-total), "n_sentences": len(found), "offending": [{"start": s, "end": e, "score": 1 / (1 + math.exp(-z))} for s, e, z in found if z >= threshold]})
         return pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return map_slices(documents(df, id_col, text_col), run, SCHEMA)
 
 
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows and columns of documents that score below the threshold; no shuffle."""
+    bias, at = model.bias, df.columns.index(text_col)
+    held: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            held.append(model.scorer())
+        for batch in batches:
+            for part in slices(batch):
+                totals = [sum_of([z for _, _, z in sentence_scores(t or "", held[0], bias)] or [bias]) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([-math.expm1(-t) < threshold for t in totals], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def sum_of(logits: list[float]) -> float:
+    """-log(1 - P) of a document."""
+    return float(softplus(np.array(logits)).sum())
+
+
 def classify(df: DataFrame, labels: DataFrame, only: Column, **options) -> DataFrame:
     """Trains on the labelled rows that `only` admits and scores all rows."""
     return score(df, train(documents(df), labels, only=only, **options)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
