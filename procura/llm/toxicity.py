@@ -30,8 +30,9 @@ from .training import Adam, sample, sigmoid, softplus
 PER_LABEL = {1: 3000, 0: 6000}
 MAX_CHARS = 20_000
 VOCABULARY = 50_000
-MIN_DOCUMENTS = 5
+MIN_DOCUMENTS = 4
 MIN_LOG_ODDS = 0.7
+MIN_DEVIATES = 2.0
 THRESHOLD = 0.3
 #: Words that a worker remembers the weight of.
 CACHE = 1 << 19
@@ -90,7 +91,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", only: Co
         return Model(bias=30.0 if share else -30.0)
     seen = rows.mapInArrow(words, "feature string, y int").groupBy("feature").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (kinds[1] + 1)) - F.log((F.col("neg") + 0.5) / (kinds[0] + 1))
-    vocabulary = seen.where(F.col("pos") + F.col("neg") >= MIN_DOCUMENTS).withColumn("odds", odds).where(F.abs("odds") >= MIN_LOG_ODDS).orderBy(F.abs("odds").desc(), "feature").limit(VOCABULARY).collect()
+    pooled = (F.col("pos") + F.col("neg")) / (kinds[1] + kinds[0])
+    deviates = F.abs(F.col("pos") / kinds[1] - F.col("neg") / kinds[0]) / F.sqrt(pooled * (1 - pooled) * (1 / kinds[1] + 1 / kinds[0]) + 1e-12)
+    vocabulary = seen.where((F.col("pos") + F.col("neg") >= MIN_DOCUMENTS) & (deviates >= MIN_DEVIATES)).withColumn("odds", odds).where(F.abs("odds") >= MIN_LOG_ODDS).orderBy(F.abs("odds").desc(), "feature").limit(VOCABULARY).collect()
     index = {r["feature"]: i for i, r in enumerate(vocabulary)}
     start = np.array([r["odds"] for r in vocabulary])
 
@@ -127,7 +130,7 @@ def fit(found: pa.Table, y: np.ndarray, worth: np.ndarray, start: np.ndarray, na
         p = -np.expm1(-not_any)
         pull = worth * np.where(y == 1, -np.exp(-not_any) / np.maximum(p, 1e-9), 1.0) / len(y)
         dz = pull[doc] * sigmoid(z)
-        adam.step([w, b], [np.bincount(ids, weights=dz[sentence], minlength=len(w)) + 1e-5 * w, np.array([dz.sum()])])
+        adam.step([w, b], [np.bincount(ids, weights=dz[sentence], minlength=len(w)) + 5e-5 * w, np.array([dz.sum()])])
     return Model(dict(zip(names, w.tolist(), strict=True)), float(b[0]))
 
 
