@@ -85,7 +85,7 @@ def matrix(table: pa.Table) -> np.ndarray:
     return table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
 
 
-def descend(x_p: np.ndarray, x_u: np.ndarray, prior: float | None, rounds: int, seed: int) -> list[np.ndarray]:
+def descend(x_p: np.ndarray, x_u: np.ndarray, prior: float | None, rounds: int, seed: int, decay: float) -> list[np.ndarray]:
     """The non-negative risk if a prior is given, else the plain one of positives against unlabelled rows."""
     random = np.random.default_rng(seed)
     layers = [random.normal(0, 0.3, (x_p.shape[1], HIDDEN)), np.zeros(HIDDEN), random.normal(0, 0.3, HIDDEN), np.zeros(1)]
@@ -107,7 +107,7 @@ def descend(x_p: np.ndarray, x_u: np.ndarray, prior: float | None, rounds: int,
             else:  # the risk of negatives has gone below zero: go back up
                 slope[:n_p], slope[n_p:] = prior * down[:n_p] / n_p, -down[n_p:] / n_u
         dh = slope[:, None] * w2 * (1 - h * h)
-        adam.step(layers, [x.T @ dh + 1e-5 * w1, dh.sum(axis=0), h.T @ slope + 1e-5 * w2, np.array([slope.sum()])])
+        adam.step(layers, [x.T @ dh + decay * w1, dh.sum(axis=0), h.T @ slope + decay * w2, np.array([slope.sum()])])
     return layers
 
 
@@ -119,7 +119,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip((above_u / np.maximum(above_p, 1e-9)).min(), 0.05, 0.99))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", only: Column | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, max_chars: int = MAX_CHARS, rounds: int = 400) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", only: Column | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, max_chars: int = MAX_CHARS, rounds: int = 200) -> Model:
     """Fits the network; `only` is a predicate over doc_id that both samples obey."""
     only = F.lit(True) if only is None else only
     p = matrix(described(sample(docs, labels, label_col, only, {1: positives}, max_chars), ["doc_id"]).toArrow())
@@ -132,9 +132,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", only:
         return Model(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), np.full(1, 30.0)], 1.0)
     mean, spread = u.mean(axis=0), u.std(axis=0) + 1e-3
     scaled = [np.clip((x - mean) / spread, -8, 8) for x in (p, u)]
-    plain = Model(mean, spread, descend(*scaled, None, rounds // 2, 1), 0.0)
-    prior = estimate_prior(plain.logit(p), plain.logit(u))
-    return Model(mean, spread, descend(*scaled, prior, rounds, 2), prior)
+    return Model(mean, spread, descend(*scaled, prior := cross_fitted_prior(p, u, scaled, mean, spread, rounds), rounds, 2, 3e-3), prior)
+
+
+def cross_fitted_prior(p: np.ndarray, u: np.ndarray, scaled: list[np.ndarray], mean: np.ndarray, spread: np.ndarray, rounds: int) -> float:
+    """Mean of two estimates, each on the half that its classifier has not seen."""
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        plain = Model(mean, spread, descend(scaled[0][half::2], scaled[1][half::2], None, rounds, 1, 1e-2), 0.0)
+        found.append(estimate_prior(plain.logit(p[1 - half :: 2]), plain.logit(u[1 - half :: 2])))
+    return float(np.mean(found))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
