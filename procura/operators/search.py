@@ -1,0 +1,131 @@
+"""Full-text search, highlighting and snippets."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+#: Weights of fields, and what is blank in a query.
+WEIGHTS = {"title": 1.0, "description": 0.4}
+SPECIAL = "&|!():*<>'\\"
+MARK = ("<mark>", "</mark>")
+CONTEXT, LENGTH, SNIPPETS, DOTS = 30, 150, 3, "..."
+
+
+def normalise(query: str | None) -> list[str]:
+    """Terms of a query; raises ValueError for none at all, and a blank query has no terms."""
+    if query is None:
+        raise ValueError("no query")
+    for sign in SPECIAL:
+        query = query.replace(sign, " ")
+    return query.lower().split()
+
+
+def tokens(column: str) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"(?U)[^\w-]+"), lambda t: t != "")
+
+
+def ranked(df: DataFrame, query: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """Rows that hold every term as a word, with a rank: weighted shares of matching words. No terms, no rows."""
+    terms, weights = normalise(query), WEIGHTS if weights is None else weights
+    if not terms:
+        return df.where(F.lit(False)).withColumn("rank", F.lit(0.0))
+    words = {c: tokens(c) for c in weights}
+    every = F.concat(*words.values())
+    wanted = F.array(*map(F.lit, sorted(set(terms))))
+    hit = F.size(F.array_except(wanted, every)) == 0
+    rank = sum((F.size(F.filter(w, lambda t: F.array_contains(wanted, t))) / (F.size(w) + 1) * weights[c] for c, w in words.items()), F.lit(0.0))
+    return df.where(hit).withColumn("rank", F.round(rank, 6))
+
+
+def any_term(df: DataFrame, query: str, fields: tuple[str, ...] = ("title", "description")) -> DataFrame:
+    """Rows in which any term stands as text, with relevance 1."""
+    found = F.lit(False)
+    for term in normalise(query):
+        for field in fields:
+            found = found | F.lower(F.col(field)).contains(term)
+    return df.where(found).withColumn("relevance", F.lit(1.0))
+
+
+def escaped(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def highlight(c: Column, words: list[str], tags: tuple[str, str] = MARK) -> Column:
+    """Text escaped for markup with the words tagged, the longest first, whatever their case."""
+    words = sorted((w for w in words if w), key=len, reverse=True)
+    text = escaped(F.coalesce(c, F.lit("")))
+    if not words:
+        return text
+    return F.regexp_replace(text, "(?iu)(" + "|".join(re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", w) for w in words) + ")", f"{tags[0]}$1{tags[1]}")
+
+
+def spans(text: str, words: list[str]) -> list[tuple[int, int, str]]:
+    """(start, end, text) of every occurrence of every word, by start."""
+    found = [(m.start(), m.end(), m.group()) for w in words if w for m in re.finditer(re.escape(w), text, re.IGNORECASE)]
+    return sorted(found, key=lambda s: s[0])
+
+
+def cut(text: str, length: int = LENGTH, dots: str = DOTS) -> str:
+    """At most length characters, cut at a blank where one stands in the last fifth."""
+    if len(text) <= length:
+        return text
+    head = text[: length - len(dots)]
+    blank = head.rfind(" ")
+    return (head[:blank] if blank > length * 0.8 else head) + dots
+
+
+def snippet_of(text: str, words: list[str], context: int = CONTEXT, length: int = LENGTH, most: int = SNIPPETS, dots: str = DOTS) -> str:
+    """Surroundings of the first occurrences that don't overlap, joined by dots."""
+    if not text:
+        return ""
+    found = spans(text, words)
+    if not found:
+        return text if len(text) <= length else text[: length - len(dots)] + dots
+    parts: list[tuple[int, int]] = []
+    for start, end, _ in found:
+        if len(parts) == most:
+            break
+        low, high = max(0, start - context), min(len(text), end + context)
+        if all(high <= a or low >= b for a, b in parts):
+            parts.append((low, high))
+    parts.sort()
+    joined = dots.join(text[a:b] for a, b in parts)
+    joined = (dots if parts[0][0] > 0 else "") + joined + (dots if parts[-1][1] < len(text) else "")
+    return cut(joined, length, dots)
+
+
+def snippet(c: Column, words: list[str], **options) -> Column:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: snippet_of(t or "", words, **options))
+
+    return F.pandas_udf(run, StringType())(c)
+
+
+POSITIONS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())]))
+
+
+def positions(c: Column, words: list[str]) -> Column:
+    """Array of (start, end, text) of the words in a text."""
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: [{"start": s, "end": e, "text": x} for s, e, x in spans(t or "", words)])
+
+    return F.pandas_udf(run, POSITIONS)(c)
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility form of a text, for which there is no builtin."""
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.str.normalize("NFKC")
+
+    return F.pandas_udf(run, StringType())(c)
