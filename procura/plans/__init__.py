@@ -1,6 +1,6 @@
 """All queries of the library by name, and their SQL."""
 
-from . import dashboards
+from . import dashboards, opportunities
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "dashboards"]
+__all__ = ["ORACLE", "QUERIES", "dashboards", "opportunities"]
