@@ -58,7 +58,7 @@ def tumbling(df: DataFrame, ts: str, size: str, failed: Column) -> DataFrame:
     return df.groupBy(F.window(ts, size).alias("w")).agg(n(~failed, "success"), n(failed, "failure")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "success", "failure")
 
 
-def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int) -> Column:
+def trailing(keys: list[str], ts: str, seconds: int) -> Column:
     """Rows of the same keys in the seconds up to and with a row."""
     return F.count(F.lit(1)).over(W.partitionBy(*keys).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0))
 

@@ -1,6 +1,6 @@
 """All queries of the library by name, and their SQL."""
 
-from . import dashboards, opportunities
+from . import dashboards, matching, monitoring, opportunities
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "dashboards", "opportunities"]
+__all__ = ["ORACLE", "QUERIES", "dashboards", "matching", "monitoring", "opportunities"]

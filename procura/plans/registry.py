@@ -21,8 +21,9 @@ def query(sql: str | None = None, ctes: str = "") -> Callable[[Query], Query]:
         QUERIES[fn.__name__] = fn
         if sql:
             own = [text for name, text in (("bids", BIDS_SQL), ("wins", WINS_SQL)) if re.search(rf"\b{name}\b", sql + ctes)]
-            parts = [*own, *([ctes] if ctes else [])]
-            ORACLE[fn.__name__] = (("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql).replace(":as_of", f"TIMESTAMP '{AS_OF}'")
+            recursive, more = ("RECURSIVE ", ctes.removeprefix("RECURSIVE ")) if ctes.startswith("RECURSIVE ") else ("", ctes)
+            parts = [*own, *([more] if more else [])]
+            ORACLE[fn.__name__] = ((f"WITH {recursive}" + ",\n".join(parts) + "\n" if parts else "") + sql).replace(":as_of", f"TIMESTAMP '{AS_OF}'")
         return fn
 
     return register
