@@ -132,7 +132,7 @@ hits AS (SELECT name, severity, cooldown, epoch_us(ts) AS "at", value, row_numbe
 fired AS (SELECT * FROM hits WHERE r = 1 UNION ALL SELECT n.* FROM (SELECT f.name AS fname, min(h.r) AS next FROM fired f JOIN hits h ON h.name = f.name AND h.r > f.r AND h."at" - f."at" >= CAST(f.cooldown AS BIGINT) * 1000000 GROUP BY f.name, f.r) x JOIN hits n ON n.name = x.fname AND n.r = x.next)"""
 
 
-@query("SELECT name, severity, "at", CAST(value AS DOUBLE) AS value FROM fired", "RECURSIVE " + FIRINGS)
+@query('SELECT name, severity, "at", CAST(value AS DOUBLE) AS value FROM fired', "RECURSIVE " + FIRINGS)
 def r6_alert_firings(spark, sf_dir):
     """Threshold rules with their cooldowns."""
     return monitoring.alerts(events(spark, sf_dir).withColumnRenamed("event_type", "metric"), list(RULES))
