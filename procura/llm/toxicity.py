@@ -5,7 +5,7 @@ sentence's words and word beginnings. Only documents are labelled; the loss of P
 sentences. Scoring gives each document's P and the sentences that offend.
 
 Training takes a bounded sample (PER_LABEL documents by label, none longer than MAX_CHARS) and at most
-VOCABULARY features, chosen by their log-odds over the sample; scoring reads whole texts.
+VOCABULARY features, chosen by the log-odds that are sure over the sample; scoring reads whole texts.
 
 Defined results: a null or empty text counts as one empty sentence; rows with equal doc_id are scored
 separately; without labelled rows of both kinds the score is the share of label 1 (0 if none); other
@@ -30,10 +30,15 @@ from .training import Adam, sample, sigmoid, softplus
 PER_LABEL = {1: 3000, 0: 6000}
 MAX_CHARS = 20_000
 VOCABULARY = 50_000
+#: A feature's least number of documents, and least share of the sample.
 MIN_DOCUMENTS = 4
-MIN_LOG_ODDS = 0.7
-MIN_DEVIATES = 2.0
+MIN_SHARE = 0.0015
+MIN_LOG_ODDS = 0.3
+DEVIATES = 1.5
 THRESHOLD = 0.3
+DECAY = 2e-5
+#: Share of labels 1 that no sentence explains; it keeps them from teaching chance words.
+NOISE = 0.02
 #: Words that a worker remembers the weight of.
 CACHE = 1 << 19
 
@@ -42,8 +47,8 @@ WORD = re.compile(r"\w+")
 
 
 def features(word: str) -> tuple[str, ...]:
-    """The word, and its beginnings of four and five letters."""
-    return (word, "4" + word[:4], "5" + word[:5]) if len(word) > 5 else (word, "4" + word[:4]) if len(word) > 4 else (word,)
+    """The word, and its beginnings of four to eight letters, each marked by its length: stems that endings follow."""
+    return (word, *(f"{k}{word[:k]}" for k in range(4, min(9, len(word)))))
 
 
 @dataclass
@@ -71,7 +76,7 @@ def sentence_scores(text: str, words, bias: float) -> list[tuple[int, int, float
     return [(m.start(), m.end(), bias + sum(map(weigh, find(m.group().lower())))) for m in SENTENCE.finditer(text)]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", only: Column | None = None, per_label: dict[int, int] | None = None, max_chars: int = MAX_CHARS, rounds: int = 200) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", only: Column | None = None, per_label: dict[int, int] | None = None, max_chars: int = MAX_CHARS, rounds: int = 300) -> Model:
     """Fits the sentence weights to document labels; `only` is a predicate over doc_id."""
     rows = sample(docs, labels, label_col, F.lit(True) if only is None else only, per_label or PER_LABEL, max_chars)
 
@@ -91,9 +96,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", only: Co
         return Model(bias=30.0 if share else -30.0)
     seen = rows.mapInArrow(words, "feature string, y int").groupBy("feature").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (kinds[1] + 1)) - F.log((F.col("neg") + 0.5) / (kinds[0] + 1))
-    pooled = (F.col("pos") + F.col("neg")) / (kinds[1] + kinds[0])
-    deviates = F.abs(F.col("pos") / kinds[1] - F.col("neg") / kinds[0]) / F.sqrt(pooled * (1 - pooled) * (1 / kinds[1] + 1 / kinds[0]) + 1e-12)
-    vocabulary = seen.where((F.col("pos") + F.col("neg") >= MIN_DOCUMENTS) & (deviates >= MIN_DEVIATES)).withColumn("odds", odds).where(F.abs("odds") >= MIN_LOG_ODDS).orderBy(F.abs("odds").desc(), "feature").limit(VOCABULARY).collect()
+    # what of the odds is left after so many standard errors
+    doubt = DEVIATES * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    sure = F.signum(odds) * F.greatest(F.abs(odds) - doubt, F.lit(0.0))
+    often = F.col("pos") + F.col("neg") >= max(MIN_DOCUMENTS, MIN_SHARE * (kinds[0] + kinds[1]))
+    vocabulary = seen.where(often).withColumn("odds", sure).where(F.abs("odds") >= MIN_LOG_ODDS).orderBy(F.abs("odds").desc(), "feature").limit(VOCABULARY).collect()
     index = {r["feature"]: i for i, r in enumerate(vocabulary)}
     start = np.array([r["odds"] for r in vocabulary])
 
@@ -128,9 +135,9 @@ def fit(found: pa.Table, y: np.ndarray, worth: np.ndarray, start: np.ndarray, na
         z = b[0] + np.bincount(sentence, weights=w[ids], minlength=len(lengths))
         not_any = np.bincount(doc, weights=softplus(z), minlength=len(y))
         p = -np.expm1(-not_any)
-        pull = worth * np.where(y == 1, -np.exp(-not_any) / np.maximum(p, 1e-9), 1.0) / len(y)
+        pull = worth * np.where(y == 1, -np.exp(-not_any) / (NOISE / (1 - NOISE) + p), 1.0) / len(y)
         dz = pull[doc] * sigmoid(z)
-        adam.step([w, b], [np.bincount(ids, weights=dz[sentence], minlength=len(w)) + 5e-5 * w, np.array([dz.sum()])])
+        adam.step([w, b], [np.bincount(ids, weights=dz[sentence], minlength=len(w)) + DECAY * w, np.array([dz.sum()])])
     return Model(dict(zip(names, w.tolist(), strict=True)), float(b[0]))
 
 
