@@ -39,7 +39,7 @@ JUNK_TAGS = frozenset("nav footer aside form head dialog menu button fieldset se
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations pagination pager toolbar widget widgets login skip alert toast copyright".split())
 GOOD_WORDS = frozenset("article content post entry story main body text prose".split())
-CONTAINERS = frozenset("article main section div td body center".split())
+CONTAINERS = frozenset("# html article main section div td body center".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?/][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -67,7 +67,7 @@ class Node:
                 self.junk = bool(words & JUNK_WORDS) or role in JUNK_ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
             self.good = bool(words & GOOD_WORDS) or role in ("main", "article") or found.get("itemprop") == "articleBody"
             first = found.get("class", "").split()
-            self.label = f"{tag}.{DIGITS.sub('#', first[0])}" if first else tag
+            self.label = f"{tag}.{DIGITS.sub('#', first[0]).replace('/', '|')}" if first else tag
         if tag in JUNK_TAGS or (tag == "header" and not (parent and parent.inside)) or (parent and parent.junk):
             self.junk = True
 
@@ -164,10 +164,10 @@ def score(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> tuple[Node,
         if not node.junk:
             plain = max(0.0, len(text) - 2.0 * linked)
             total += plain
-            above = node
-            while above:
-                above.covered += plain
-                above = above.parent
+            node.covered += plain
+    for node in reversed(nodes):  # a parent stands before its children
+        if node.parent:
+            node.parent.covered += node.covered
     best, most = nodes[0], -1.0
     for node in nodes:
         if node.tag in CONTAINERS and not node.junk:
@@ -189,21 +189,16 @@ def extract(page: str, paths: list[str] | None) -> str:
     nodes, blocks = parse(page)
     best, _ = score(nodes, blocks)
     for path in paths or ():
-        there = [n for n in nodes if n.tag in CONTAINERS and not n.junk and n.covered > 0 and n.path() == path]
+        depth = path.count("/")
+        there = [n for n in nodes if n.depth == depth and n.tag in CONTAINERS and not n.junk and n.covered > 0 and n.path() == path]
         if there:
             best = max(there, key=lambda n: n.covered)
             break
-    inside: dict[int, bool] = {id(best): True, 0: False}
-
-    def within(node: Node | None) -> bool:
-        if node is None:
-            return False
-        known = inside.get(id(node))
-        if known is None:
-            known = inside[id(node)] = within(node.parent)
-        return known
-
-    return "\n".join(text for node, text, _ in blocks if not node.junk and within(node))
+    inside = {best}
+    for node in nodes:
+        if node.parent in inside:
+            inside.add(node)
+    return "\n".join(text for node, text, _ in blocks if not node.junk and node in inside)
 
 
 def pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

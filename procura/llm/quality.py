@@ -30,6 +30,8 @@ UNLABELLED = 12_000
 MAX_CHARS = 50_000
 THRESHOLD = 0.3
 HIDDEN = 16
+#: Factor on the estimated prior: one that is too high lets negatives pass, one that is too low costs little.
+CAUTION = 0.98
 
 #: Bytes that are counted together.
 GROUPS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "high": range(128, 256), "space": (32,), "line": (10,), "stop": b".,;:", "loud": b"!?", "sign": b"#$%&*+@^~_=<>\\/", "bar": b"|", "quote": b"\"'()[]{}-"}
@@ -111,12 +113,13 @@ def descend(x_p: np.ndarray, x_u: np.ndarray, prior: float | None, rounds: int,
     return layers
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The least ratio of the shares of unlabelled and positive rows above a score, over scores that leave a tenth of the positives."""
-    cuts = np.quantile(p, np.linspace(0.02, 0.9, 45))
-    above_p = np.array([(p >= c).mean() for c in cuts])
-    above_u = np.array([(u >= c).mean() for c in cuts])
-    return float(np.clip((above_u / np.maximum(above_p, 1e-9)).min(), 0.05, 0.99))
+def estimate_prior(p: np.ndarray, u: np.ndarray, doubt: float = 0.1) -> float:
+    """The ratio of the shares of unlabelled and positive rows above a score, at the score of the least upper bound of that ratio."""
+    cuts = np.quantile(p, np.linspace(0.02, 0.98, 97))
+    above_p = np.maximum(1 - np.searchsorted(np.sort(p), cuts) / len(p), 1e-9)
+    ratio = (1 - np.searchsorted(np.sort(u), cuts) / len(u)) / above_p
+    wide = (np.sqrt(np.log(4 / doubt) / (2 * len(u))) + np.sqrt(np.log(4 / doubt) / (2 * len(p)))) / above_p
+    return float(np.clip(ratio[np.argmin(ratio + wide)], 0.05, 0.99))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", only: Column | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, max_chars: int = MAX_CHARS, rounds: int = 200) -> Model:
@@ -143,7 +146,7 @@ def cross_fitted_prior(p: np.ndarray, u: np.ndarray, scaled: list[np.ndarray], m
     for half in (0, 1):
         plain = Model(mean, spread, descend(scaled[0][half::2], scaled[1][half::2], None, rounds, 1, 1e-2), 0.0)
         found.append(estimate_prior(plain.logit(p[1 - half :: 2]), plain.logit(u[1 - half :: 2])))
-    return float(np.mean(found))
+    return CAUTION * float(np.mean(found))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,5 +162,3 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 def classify(df: DataFrame, labels: DataFrame, only: Column, **options) -> DataFrame:
     """Trains on the rows that `only` admits and scores all rows."""
     return score(df, train(documents(df), labels, only=only, **options)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-
-

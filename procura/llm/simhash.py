@@ -103,7 +103,7 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
     spark = prints.sparkSession
     blocks = radius + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("bits")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    keys = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(-1 if hi - lo == 64 else (1 << (hi - lo)) - 1).alias("bits")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
     dealt = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.block", "k.bits", "fp")
     # at most (radius + 1) * 2 ** ceil(64 / (radius + 1)) rows: 40,960 for a radius of 4
     many = dealt.groupBy("block", "bits").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("n"))
