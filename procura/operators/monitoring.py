@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..streaming import after
 from .stats import n
 
 #: Upper bounds of the duration histogram in seconds, and words of error classes in order.
@@ -107,24 +108,10 @@ def breaker(df: DataFrame, key: str, ts: str, ok: str, failures: int = 5, pause:
     many successes; a call while it is open is rejected and changes nothing.
     """
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state, bad, good, since, out = "closed", 0, 0, 0, []
+        now, bad, good, since, out = "closed", 0, 0, 0, []
         for r in group.sort_values(["at", "place"]).itertuples():
-            rejected = False
-            if state == "open":
-                if r.at - since >= pause * 1e6:
-                    state, good = "half_open", 0
-                else:
-                    rejected = True
-            if not rejected:
-                if r.ok:
-                    bad, good = 0, good + 1
-                    if state == "half_open" and good >= successes:
-                        state = "closed"
-                else:
-                    bad += 1
-                    if state == "half_open" or bad >= failures:
-                        state, since, bad = "open", r.at, 0
-            out.append((r.key, r.place, state, rejected))
+            now, bad, good, since, rejected = after(now, bad, good, since, r.at, r.ok, failures, pause, successes)
+            out.append((r.key, r.place, now, rejected))
         return pd.DataFrame(out, columns=["key", "place", "state", "rejected"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("at"), F.col(ok).alias("ok"), F.col("event_id").alias("place"))

@@ -1,8 +1,9 @@
-"""Similar titles and organisation names: blocked candidate pairs, verified exactly, and clusters.
+"""Similar titles and organisation names: keyed candidate pairs, verified exactly, and clusters.
 
-Names that can reach the threshold share bigrams, so pairs are made only of names that share one of their
-rarest bigrams and whose lengths allow the ratio; pairs that the naming rules bind (a numbered or a sub-unit
-form) share their prefix and are added by it.
+Titles: a ratio of t leaves only so many bigrams of a title unmatched, so one of that many and one more of
+its rarest bigrams stands in every title that is like it; no pair is lost. Names: pairs that share one of
+their rarest bigrams, and those that the naming rules bind: a name that begins with another one, and names
+that are equal without their number.
 """
 
 from __future__ import annotations
@@ -103,34 +104,46 @@ def grams(column: str) -> Column:
 
 
 def candidates(names: DataFrame, column: str, rarest: int = 6) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct texts that share one of their rarest bigrams or their first four letters.
+    """Pairs (a, b), a < b, of distinct texts that share one of their rarest bigrams or are bound by a naming rule.
 
     A bigram's frequency is counted over all texts; each text keeps its `rarest` least frequent ones.
     """
-    name = F.col(column)
-    rows = names.select(name.alias("x")).distinct()
+    rows = names.select(F.col(column).alias("x")).distinct()
     each = rows.select("x", F.explode(grams("x")).alias("g"))
     counts = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(W.partitionBy("x").orderBy("n", "g"))
     kept = each.join(counts, "g").withColumn("place", place).where(F.col("place") <= rarest).select("x", "g")
-    kept = kept.union(rows.select("x", F.concat(F.lit("^"), F.substring("x", 1, 4))))
-    left, right = kept.select(F.col("x").alias("a"), "g"), kept.select(F.col("x").alias("b"), "g")
-    fits = (F.col("a") < F.col("b")) & (F.length("a") <= 3 * F.length("b")) & (F.length("b") <= 3 * F.length("a"))
-    return left.join(right, "g").where(fits).select("a", "b").distinct()
+    by_gram = kept.select(F.col("x").alias("a"), "g").join(kept.select(F.col("x").alias("b"), "g"), "g").where(F.col("a") < F.col("b"))
+    fits = (F.length("a") <= 3 * F.length("b")) & (F.length("b") <= 3 * F.length("a"))
+    begins = rows.where(F.length("x") > 1).select(F.col("x").alias("b"), F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring("x", F.lit(1), i))).alias("a"))
+    bare = F.col("x")
+    for number in NUMBERED:
+        bare = F.regexp_replace(bare, number, "")
+    plain = rows.select("x", bare.alias("bare")).where("x != bare and bare != ''")
+    bound = begins.join(rows.select(F.col("x").alias("a")), "a").select("a", "b").union(plain.join(rows.select(F.col("x").alias("y")), F.col("bare") == F.col("y")).select("x", "y"))
+    ordered = bound.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return by_gram.where(fits).select("a", "b").union(ordered).distinct()
 
 
 def known_titles(news: DataFrame, stored: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
-    """Titles of news that are like a stored one: title, stored title, similarity of the best one."""
-    t, s = news.select("title").distinct(), stored.select(F.col("title").alias("other")).distinct()
+    """Titles of news that are like a stored one: title, stored title, similarity of the best one.
+
+    With n and m letters and M of them matched, at most 2 (n - M) + (m - M) bigrams of a title are not in
+    the other one; M >= threshold (n + m) / 2 and the shortest m bound that by `loss`. Texts without bigrams
+    are like nothing but themselves.
+    """
+    loss = (2 - 1.5 * threshold) + (1 - 1.5 * threshold) * (threshold / (2 - threshold) if threshold > 2 / 3 else (2 - threshold) / threshold)
 
     def keyed(df: DataFrame, column: str) -> DataFrame:
         form = F.lower(F.regexp_replace(F.regexp_replace(F.col(column), r"(?U)\s+", ""), PUNCTUATION, ""))
-        return df.withColumn(f"{column}_form", form).select("*", F.explode(grams(f"{column}_form")).alias("g"))
+        return df.where(F.col(column).isNotNull()).distinct().withColumn(f"{column}_form", form).select("*", F.explode(grams(f"{column}_form")).alias("g"))
 
-    a, b = keyed(t, "title"), keyed(s, "other")
+    a, b = keyed(news.select("title"), "title"), keyed(stored.select(F.col("title").alias("other")), "other")
+    counts = b.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("title").orderBy(F.coalesce("n", F.lit(0)), "g"))
+    rare = a.join(counts, "g", "left").withColumn("place", place).where(F.col("place") <= F.floor(loss * F.length("title_form")) + 1)
     n, m = F.length("title_form"), F.length("other_form")
-    # a ratio of r needs 2 * min / (n + m) >= r, and so many bigrams in common that shared counts can be tested
-    pairs = a.join(b, "g").where(2 * F.least(n, m) >= threshold * (n + m)).groupBy("title", "other").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = rare.drop("n", "place").join(b, "g").where(2 * F.least(n, m) >= threshold * (n + m)).select("title", "other").distinct()
     scored = pairs.withColumn("similarity", similarity(title_similarity, F.col("title"), F.col("other"))).where(F.col("similarity") >= threshold)
     return scored.groupBy("title").agg(F.max(F.struct("similarity", "other")).alias("best")).select("title", "best.other", "best.similarity")
 

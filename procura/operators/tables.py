@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share; a local one only where none is named (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/procura"
+    return f"{base.rstrip('/')}/procura-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes a table to the folder all executors share and reads it again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/procura"
-    path = f"{base.rstrip('/')}/procura-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

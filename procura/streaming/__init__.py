@@ -1 +1,134 @@
+"""Structured Streaming forms of the push, counter, alert and limit rules.
 
+Every function takes a streaming DataFrame with an event-time column of type timestamp and gives one back;
+state is kept by key, so it is spread over the cluster, and is dropped by the watermark or a timeout. Rules
+with a memory (alerts, breaker, limiter) see the events of a key in the order of event time within a batch.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import predicates
+from ..operators.tables import shared_folder
+
+
+def counters(stream: DataFrame, ts: str, size: str, failed: Column, lateness: str = "10 minutes") -> DataFrame:
+    """Successes and failures per tumbling window; rows later than the watermark are left out."""
+    late = stream.withWatermark(ts, lateness)
+    counted = late.groupBy(F.window(ts, size).alias("w")).agg(F.count_if(~failed).cast("bigint").alias("success"), F.count_if(failed).cast("bigint").alias("failure"))
+    return counted.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "success", "failure")
+
+
+def sessions(stream: DataFrame, key: str, ts: str, gap: str = "60 seconds", lateness: str = "10 minutes") -> DataFrame:
+    """Spans of activity of a key; a key is live while its span is open."""
+    found = stream.withWatermark(ts, lateness).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    return found.select(key, F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("end"), "count")
+
+
+def pushed(stream: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Notices with the connections whose filters they pass: a stream joined with a static table of known size."""
+    c = F.col
+    wanted = predicates.push(c("regions"), c("industries"), c("low"), c("high"), c("least_score"), c("total_score"))
+    return stream.join(F.broadcast(subscriptions), wanted)
+
+
+def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches), ignore_index=True).sort_values(["at", "place"], kind="stable")
+
+
+def alerts(stream: DataFrame, rules: list[dict], ts: str, metric: str, value: str, place: str) -> DataFrame:
+    """Firings of threshold rules with their cooldowns; the state of a rule is the time it last fired."""
+    table = stream.sparkSession.createDataFrame(rules, "name string, metric string, threshold double, severity string, cooldown double").withColumnRenamed("metric", "__metric")
+    hits = stream.join(F.broadcast(table), F.col(metric) == F.col("__metric")).where(F.col(value) > F.col("threshold"))
+    hits = hits.select("name", "severity", "cooldown", F.unix_micros(ts).alias("at"), F.col(value).cast("double").alias("value"), F.col(place).cast("bigint").alias("place"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, out = state.get[0] if state.exists else None, []
+        for r in in_order(batches).itertuples():
+            if last is None or r.at - last >= r.cooldown * 1e6:
+                out.append((r.name, r.severity, r.at, r.value))
+                last = r.at
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["name", "severity", "at", "value"])
+
+    return hits.groupBy("name").applyInPandasWithState(step, "name string, severity string, at long, value double", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def breaker(stream: DataFrame, key: str, ts: str, ok: str, place: str, failures: int = 5, pause: float = 60.0, successes: int = 2) -> DataFrame:
+    """States of a circuit breaker after each event of a key."""
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("at"), F.col(ok).alias("ok"), F.col(place).cast("bigint").alias("place"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, bad, good, since = state.get if state.exists else ("closed", 0, 0, 0)
+        out = []
+        for r in in_order(batches).itertuples():
+            now, bad, good, since, rejected = after(now, bad, good, since, r.at, r.ok, failures, pause, successes)
+            out.append((r.key, r.place, now, rejected))
+        state.update((now, bad, good, since))
+        yield pd.DataFrame(out, columns=["key", "place", "state", "rejected"])
+
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, place long, state string, rejected boolean", "now string, bad int, good int, since long", "append", GroupStateTimeout.NoTimeout)
+
+
+def after(now: str, bad: int, good: int, since: int, at: int, ok: bool, failures: int, pause: float, successes: int) -> tuple:
+    """State of a breaker after one call, and whether the call was rejected."""
+    if now == "open":
+        if at - since < pause * 1e6:
+            return now, bad, good, since, True
+        now, good = "half_open", 0
+    if ok:
+        bad, good = 0, good + 1
+        if now == "half_open" and good >= successes:
+            now = "closed"
+    else:
+        bad += 1
+        if now == "half_open" or bad >= failures:
+            now, since, bad = "open", at, 0
+    return now, bad, good, since, False
+
+
+def limited(stream: DataFrame, scope: str, item: str, ts: str, place: str, most: int = 100, seconds: float = 1.0) -> DataFrame:
+    """Events with whether they pass a limit of distinct items per scope within the seconds before; a repeated item refreshes its time."""
+    rows = stream.select(F.col(scope).cast("string").alias("scope"), F.col(item).cast("string").alias("item"), F.unix_micros(ts).alias("at"), F.col(place).cast("bigint").alias("place"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        out = []
+        for r in in_order(batches).itertuples():
+            held = {k: t for k, t in held.items() if r.at - t < seconds * 1e6}
+            passes = r.item in held or len(held) < most
+            if passes:
+                held[r.item] = r.at
+            out.append((r.scope, r.place, passes))
+        state.update((list(held), list(held.values())))  # at most `most` items
+        yield pd.DataFrame(out, columns=["scope", "place", "passes"])
+
+    return rows.groupBy("scope").applyInPandasWithState(step, "scope string, place long, passes boolean", "items array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and gives its result as a table in the shared folder.
+
+    In mode complete the last state counts; it is written whole by each batch.
+    """
+    spark = stream.sparkSession
+    path = shared_folder(spark)
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", path)
+    else:
+        writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).outputMode(mode)
+    writer.option("checkpointLocation", f"{path}-log-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def table_stream(spark, path: str, like: DataFrame) -> DataFrame:
+    """A parquet file or folder as a stream of new files."""
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(like.schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(like.schema).parquet(path)
