@@ -84,6 +84,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, b[s + 1:s + 100] AS k, s FROM (SELECT doc_id, b, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM late),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM runs UNION ALL SELECT d.doc_id, coalesce(max(z), 0), any_value(n) FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, sha256(from_hex(string_agg(CASE WHEN y > x THEN hex(b[x + 1:y]) ELSE '' END, '' ORDER BY x))) AS kept_sha256 FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(sum(z - a), 0) AS BIGINT) AS n_removed, count(z) AS n_spans, any_value(kept_sha256) AS kept_sha256 FROM d LEFT JOIN runs USING (doc_id) JOIN kept USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 def secrets_sql() -> str:
     def matches(kind: int, pattern: str, group: int) -> str:
         e = "'" + pattern.replace("'", "''") + "'"
@@ -122,4 +134,4 @@ FROM d LEFT JOIN a USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_matrix_neighbours": OP4_SQL, "op5_secret_ownership": secrets_sql()}
+    return {"op4_block_matrix_neighbours": OP4_SQL, "op5_secret_ownership": secrets_sql(), "op8_suffix_runs": OP8_SQL}
