@@ -40,7 +40,7 @@ DECAY = 2e-5
 #: Share of labels 1 that no sentence explains; it keeps them from teaching chance words.
 NOISE = 0.02
 #: Words that a worker remembers the weight of.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
