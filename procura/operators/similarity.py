@@ -176,7 +176,7 @@ def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold:
     rows = firsts.join(roots, F.col("x") == F.col("node"), "left").select(F.coalesce("root", "x").alias("root"), "x", "first", "names")
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        items = [[r.x, {r.x} | set(r.names), 1.0, [r.x]] for r in group.sort_values("first").itertuples()]
+        items = [[r.x, {r.x} | set(r.names), 1.0, [r.x], {r.x} if any(n != r.x for n in r.names) else set()] for r in group.sort_values("first").itertuples()]
         out = []
         while items:
             now, rest = items.pop(0), []
@@ -185,21 +185,21 @@ def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold:
                 if best >= threshold:
                     now[1] |= other[1]
                     now[3] += other[3]
+                    now[4] |= other[4]
                     now[2] = max(now[2], best)
                 else:
                     rest.append(other)
             items = rest
-            out.append((now[0], *titles(now[1], set(now[3])), sorted(now[1]), now[2]))
+            out.append((now[0], *titles(now[1], now[4]), sorted(now[1]), now[2]))
         return pd.DataFrame(out, columns=["cluster", "canonical", "short_name", "variants", "confidence"])
 
     return rows.groupBy("root").applyInPandas(merge, "cluster string, canonical string, short_name string, variants array<string>, confidence double")
 
 
-def titles(variants: set[str], normal: set[str]) -> tuple[str, str]:
-    """Canonical and short name: the longest normal form that replaces a variant, else the shortest complete name, else the longest."""
+def titles(variants: set[str], restored: set[str]) -> tuple[str, str]:
+    """Canonical and short name: the longest normal form that some variant had to be brought to, else the shortest complete name, else the longest."""
     short = min(sorted(variants), key=len)
-    if len(variants) > len(normal):
-        targets = normal
-        return max(sorted(targets), key=len), short
+    if restored:
+        return max(sorted(restored), key=len), short
     complete = [v for v in sorted(variants) if v.endswith(COMPLETE_ENDINGS)]
     return (min(complete, key=len) if complete else max(sorted(variants), key=len)), short
