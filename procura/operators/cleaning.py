@@ -71,23 +71,27 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
 
 
+def bound(value: Column, fn) -> Column:
+    """fn of a value that is worked out once, however often fn names it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def organisation(c: Column, suffixes: dict[str, str] | None = None, aliases: dict[str, str] | None = None) -> Column:
     """A normalised organisation name: no white space, brackets' contents or signs, standard suffix, full name for an alias."""
+    endings, full = SUFFIXES if suffixes is None else suffixes, ALIASES if aliases is None else aliases
     name = compact(F.coalesce(c, F.lit("")))
     name = F.regexp_replace(name, "[（(].*?[）)]", "")
     name = F.regexp_replace(name, "[^\\u4e00-\\u9fa5a-zA-Z0-9]", "")
-    out = F.when(F.lit(False), "")
-    for suffix in sorted(SUFFIXES if suffixes is None else suffixes, key=len, reverse=True):
-        standard = (SUFFIXES if suffixes is None else suffixes)[suffix]
-        out = out.when(name.endswith(suffix), F.concat(F.substring(name, F.lit(1), F.length(name) - len(suffix)), F.lit(standard)))
-    name = out.otherwise(name)
-    table = ALIASES if aliases is None else aliases
-    full = F.when(F.lit(False), "")
-    for alias, whole in table.items():
-        full = full.when(name == alias, whole)
-    for alias, whole in table.items():
-        full = full.when(name.contains(alias) & (F.length(name) < len(whole)), whole)
-    return full.otherwise(name)
+    if endings:
+        last = "(" + "|".join(sorted(endings, key=len, reverse=True)) + ")$"
+        standard = F.create_map(*(F.lit(x) for pair in endings.items() for x in pair))
+        # the leftmost ending is the longest
+        name = bound(name, lambda n: F.concat(F.regexp_replace(n, last, ""), F.coalesce(standard[F.regexp_extract(n, last, 1)], F.lit(""))))
+    if full:
+        pairs = F.array(*(F.struct(F.lit(alias).alias("alias"), F.lit(whole).alias("whole")) for alias, whole in full.items()))
+        named = F.create_map(*(F.lit(x) for pair in full.items() for x in pair))
+        name = bound(name, lambda n: F.coalesce(named[n], F.get(F.transform(F.filter(pairs, lambda p: F.contains(n, p["alias"]) & (F.length(n) < F.length(p["whole"]))), lambda p: p["whole"]), F.lit(0)), n))
+    return name
 
 
 #: Suffixes that have another standard form or end the search, and well-known aliases in order.

@@ -170,7 +170,7 @@ def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold:
     appearance, a cluster growing while it is compared; only clusters that similar pairs connect can
     merge, so each connected component is worked on by itself.
     """
-    firsts = df.groupBy(F.col(normal).alias("x")).agg(F.min(order).alias("first"), F.sort_array(F.collect_set(name)).alias("names"))
+    firsts = written(df.groupBy(F.col(normal).alias("x")).agg(F.min(order).alias("first"), F.sort_array(F.collect_set(name)).alias("names")))
     pairs = candidates(firsts, "x").withColumn("s", F.greatest(similarity(name_similarity, F.col("a"), F.col("b")), similarity(name_similarity, F.col("b"), F.col("a")))).where(F.col("s") >= threshold)
     roots = connected(pairs.select("a", "b"))
     rows = firsts.join(roots, F.col("x") == F.col("node"), "left").select(F.coalesce("root", "x").alias("root"), "x", "first", "names")
