@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procura import streaming
-from procura.operators import classify, cleaning, extraction, matching, monitoring, paging, predicates, scoring, search, similarity, stats, tables, trends, validation
+from procura.operators import classify, cleaning, extraction, matching, merging, monitoring, paging, predicates, scoring, search, similarity, stats, tables, trends, validation
 from procura.sources import sinks
 
 AS_OF = "2024-06-01 00:00:00"
@@ -217,3 +217,26 @@ def test_breaker_and_limiter_equal_a_fold(spark, tmp_path):
         if passes:
             own[item] = s
         assert limited.where(F.col("place") == i).first()["passes"] == passes if i % 17 == 0 else True
+
+
+def test_merging(spark):
+    rows = [(1, "api_list", "A", None, 5.0), (1, "pdf", "B", "T", 7.0), (1, "fallback", "C", "", None), (2, "elsewhere", "D", None, None)]
+    df = spark.createDataFrame(rows, "id long, source string, title string, tenderer string, budget_amount double")
+    got = {r["id"]: tuple(r)[1:] for r in merging.merged(df, "id", ["title", "tenderer", "budget_amount"]).collect()}
+    assert got == {1: ("B", "T", 7.0), 2: ("D", None, None)}
+    tries = [(1, "structured", 0.4, "a"), (1, "rules", 0.45, "b"), (1, "model", 0.9, "c"), (2, "structured", 0.1, "a"), (2, "model", 0.2, "c"), (3, "rules", None, "b")]
+    first = merging.cascade(spark.createDataFrame(tries, "id long, strategy string, confidence double, v string"), "id").collect()
+    assert {r["id"]: r["v"] for r in first} == {1: "b", 2: "c", 3: "b"}
+
+
+def test_items_parameters_and_main_documents(spark):
+    text = "采购清单\n1. 服务器 2台\n2、交换机 10 套\n3. 合同期限 30 个\n货物名称：打印机，数量：5台\n| 1 | 扫描仪 | A4 | 3 | 台 |\n处理器：主频≥2.0GHz\n联系人：张三\n颜色: 黑"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    found = {(r["id"], r["name"], r["quantity"], r["unit"]) for r in extraction.items(df, "id", "text").collect()}
+    assert found == {(1, "服务器", 2.0, "台"), (1, "交换机", 10.0, "套"), (1, "打印机", 5.0, "台"), (1, "扫描仪", 3.0, "台")}
+    stated = {r["name"]: (r["value"], r["category"], r["is_mandatory"]) for r in extraction.parameters(df, "id", "text").collect()}
+    assert stated["处理器"] == ("主频≥2.0GHz", "性能指标", True) and stated["颜色"] == ("黑", "其他", False) and "联系人" not in stated
+    page = "<div class='content'><p><a href='/a.pdf'>x</a></p></div><a href='b.pdf'>招标公告</a><a href='c.html'>公告</a>"
+    pages = spark.createDataFrame([(1, "http://h.org/d/", page), (2, "http://h.org/", "<a href='only.pdf'></a>"), (3, "http://h.org/", "<a href='1.pdf'></a><a href='2.pdf'></a>"), (4, None, None)], "id long, url string, html string")
+    got = {r["key"]: (r["attachment"], r["score"]) for r in extraction.main_documents(pages, "id", "url", "html").collect()}
+    assert got == {1: ("http://h.org/d/b.pdf", 22), 2: ("http://h.org/only.pdf", 0)}
