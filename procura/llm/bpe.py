@@ -29,7 +29,7 @@ from .common import documents, map_slices
 #: Fixed value: the word pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers, and the longest one it does.
-CACHE = 1 << 20
+CACHE = 1 << 18
 LONGEST = 64
 
 
