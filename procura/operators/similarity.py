@@ -1,9 +1,10 @@
 """Similar titles and organisation names: keyed candidate pairs, verified exactly, and clusters.
 
 Titles: a ratio of t leaves only so many bigrams of a title unmatched, so one of that many and one more of
-its rarest bigrams stands in every title that is like it; no pair is lost. Names: pairs that share one of
-their rarest bigrams, and those that the naming rules bind: a name that begins with another one, and names
-that are equal without their number.
+its rarest bigrams stands in every title that is like it; no pair is lost. Names: the score leaves only so many letters of a name
+unmatched, so two of that many and two more of its rarest letters stand in every name that is like it; besides
+them the pairs that the naming rules bind: a name that begins with another one, and names that are equal
+without their number.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ COMPLETE_ENDINGS = ("医院", "公司", "大学", "学院", "集团", "中心",
 PUNCTUATION = "[，。！？、；：\"（）【】《》]"
 TITLE_THRESHOLD = 0.85
 NAME_THRESHOLD = 0.796
+#: Rows of one key that are paired with the others in one group.
+CHUNK = 500
 
 
 def title_form(text: str) -> str:
@@ -103,26 +106,78 @@ def grams(column: str) -> Column:
     return F.array_distinct(F.when(size > 0, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def candidates(names: DataFrame, column: str, rarest: int = 6) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct texts that share one of their rarest bigrams or are bound by a naming rule.
+def unmatched(size: Column, letters: Column, threshold: float) -> Column:
+    """Most distinct letters of a name that another one may lack, from a lower bound on the score.
 
-    A bigram's frequency is counted over all texts; each text keeps its `rarest` least frequent ones.
+    Without u of its d letters, at most n - u of n places match. The other name has n - u or n places where the
+    score can be highest, and its own share of contained letters may be whole in the latter case.
     """
-    rows = names.select(F.col(column).alias("x")).distinct()
-    each = rows.select("x", F.explode(grams("x")).alias("g"))
-    counts = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.partitionBy("x").orderBy("n", "g"))
-    kept = each.join(counts, "g").withColumn("place", place).where(F.col("place") <= rarest).select("x", "g")
-    by_gram = kept.select(F.col("x").alias("a"), "g").join(kept.select(F.col("x").alias("b"), "g"), "g").where(F.col("a") < F.col("b"))
-    fits = (F.length("a") <= 3 * F.length("b")) & (F.length("b") <= 3 * F.length("a"))
-    begins = rows.where(F.length("x") > 1).select(F.col("x").alias("b"), F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring("x", F.lit(1), i))).alias("a"))
+    def most(u: Column) -> Column:
+        rest = size - u
+        return 0.3 * (letters - u) / letters + F.greatest(0.8 * rest / (size + rest) + 0.3 * rest / size, 0.4 * rest / size + 0.3)
+
+    return F.when(letters > 1, F.size(F.filter(F.sequence(F.lit(1), letters - 1), lambda u: most(u) >= threshold - 1e-9))).otherwise(0)
+
+
+def keyed_names(rows: DataFrame, threshold: float) -> DataFrame:
+    """x, o, label, its letters, its keys and each of them as g: every pair at or above the threshold shares a key.
+
+    A pair shares all but `unmatched` letters of either name, so two letters are shared among the rarest unmatched + 2
+    of each, by one order of letters; names that need not share two letters have single letters as keys, too.
+    """
+    size = F.length("x")
+    each = rows.where(size > 0).select("x", "o", "label", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("x", i, F.lit(1))))).alias("c"))
+    counts = each.groupBy("c").agg(F.count(F.lit(1)).alias("n"))  # as many rows as there are letters
+    listed = each.join(F.broadcast(counts), "c").groupBy("x", "o", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "c"))), lambda s: s["c"]).alias("letters"))
+    out = listed.withColumn("u", unmatched(size, F.size("letters"), threshold)).withColumn("head", F.slice("letters", F.lit(1), F.col("u") + 2))
+    twos = F.flatten(F.transform("head", lambda c, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda d: F.concat(c, d))))
+    ones = F.when(F.size("letters") - F.col("u") < 2, F.slice("letters", F.lit(1), F.col("u") + 1)).otherwise(F.array().cast("array<string>"))
+    return out.select("x", "o", "label", "letters", F.concat(twos, ones).alias("keys")).select("*", F.explode("keys").alias("g"))
+
+
+def ruled(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the naming rules bind whatever their letters: sub-units, and names that differ in their numbers."""
+    rest = F.substring("x", F.col("i") + 1, F.length("x"))
+    begin = F.substring("x", F.lit(1), F.col("i"))
+    bound = F.lit(False)
+    for word in SUB_UNITS:
+        bound = bound | F.contains(rest, F.lit(word))
+    for word in UNIT_ENDINGS:
+        bound = bound | F.endswith(begin, F.lit(word))
+    begins = rows.where(F.length("x") > 1).select("x", F.explode(F.sequence(F.lit(1), F.length("x") - 1)).alias("i")).where(bound).select(begin.alias("a"), F.col("x").alias("b"))
     bare = F.col("x")
     for number in NUMBERED:
         bare = F.regexp_replace(bare, number, "")
-    plain = rows.select("x", bare.alias("bare")).where("x != bare and bare != ''")
-    bound = begins.join(rows.select(F.col("x").alias("a")), "a").select("a", "b").union(plain.join(rows.select(F.col("x").alias("y")), F.col("bare") == F.col("y")).select("x", "y"))
-    ordered = bound.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return by_gram.where(fits).select("a", "b").union(ordered).distinct()
+    plain = rows.select("x", bare.alias("bare"))
+    numbered = plain.where("x != bare").select(F.col("x").alias("b"), "bare").join(plain.select(F.col("x").alias("a"), "bare"), "bare").select("a", "b")
+    empty = F.broadcast(rows.where("x = ''").select(F.col("x").alias("a"))).crossJoin(rows.where("x != ''").select(F.col("x").alias("b")))
+    return begins.join(rows.select(F.col("x").alias("a")), "a").select("a", "b").union(numbered).union(empty)
+
+
+def candidates(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
+    """Pairs (p, q) that may reach the threshold, p before q by o and by label; none at or above it is left out.
+
+    rows has x, o and label, both of one orderable type. Pairs share a key of keyed_names, and are left out where even
+    all shared letters in their places would not do. The rows of a frequent key are dealt to tasks in chunks.
+    """
+    keyed = keyed_names(rows, threshold)
+    counts = keyed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    dealt = keyed.join(counts, "g")
+    ps = dealt.select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *(F.col(c).alias(f"p_{c}") for c in ("x", "o", "label", "letters", "keys")))
+    least = rows.agg(F.min("label").alias("least"))
+    qs = dealt.join(F.broadcast(least), F.col("label") > F.col("least")).select("g", F.pmod(F.hash("x"), "chunks").alias("chunk"), *(F.col(c).alias(f"q_{c}") for c in ("x", "o", "label", "letters", "keys")))
+    n, m = F.length("p_x"), F.length("q_x")
+    in_p, in_q = n - F.length(F.expr("translate(p_x, q_x, '')")), m - F.length(F.expr("translate(q_x, p_x, '')"))
+    shared = F.size(F.array_intersect("p_letters", "q_letters"))
+    most = 0.8 * F.least(in_p, in_q) / (n + m) + 0.3 * shared / (F.size("p_letters") + F.size("q_letters") - shared) + 0.3 * in_p / F.greatest(n, m)
+    later = (F.col("p_o") < F.col("q_o")) & (F.col("p_label") < F.col("q_label"))
+    pairs = ps.join(qs, ["g", "chunk"]).where(later).where(F.element_at(F.array_intersect("p_keys", "q_keys"), 1) == F.col("g")).where(most >= threshold - 1e-9).select(F.col("p_x").alias("p"), F.col("q_x").alias("q"))
+    both = ruled(rows.select("x"))
+    ends = [rows.select(F.col("x").alias(c), F.col("o").alias(f"{c}_o"), F.col("label").alias(f"{c}_label")) for c in "ab"]
+    bound = both.join(ends[0], "a").join(ends[1], "b")
+    swapped = F.col("a_o") > F.col("b_o")
+    bound = bound.where(F.when(swapped, F.col("b_label") < F.col("a_label")).otherwise(F.col("a_label") < F.col("b_label"))).where("a_o != b_o")
+    return pairs.union(bound.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("p"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("q"))).distinct()
 
 
 def known_titles(news: DataFrame, stored: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
@@ -148,58 +203,61 @@ def known_titles(news: DataFrame, stored: DataFrame, threshold: float = TITLE_TH
     return scored.groupBy("title").agg(F.max(F.struct("similarity", "other")).alias("best")).select("title", "best.other", "best.similarity")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) of undirected edges (a, b): each node takes the least root among its neighbours, and roots of roots."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+def near_names(rows: DataFrame) -> DataFrame:
+    """Pairs (p, q) of a name and the first one among those that are the same but for one letter."""
+    less = F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.concat(F.substring("x", F.lit(1), i - 1), F.substring("x", i + 1, F.length("x"))))
+    forms = rows.where(F.length("x") > 1).select("x", "o", F.explode(F.array_distinct(F.concat(less, F.array("x")))).alias("form"))
+    heads = forms.groupBy("form").agg(F.min("o").alias("head"))
+    return forms.join(heads, "form").where(F.col("head") < F.col("o")).select(F.col("head.x").alias("p"), F.col("x").alias("q")).distinct()
+
+
+def alike(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose score reaches the threshold."""
+    return written(pairs.repartition("p", "q").where(similarity(name_similarity, F.col("p"), F.col("q")) >= threshold))
+
+
+def descended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels carried along edges (p, q): the least label of a name and of all from which edges lead to it."""
     while True:
-        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        up = step.select(F.col("node").alias("r"), F.col("root").alias("above"))
-        step = written(step.join(up, F.col("root") == F.col("r")).select("node", F.least("root", "above").alias("root"), "old"))
-        changed = step.where("root != old").limit(1).count()
-        roots = step.select("node", "root")
+        came = edges.join(labels.select(F.col("x").alias("p"), "label"), "p").groupBy("q").agg(F.min("label").alias("near"))
+        step = labels.join(came, F.col("x") == F.col("q"), "left").select("x", "o", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
+        up = step.select(F.col("x").alias("r"), F.col("label").alias("above"))
+        step = written(step.join(up, F.col("label.x") == F.col("r")).select("x", "o", F.least("label", "above").alias("label"), "old"))
+        changed = step.where("label != old").limit(1).count()
+        labels = step.select("x", "o", "label")
         if not changed:
-            return roots
+            return labels
 
 
 def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold: float = NAME_THRESHOLD) -> DataFrame:
     """Clusters of names: cluster (its first normal form), canonical, short name, variants and confidence.
 
     Names with one normal form are a cluster. Clusters are merged greedily in the order of their first
-    appearance, a cluster growing while it is compared; only clusters that similar pairs connect can
-    merge, so each connected component is worked on by itself.
+    appearance, a cluster growing while it is compared: a name belongs to the first name from which similar pairs
+    lead to it, each from an earlier name to a later one. Pairs are scored only where they could change that, the
+    nearest names first, until none is left. Merged clusters have the confidence 1 they start with.
     """
-    firsts = written(df.groupBy(F.col(normal).alias("x")).agg(F.min(order).alias("first"), F.sort_array(F.collect_set(name)).alias("names")))
-    pairs = candidates(firsts, "x").withColumn("s", F.greatest(similarity(name_similarity, F.col("a"), F.col("b")), similarity(name_similarity, F.col("b"), F.col("a")))).where(F.col("s") >= threshold)
-    roots = connected(pairs.select("a", "b"))
-    rows = firsts.join(roots, F.col("x") == F.col("node"), "left").select(F.coalesce("root", "x").alias("root"), "x", "first", "names")
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        items = [[r.x, {r.x} | set(r.names), 1.0, [r.x], {r.x} if any(n != r.x for n in r.names) else set()] for r in group.sort_values("first").itertuples()]
-        out = []
-        while items:
-            now, rest = items.pop(0), []
-            for other in items:
-                best = max(name_similarity(p, q) for p in now[3] for q in other[3])
-                if best >= threshold:
-                    now[1] |= other[1]
-                    now[3] += other[3]
-                    now[4] |= other[4]
-                    now[2] = max(now[2], best)
-                else:
-                    rest.append(other)
-            items = rest
-            out.append((now[0], *titles(now[1], now[4]), sorted(now[1]), now[2]))
-        return pd.DataFrame(out, columns=["cluster", "canonical", "short_name", "variants", "confidence"])
-
-    return rows.groupBy("root").applyInPandas(merge, "cluster string, canonical string, short_name string, variants array<string>, confidence double")
-
-
-def titles(variants: set[str], restored: set[str]) -> tuple[str, str]:
-    """Canonical and short name: the longest normal form that some variant had to be brought to, else the shortest complete name, else the longest."""
-    short = min(sorted(variants), key=len)
-    if restored:
-        return max(sorted(restored), key=len), short
-    complete = [v for v in sorted(variants) if v.endswith(COMPLETE_ENDINGS)]
-    return (min(complete, key=len) if complete else max(sorted(variants), key=len)), short
+    firsts = written(df.where(F.col(normal).isNotNull()).groupBy(F.col(normal).alias("x")).agg(F.min(order).alias("first"), F.sort_array(F.collect_set(name)).alias("names")))
+    o = F.struct("first", "x")
+    labels = written(firsts.select("x", o.alias("o"), o.alias("label")))
+    edges = alike(near_names(labels), threshold)
+    labels = descended(labels, edges)
+    while True:
+        fresh = alike(candidates(labels, threshold), threshold)
+        if not fresh.limit(1).count():
+            break
+        edges = edges.union(fresh)
+        labels = descended(labels, edges)
+    restored = F.exists("names", lambda v: v != F.col("x"))
+    rows = firsts.withColumn("restored", restored).join(labels.select("x", F.col("label.x").alias("cluster")), "x")
+    each = rows.select("cluster", "x", "restored", F.explode(F.array_union(F.array("x"), "names")).alias("v"))
+    shortest, longest = F.struct(F.length("v").alias("n"), "v"), F.struct((-F.length("v")).alias("n"), "v")
+    complete = F.lit(False)
+    for word in COMPLETE_ENDINGS:
+        complete = complete | F.endswith("v", F.lit(word))
+    # canonical: the longest normal form that some variant had to be brought to, else the shortest complete name, else the longest
+    found = each.groupBy("cluster").agg(
+        F.min(F.when(F.col("restored") & (F.col("v") == F.col("x")), longest)).alias("form"), F.min(F.when(complete, shortest)).alias("complete"), F.min(longest).alias("longest"),
+        F.min(shortest).alias("short"), F.sort_array(F.collect_set("v")).alias("variants"),
+    )
+    return found.select("cluster", F.coalesce("form.v", "complete.v", "longest.v").alias("canonical"), F.col("short.v").alias("short_name"), "variants", F.lit(1.0).alias("confidence"))
