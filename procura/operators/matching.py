@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .search import nfkc
+from .tables import written
+
 MATCH_TYPES = ("exact", "contains", "starts_with", "ends_with", "regex")
 PER_KEYWORD = 10.0
-#: Rows of the keyword table up to which it is broadcast.
+#: Rows of the keyword table that are broadcast at once, about.
 BROADCAST_KEYWORDS = 200_000
 
 
@@ -31,9 +38,19 @@ def matches(text: Column, value: Column, kind: Column, case_sensitive: Column) -
     return F.coalesce(found, F.lit(False))
 
 
+def keyword_form(value: Column, kind: Column) -> Column:
+    """Compatibility form of a keyword; a pattern that is none in that form matches nothing."""
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, kinds in batches:
+            yield pd.Series([v if v is None else "(?!)" if k == "regex" and not valid_pattern(v) else unicodedata.normalize("NFKC", v) for v, k in zip(values, kinds, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(value, kind)
+
+
 def valid_pattern(value: str) -> bool:
+    """Whether the compatibility form of a text is a pattern."""
     try:
-        re.compile(value)
+        re.compile(unicodedata.normalize("NFKC", value))
     except re.error:
         return False
     return True
@@ -42,19 +59,20 @@ def valid_pattern(value: str) -> bool:
 def evaluate(notices: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Scores of notices for subscriptions: one row for each pair with a matched keyword.
 
-    keywords has subscription_id, value, match_type, case_sensitive, is_required and weight. Distinct
-    keywords are what is compared with texts; they are broadcast while they are few, which is counted, and
-    beyond that only those of type contains and exact are found by words that texts and keywords share.
+    keywords has subscription_id, value, match_type, case_sensitive, is_required and weight. Texts and keywords
+    are compared in their compatibility forms (NFKC). Distinct keywords are what is compared with texts; they
+    are counted and broadcast in blocks of bounded size, so that results are the same at every size.
     """
-    distinct = keywords.select("value", "match_type", "case_sensitive").distinct()
-    few = distinct.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS
-    condition = matches(F.col(text), F.col("value"), F.col("match_type"), F.col("case_sensitive"))
-    if few:
-        hits = notices.select(key, text).join(F.broadcast(distinct), condition)
-    else:
-        word = F.explode(F.array_distinct(F.split(F.lower(text), r"(?U)\W+")))
-        own = F.explode(F.slice(F.filter(F.split(F.lower("value"), r"(?U)\W+"), lambda w: w != ""), 1, 1))
-        hits = notices.select(key, text, word.alias("word")).join(distinct.select("*", own.alias("word")), "word").where(condition).drop("word").distinct()
+    distinct = keywords.select("value", "match_type", "case_sensitive").distinct().withColumn("form", keyword_form(F.col("value"), F.col("match_type")))
+    texts = notices.select(key, nfkc(F.col(text)).alias(text))
+    blocks = max(1, math.ceil(distinct.count() / max(1, BROADCAST_KEYWORDS)))
+    if blocks > 1:
+        texts = written(texts)
+        distinct = written(distinct.withColumn("block", F.pmod(F.xxhash64("value", "match_type", "case_sensitive"), F.lit(blocks))))
+    condition = matches(F.col(text), F.col("form"), F.col("match_type"), F.col("case_sensitive"))
+    hits = texts.join(F.broadcast(distinct.where(F.col("block") == 0) if blocks > 1 else distinct), condition)
+    for block in range(1, blocks):
+        hits = hits.union(texts.join(F.broadcast(distinct.where(F.col("block") == block)), condition))
     hits = hits.select(key, "value", "match_type", "case_sensitive")
     rules = keywords.groupBy("subscription_id").agg(F.collect_set(F.when(F.col("is_required"), F.col("value"))).alias("required"), F.count(F.lit(1)).alias("keywords"))
     pairs = hits.join(keywords, ["value", "match_type", "case_sensitive"])
