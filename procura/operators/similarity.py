@@ -211,6 +211,13 @@ def near_names(rows: DataFrame) -> DataFrame:
     return forms.join(heads, "form").where(F.col("head") < F.col("o")).select(F.col("head.x").alias("p"), F.col("x").alias("q")).distinct()
 
 
+def head_names(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (p, q) of a name and the first one among those that share a key, where q's label can become less by p's."""
+    keyed = keyed_names(rows, threshold).select("g", "x", "o", "label")
+    heads = keyed.groupBy("g").agg(F.min(F.struct("o", "label", "x")).alias("head"))
+    return keyed.join(heads, "g").where((F.col("head.o") < F.col("o")) & (F.col("head.label") < F.col("label"))).select(F.col("head.x").alias("p"), F.col("x").alias("q")).distinct()
+
+
 def alike(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose score reaches the threshold."""
     return written(pairs.repartition("p", "q").where(similarity(name_similarity, F.col("p"), F.col("q")) >= threshold))
@@ -242,6 +249,8 @@ def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold:
     labels = written(firsts.select("x", o.alias("o"), o.alias("label")))
     edges = alike(near_names(labels), threshold)
     labels = descended(labels, edges)
+    edges = edges.union(alike(head_names(labels, threshold), threshold))
+    labels = descended(labels, edges)
     while True:
         fresh = alike(candidates(labels, threshold), threshold)
         if not fresh.limit(1).count():

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators import scoring, similarity, stats
+from ..operators import cleaning, scoring, similarity, stats
 from ..operators.tables import shared_folder
 from ..sources import sinks
-from ..sources.notices import AS_OF, bids, table
-from .matching import PUSH_SCHEMA, PUSHED, PUSHES
+from ..sources.notices import AS_OF, bids, table, wins
+from .matching import PUSH_SCHEMA, PUSHED, PUSHES, news_and_stored
 from .monitoring import EVENTS, FIRINGS, RULES
 from .opportunities import PROFILE, WORDS
 from .registry import query
@@ -68,15 +68,15 @@ def s13_json_export(spark, sf_dir):
 
 @query()
 def j7_known_titles(spark, sf_dir):
-    """New titles against stored ones by similarity; checked against all pairs in the tests."""
-    stored = table(spark, sf_dir, "benchmark").select(F.col("text").alias("title"))
-    news = stored.select(F.regexp_replace("title", "e", "E!").alias("title")).union(stored.select(F.concat("title", F.lit("x"))))
+    """Titles of all new notices against those of all stored ones by similarity; checked against all pairs in the tests."""
+    news, stored = news_and_stored(spark, sf_dir)
     return similarity.known_titles(news, stored)
 
 
 @query()
 def k20_name_clusters(spark, sf_dir):
-    """Variants of nation names; checked against plain clusters in the tests."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    variants = names.union(names.select(F.col("k") + 100, F.concat("name", F.lit(" HOSPITAL")))).union(names.select(F.col("k") + 200, F.concat("name", F.lit(" HOSPITALS"))))
-    return similarity.cluster_names(variants.withColumn("normal", F.regexp_replace("name", r"\s", "")), "normal", "name", "k")
+    """All tenderers and winners of the notices by their normal forms; checked against plain clusters in the tests."""
+    tenderers = bids(spark, sf_dir).select(F.col("tenderer").alias("name"), F.col("id").alias("k"))
+    winners = wins(spark, sf_dir).select(F.col("winner").alias("name"), F.col("id").alias("k"))
+    names = tenderers.union(winners).where("trim(name) != ''").groupBy("name").agg(F.min("k").alias("k"))
+    return similarity.cluster_names(names.withColumn("normal", cleaning.organisation(F.col("name"))), "normal", "name", "k")
