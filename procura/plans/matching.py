@@ -126,6 +126,28 @@ def s12_insert_new(spark, sf_dir):
     return tables.insert_new(stored, news, "id", [F.desc("place")]).select("id", "title")
 
 
+UPSERT_ALL = """stored AS (SELECT id, title, status FROM bids WHERE id % 4 <> 0), news AS (SELECT id - id % 3 AS id, title || '!' AS title, 'closed' AS status, id AS place FROM bids)"""
+
+
+def upsert_all_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every notice is news of one of a third as many keys, which grow with the table."""
+    rows, k = bids(spark, sf_dir), F.col("id")
+    news = rows.select((k - k % 3).alias("id"), F.concat("title", F.lit("!")).alias("title"), F.lit("closed").alias("status"), k.alias("place"))
+    return rows.where("id % 4 != 0").select("id", "title", "status"), news
+
+
+@query("""SELECT * FROM stored WHERE id NOT IN (SELECT id FROM news) UNION ALL SELECT id, title, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place DESC) AS r FROM news) WHERE r = 1""", UPSERT_ALL)
+def s11_upsert_all(spark, sf_dir):
+    stored, news = upsert_all_parts(spark, sf_dir)
+    return tables.upsert(stored.withColumn("place", F.lit(None).cast("bigint")), news, ["id"], [F.desc("place")]).drop("place")
+
+
+@query("""SELECT id, title FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place DESC) AS r FROM news) WHERE r = 1 AND id NOT IN (SELECT id FROM stored)""", UPSERT_ALL)
+def s12_insert_new_all(spark, sf_dir):
+    stored, news = upsert_all_parts(spark, sf_dir)
+    return tables.insert_new(stored, news, "id", [F.desc("place")]).select("id", "title")
+
+
 @query("""SELECT o_orderkey AS id, l_partkey AS item, 0 AS sort_order FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0
 UNION ALL SELECT o_orderkey, o_orderkey * 10 + i, i FROM orders, (SELECT unnest(range(3)) AS i) WHERE o_orderkey % 5 = 0""")
 def s21_replace_children(spark, sf_dir):

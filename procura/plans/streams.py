@@ -66,6 +66,22 @@ def s13_json_export(spark, sf_dir):
     return spark.read.schema("id bigint, title string, status string").json(path)
 
 
+@query("""SELECT id, title, tenderer, CAST(budget_amount AS VARCHAR) AS budget_amount FROM bids""")
+def s14_csv_export_all(spark, sf_dir):
+    """All notices; s14_csv_export has one in fifty."""
+    path = shared_folder(spark)
+    sinks.export_csv(bids(spark, sf_dir), path, ["id", "title", "tenderer", "budget_amount"])
+    return spark.read.option("header", True).option("escape", '"').schema("id bigint, title string, tenderer string, budget_amount string").csv(path)
+
+
+@query("""SELECT id, title, status FROM bids""")
+def s13_json_export_all(spark, sf_dir):
+    """All notices; s13_json_export has one in fifty."""
+    path = shared_folder(spark)
+    sinks.export_json(bids(spark, sf_dir).select("id", "title", "status"), path)
+    return spark.read.schema("id bigint, title string, status string").json(path)
+
+
 @query()
 def j7_known_titles(spark, sf_dir):
     """Titles of all new notices against those of all stored ones by similarity; checked against all pairs in the tests."""
