@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,15 +92,19 @@ def alerts(df: DataFrame, rules: list[dict], ts: str = "ts", metric: str = "metr
     hits = df.join(F.broadcast(table.withColumnRenamed("metric", "__metric")), F.col(metric) == F.col("__metric")).where(F.col(value) > F.col("threshold"))
     hits = hits.select("name", "severity", "cooldown", F.unix_micros(ts).alias("at"), F.col(value).cast("double").alias("value"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for r in group.sort_values(["at", "value"]).itertuples():
-            if last is None or r.at - last >= r.cooldown * 1e6:
-                out.append((r.name, r.severity, r.at, r.value))
-                last = r.at
-        return pd.DataFrame(out, columns=["name", "severity", "at", "value"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = last = None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if r.name != name:
+                    name, last = r.name, None
+                if last is None or r.at - last >= r.cooldown * 1e6:
+                    out.append((r.name, r.severity, r.at, r.value))
+                    last = r.at
+            yield pd.DataFrame(out, columns=["name", "severity", "at", "value"])
 
-    return hits.groupBy("name").applyInPandas(fold, "name string, severity string, at long, value double")
+    return hits.repartition("name").sortWithinPartitions("name", "at", "value").mapInPandas(fold, "name string, severity string, at long, value double")
 
 
 def breaker(df: DataFrame, key: str, ts: str, ok: str, failures: int = 5, pause: float = 60.0, successes: int = 2) -> DataFrame:
@@ -107,12 +113,17 @@ def breaker(df: DataFrame, key: str, ts: str, ok: str, failures: int = 5, pause:
     It opens after so many failures in a row, lets a call through after the pause and closes after so
     many successes; a call while it is open is rejected and changes nothing.
     """
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        now, bad, good, since, out = "closed", 0, 0, 0, []
-        for r in group.sort_values(["at", "place"]).itertuples():
-            now, bad, good, since, rejected = after(now, bad, good, since, r.at, r.ok, failures, pause, successes)
-            out.append((r.key, r.place, now, rejected))
-        return pd.DataFrame(out, columns=["key", "place", "state", "rejected"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, now, bad, good, since = None, "closed", 0, 0, 0
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                key = r.key if isinstance(r.key, str) else None
+                if key != own:
+                    own, now, bad, good, since = key, "closed", 0, 0, 0
+                now, bad, good, since, rejected = after(now, bad, good, since, r.at, r.ok, failures, pause, successes)
+                out.append((key, r.place, now, rejected))
+            yield pd.DataFrame(out, columns=["key", "place", "state", "rejected"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("at"), F.col(ok).alias("ok"), F.col("event_id").alias("place"))
-    return rows.groupBy("key").applyInPandas(fold, "key string, place long, state string, rejected boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "at", "place").mapInPandas(fold, "key string, place long, state string, rejected boolean")
