@@ -38,6 +38,12 @@ SCOPE = frozenset("html body table td th ul ol dl article section div main aside
 JUNK_TAGS = frozenset("nav footer aside form head dialog menu button fieldset search".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations pagination pager toolbar widget widgets login skip alert toast copyright".split())
+#: What says that a class is about the lack or the presence of a part, and not that part.
+ABOUT = frozenset("has no with without not".split())
+#: Tags whose junk flag can be lifted, as that of words can; raw tags that hold none of their own kind, and those that hold code.
+WRAPPERS = frozenset("form fieldset".split())
+SINGLE = frozenset("noscript iframe noembed noframes audio video canvas xmp".split())
+CODE = frozenset("script style".split())
 GOOD_WORDS = frozenset("article content post entry story main body text prose".split())
 CONTAINERS = frozenset("# html article main section div td body center".split())
 
@@ -49,13 +55,13 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "label", "junk", "good", "depth", "inside", "covered")
+    __slots__ = ("tag", "parent", "label", "junk", "good", "depth", "inside", "covered", "named", "commented")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
-        self.good = self.junk = False
+        self.good = self.junk = self.named = self.commented = False
         self.covered = 0.0
         self.label = tag
         if attributes:
@@ -63,13 +69,16 @@ class Node:
             names = f"{found.get('class', '')} {found.get('id', '')}"
             words = {w.lower() for w in WORD.findall(names)}
             role = found.get("role", "").lower()
+            self.commented = tag == "article" and bool(words & JUNK_WORDS)
             if tag not in ("html", "body", "article", "main"):
-                self.junk = bool(words & JUNK_WORDS) or role in JUNK_ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+                self.named = bool(words & JUNK_WORDS) and junk_words(names)
+                self.junk = self.named or role in JUNK_ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
             self.good = bool(words & GOOD_WORDS) or role in ("main", "article") or found.get("itemprop") == "articleBody"
             first = found.get("class", "").split()
             self.label = f"{tag}.{DIGITS.sub('#', first[0]).replace('/', '|')}" if first else tag
-        if tag in JUNK_TAGS or (tag == "header" and not (parent and parent.inside)) or (parent and parent.junk):
+        if tag in JUNK_TAGS or (tag == "header" and not (parent and parent.inside)):
             self.junk = True
+            self.named = tag in WRAPPERS
 
     def path(self) -> str:
         names, node = [], self
@@ -79,6 +88,49 @@ class Node:
         return "/".join(reversed(names))
 
 
+def junk_words(names: str) -> bool:
+    """Whether a class or id has a junk word that no earlier part of it takes back, as in has-sidebar."""
+    for name in names.split():
+        for word in map(str.lower, WORD.findall(name)):
+            if word in ABOUT:
+                break
+            if word in JUNK_WORDS:
+                return True
+    return False
+
+
+def settle(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Hands the junk flag down, but not from a named wrapper or form around the article.
+
+    Such a one holds main, or an article of more text than there is without the flagged parts, or most of the page's plain text with its first
+    heading or with nothing left outside.
+    """
+    if any(n.named for n in nodes):
+        plain, kept, holds, heads = dict.fromkeys(nodes, 0.0), 0.0, set(), set()
+        for node, text, linked in blocks:
+            plain[node] += max(0.0, len(text) - 2.0 * linked)
+        flagged: set[Node] = set()
+        for node in nodes:  # a parent stands before its children
+            if node.junk or node.parent in flagged:
+                flagged.add(node)
+            else:
+                kept += plain[node]
+        for node in reversed(nodes):
+            if node.parent:
+                plain[node.parent] += plain[node]
+                if node in holds or node.tag == "main" or (node.tag == "article" and not node.commented and plain[node] > kept):
+                    holds.add(node.parent)
+                if node in heads or node.tag == "h1":
+                    heads.add(node.parent)
+        total = plain[nodes[0]]
+        for node in nodes:
+            if node.named and (node in holds or (plain[node] > total / 2 and (node in heads or not kept))):
+                node.junk = False
+    for node in nodes:
+        if node.parent and node.parent.junk:
+            node.junk = True
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """Nodes in page order, and blocks (node, text, characters inside links) in page order."""
     root = Node("#", None, "")
@@ -130,7 +182,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
-            at = close.end() if close else end
+            if tag in CODE:
+                at = close.end() if close else end
+            elif close and not m[3].endswith("/") and not (tag in SINGLE and re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, close.start())):
+                at = close.end()
             pieces.append(" ")
             continue
         if tag == "a":
@@ -153,10 +208,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         stack.append(node)
         nodes.append(node)
     flush()
+    settle(nodes, blocks)
     return nodes, blocks
 
 
-
 def score(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> tuple[Node, float]:
     """The best container: the share of the page's plain text it covers, what it is named, how deep it is."""
     total = 0.0
