@@ -38,7 +38,7 @@ def t7_positions(spark, sf_dir):
 
 @query()
 def t8_snippets(spark, sf_dir):
-    """Surroundings of words in long texts; checked against plain Python in the tests."""
+    """Surroundings of words in long texts; checked against plain Python in the tests."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", search.snippet(F.col("text"), ["the", "erin"]).alias("snippet"))
 
