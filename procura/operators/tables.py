@@ -10,8 +10,12 @@ from pyspark.sql import Window as W
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a local one only where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/procura"
+    """A new folder below the one that all executors share. Where none is named, a local session gets one of its own; a cluster must name it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints/procura"
     return f"{base.rstrip('/')}/procura-{uuid.uuid4().hex}"
 
 
