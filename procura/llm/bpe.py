@@ -13,7 +13,6 @@ the input are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 from collections.abc import Iterable
@@ -24,11 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents, map_slices
+from .common import documents, held, map_slices
 
 #: Fixed value: the word pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers, and the longest one it does.
+#: White space of that pattern before a blank: such a blank is inside a run and no place to cut.
+RUNS = tuple(c + " " for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
+CUT = regex.compile(r"(?<!\s) ")
+#: Pieces that a worker remembers (twice as many at most), and the longest one it does.
 CACHE = 1 << 18
 LONGEST = 64
 
@@ -46,22 +48,47 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def blank_separated(text: str) -> list[str]:
+    """A text cut at blanks after anything but white space; the pattern joins nothing across the place before such a blank."""
+    return CUT.split(text) if any(run in text for run in RUNS) else text.split(" ")
+
+
 class Pieces(dict):
-    """Ids of pieces as little-endian 32-bit bytes; a new piece is encoded, a full cache is emptied."""
+    """Ids of pieces as little-endian 32-bit bytes; a new piece is encoded. When full, what was used since the last time stays."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, size: int = CACHE):
         super().__init__()
-        self.encode = encode
+        self.encode, self.size = encode, size
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= CACHE:
+            if len(self) >= self.size:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+class Words:
+    """Ids of whole texts from those of pieces. Blank-separated words are remembered too, so that the pattern runs over new ones only."""
+
+    def __init__(self, encode):
+        self.pieces = Pieces(encode)
+        self.find = regex.compile(PATTERN).findall
+        self.words = Pieces(lambda word: encode(" " + word) if word.isascii() and word.isalpha() else self.cut(" " + word))
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def __call__(self, text: str) -> bytes:
+        first, *others = blank_separated(text)
+        return self.cut(first) + b"".join(map(self.words.__getitem__, others))
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -88,9 +115,8 @@ class Encoder:
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (left, right), rank
         self.fits: dict[int, bool] = {}
-        self.pattern = regex.compile(PATTERN)
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.pieces = Pieces(self.piece_ids)
+        self.words = Words(self.piece_ids)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether bytes of two neighbouring tokens stay on their sides of the border.
@@ -145,24 +171,21 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit bytes."""
-        take, find = self.pieces.__getitem__, self.pattern.findall
         if not any(s in text for s in self.special):
-            return b"".join(map(take, find(text)))
+            return self.words(text)
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += map(take, find(text[at : m.start()]))
-            out.append(np.array([self.special[m.group()]], "<u4").tobytes())
+            out += [self.words(text[at : m.start()]), np.array([self.special[m.group()]], "<u4").tobytes()]
             at = m.end()
-        return b"".join([*out, *map(take, find(text[at:]))])
+        return b"".join([*out, self.words(text[at:])])
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held("encoder", path, make=lambda: Encoder(path))
 
 
 ENCODED = "doc_id bigint, ids array<int>"

@@ -19,20 +19,15 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one all executors share; sets a local one only where none is named (tests)."""
+    """A new folder below the one all executors share. Where none is named, a local session gets one of its own; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/checkpoints/procura"
     return f"{base.rstrip('/')}/procura-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() needs a folder set on the context."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/procura")
-
-
 def written(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again: it cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
@@ -67,6 +62,17 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+_state: dict[tuple, object] = {}
+
+
+def held(*key, make: Callable[[], object]):
+    """What a worker keeps between its tasks: one thing at a time, so that operators that run one after another don't add up."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def crc_bucket(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

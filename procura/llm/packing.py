@@ -14,8 +14,8 @@ sequence can be padded.
 
 from __future__ import annotations
 
-import functools
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import PATTERN, Pieces, default_path
-from .common import documents, slices
+from .bpe import Words, byte_letters, default_path
+from .common import documents, held, slices
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens that are packed together, and tokens of a step group.
 POOL = 1 << 22
+#: What a waiting piece counts besides its tokens, for its memory.
+PIECE = 64
 STEP = 8 * 2048
 
 SCHEMA = "doc_id bigint, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -39,32 +41,34 @@ ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start",
 
 
 class Tokens:
-    """Ids by the tokenizers library, asked once for each distinct word of the byte-level pattern."""
+    """Ids by the tokenizers library: its model is asked for new words of the byte-level pattern, the whole of it for texts with special tokens."""
 
     def __init__(self, path: str):
-        import regex
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.find = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = Pieces(lambda piece: np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+        letters, model = {b: c for c, b in byte_letters().items()}, self.library.model
+
+        def ids(piece: str) -> bytes:
+            found = model.tokenize(piece.encode().decode("latin-1").translate(letters))
+            return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+        self.words = Words(ids)
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        return self.words(text)
 
 
-@functools.lru_cache(2)
 def tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return held("library tokens", path, make=lambda: Tokens(path))
 
 
 class Packer:
-    """Packs pieces (length, order, doc, start) of one task. A doc is (doc_id, ids as bytes, number of ids)."""
+    """Packs pieces (length, order, doc, start) of one task. A doc is (doc_id, ids as bytes, number of ids, number of them before these)."""
 
     def __init__(self, tiers: tuple[int, ...], step: int, first_id: int):
         self.tiers, self.step = tuple(sorted(tiers)), step
@@ -83,21 +87,22 @@ class Packer:
         insort(self.waiting[next(t for t in self.tiers if t >= piece[0])], piece)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        top, doc = self.tiers[-1], (doc_id, ids, len(ids) // 4)
+        top, doc = self.tiers[-1], (doc_id, ids, len(ids) // 4, 0)
         whole = doc[2] // top * top
         for start in range(0, whole, top):
             self.emit([self.piece(doc, start, top)], top)
         if doc[2] > whole:
-            self.route(self.piece(doc, whole, doc[2] - whole))
-            self.held += doc[2] - whole
+            # what waits keeps the ids of the rest alone
+            self.route(self.piece((doc_id, ids[4 * whole :], doc[2], whole), whole, doc[2] - whole))
+            self.held += doc[2] - whole + PIECE
 
     def emit(self, window: list, tier: int) -> None:
         """Writes a sequence and gives it to the open step group of its tier."""
         group = self.groups.setdefault(tier, [self.group, 0])
         self.group += group[0] == self.group
         at = 0
-        for length, _, (doc_id, ids, n), start in window:
-            self.rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, self.sequence, at, tier, group[0]))
+        for length, _, (doc_id, ids, n, base), start in window:
+            self.rows.append((doc_id, start, length, zlib.crc32(ids[4 * (start - base) : 4 * (start - base + length)]), n, self.sequence, at, tier, group[0]))
             at += length
         self.sequence += 1
         group[1] += tier

@@ -83,6 +83,25 @@ def test_pools_go_on_in_the_next(library):
         assert len({tier[s] for s in members}) == 1 and sum(tier[s] for s in members) <= 128
 
 
+def test_rests_of_long_documents_keep_their_own_ids_alone():
+    packer = packing.Packer(packing.TIERS, packing.STEP, 0)
+    for doc in range(200):
+        packer.add(doc, bytes(4 * 204_801))
+        packer.rows.clear()
+    assert sum(len(p[2][1]) for waiting in packer.waiting.values() for p in waiting) == 200 * 4
+    for doc in range(100_000):  # very short documents fill a pool, too
+        packer.add(doc, bytes(4))
+    assert packer.held >= packing.POOL
+
+
+def test_words_at_odd_blanks(library):
+    own, r = packing.tokens(packing.default_path()), random.Random(3)
+    blanks = [" ", "  ", "   ", "\n", "\n ", " \n  ", "\u3000 ", "\xa0 ", "\x1c ", "\x85 ", "\t"]
+    for _ in range(3000):
+        text = "".join(r.choice(blanks) + r.choice(["word", "Ünï", "漢字", "it's", "9", "...", "", "x\x1cy"]) for _ in range(r.randint(0, 9)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_whole_table(spark, library, sf_dir):
     from procura.llm.queries import queries
 
