@@ -79,7 +79,7 @@ class Words:
     def __init__(self, encode):
         self.pieces = Pieces(encode)
         self.find = regex.compile(PATTERN).findall
-        self.words = Pieces(lambda word: encode(" " + word) if word.isascii() and word.isalpha() else self.cut(" " + word))
+        self.words = Pieces(lambda word: encode(" " + word) if word.isalpha() else self.cut(" " + word))  # letters are one piece
 
     def cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))

@@ -15,8 +15,8 @@ sequence can be padded.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -53,7 +53,7 @@ class Tokens:
 
         def ids(piece: str) -> bytes:
             found = model.tokenize(piece.encode().decode("latin-1").translate(letters))
-            return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            return array("I", [t.id for t in found]).tobytes()
 
         self.words = Words(ids)
 
