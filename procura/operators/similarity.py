@@ -20,12 +20,14 @@ from pyspark.sql import Window as W
 
 from .tables import written
 
-#: Fixed values of the naming rules.
-NUMBERED = ("第一", "第1")
-ADMIN_LEVELS = {"省": 3, "市": 2, "县": 1, "区": 2, "自治区": 3, "直辖市": 3}
+#: Fixed values of the naming rules: first-numbers, the letters that end a place and the ranks they stand for, words of sub-units,
+#: endings of offices that have sub-units, endings of complete names.
+FIRST_NUMBERS = ("第一", "第1")
+PLACE_ENDINGS, PLACE_RANKS = "省市县区", "3212"
 SUB_UNITS = ("采购中心", "办公室", "科室", "部门", "处室", "窗口")
-UNIT_ENDINGS = ("局", "厅", "部", "委", "办", "中心")
+OFFICE_ENDINGS = ("局", "厅", "部", "委", "办", "中心")
 COMPLETE_ENDINGS = ("医院", "公司", "大学", "学院", "集团", "中心", "局", "厅", "部")
+NUMBERED_SCORE, SUB_UNIT_SCORE, RANK_FACTOR = 0.85, 0.88, 0.85
 PUNCTUATION = "[，。！？、；：\"（）【】《》]"
 TITLE_THRESHOLD = 0.85
 NAME_THRESHOLD = 0.796
@@ -45,49 +47,49 @@ def title_similarity(a: str | None, b: str | None) -> float:
     return 1.0 if a == b or x == y else SequenceMatcher(None, x, y).ratio()
 
 
-def place_prefix(name: str) -> str:
-    m = re.match(r"^(.*?[省市县区])", name)
-    return m.group(1) if m else ""
+def letters(name: Column) -> Column:
+    """Distinct letters of a name that is not empty."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1))))
 
 
-def admin_level(place: str) -> int:
-    return next((level for mark, level in ADMIN_LEVELS.items() if mark in place), 0)
+def place(name: Column) -> Column:
+    """The beginning of a name up to its first place ending; empty if it has none."""
+    return F.regexp_extract(name, f"^[^{PLACE_ENDINGS}]*[{PLACE_ENDINGS}]", 0)
 
 
-def numbered_variant(a: str, b: str) -> bool:
-    """One name is the other with a first-number before its entity, at the same place."""
-    place = place_prefix(a)
-    if place != place_prefix(b):
-        return False
-    x, y = a[len(place) :], b[len(place) :]
-    return any(x == n + y or y == n + x for n in NUMBERED)
+def unit_of(name: Column, office: Column) -> Column:
+    """Whether a name is an office's own, followed by a sub-unit or by anything where such offices have sub-units."""
+    added = F.substring(name, F.length(office) + 1, F.length(name))
+    return F.startswith(name, office) & (added.rlike("|".join(SUB_UNITS)) | office.rlike(f"({'|'.join(OFFICE_ENDINGS)})$"))
 
 
-def sub_unit(a: str, b: str) -> bool:
-    short, long = sorted((a, b), key=len) if len(a) != len(b) else (b, a)
-    if not long.startswith(short):
-        return False
-    return any(u in long[len(short) :] for u in SUB_UNITS) or short.endswith(UNIT_ENDINGS)
+def name_score(a: Column, b: Column) -> Column:
+    """Score of two names: weighted ratio, shared letters and contained letters, then what the naming rules say of the pair.
+
+    The ratio of matching blocks is a vectorised function; all else is expressions. A name and the one that has a
+    first-number after the same place are bound, an office and its sub-unit, too; places of different ranks part.
+    """
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    n, m = F.length(a), F.length(b)
+    shared = F.size(F.array_intersect(letters(a), letters(b)))
+    contained = n - F.length(F.call_function("translate", a, b, F.lit("")))
+    mixed = 0.4 * similarity(ratio, a, b) + 0.3 * shared / (F.size(letters(a)) + F.size(letters(b)) - shared) + 0.3 * contained / F.greatest(n, m)
+    base = F.when((n > 0) & (m > 0), mixed).otherwise((n == m).cast("double"))
+    places, numbers = [place(a), place(b)], f"^({'|'.join(FIRST_NUMBERS)})"
+    entities = [F.substring(name, F.length(p) + 1, F.length(name)) for name, p in zip((a, b), places, strict=True)]
+    has_number = [e.rlike(numbers) & (F.regexp_replace(e, numbers, "") == other) for e, other in (entities, reversed(entities))]
+    ranks = [F.call_function("translate", F.right(p, F.lit(1)), F.lit(PLACE_ENDINGS), F.lit(PLACE_RANKS)) for p in places]
+    bound = (places[0] == places[1]) & (has_number[0] | has_number[1])
+    apart = (ranks[0] != "") & (ranks[1] != "") & (ranks[0] != ranks[1])
+    return F.least(
+        F.when(bound, F.greatest(base, F.lit(NUMBERED_SCORE))).when(unit_of(a, b) | unit_of(b, a), F.greatest(base, F.lit(SUB_UNIT_SCORE)))
+        .when(apart, base * RANK_FACTOR).otherwise(base), F.lit(1.0),
+    )
 
 
-def name_similarity(a: str, b: str) -> float:
-    """Weighted ratio, shared letters and contained letters, adjusted by the naming rules."""
-    if not a and not b:
-        base = 1.0
-    elif not a or not b:
-        base = 0.0
-    else:
-        shared = set(a) & set(b)
-        ratio, jaccard = SequenceMatcher(None, a, b).ratio(), len(shared) / len(set(a) | set(b))
-        base = 0.4 * ratio + 0.3 * jaccard + 0.3 * (sum(c in shared for c in a) / max(len(a), len(b)))
-    if numbered_variant(a, b):
-        return min(max(base, 0.85), 1.0)
-    if sub_unit(a, b):
-        return min(max(base, 0.88), 1.0)
-    p, q = place_prefix(a), place_prefix(b)
-    if p and q and p != q and admin_level(p) != admin_level(q) and admin_level(p) and admin_level(q):
-        base *= 0.85
-    return min(base, 1.0)
+def ratio(a: str, b: str) -> float:
+    """Share of the letters of both texts that are in matching blocks."""
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def similarity(kind, a: Column, b: Column) -> Column:
@@ -137,17 +139,9 @@ def keyed_names(rows: DataFrame, threshold: float) -> DataFrame:
 
 def ruled(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) that the naming rules bind whatever their letters: sub-units, and names that differ in their numbers."""
-    rest = F.substring("x", F.col("i") + 1, F.length("x"))
     begin = F.substring("x", F.lit(1), F.col("i"))
-    bound = F.lit(False)
-    for word in SUB_UNITS:
-        bound = bound | F.contains(rest, F.lit(word))
-    for word in UNIT_ENDINGS:
-        bound = bound | F.endswith(begin, F.lit(word))
-    begins = rows.where(F.length("x") > 1).select("x", F.explode(F.sequence(F.lit(1), F.length("x") - 1)).alias("i")).where(bound).select(begin.alias("a"), F.col("x").alias("b"))
-    bare = F.col("x")
-    for number in NUMBERED:
-        bare = F.regexp_replace(bare, number, "")
+    begins = rows.where(F.length("x") > 1).select("x", F.explode(F.sequence(F.lit(1), F.length("x") - 1)).alias("i")).where(unit_of(F.col("x"), begin)).select(begin.alias("a"), F.col("x").alias("b"))
+    bare = F.regexp_replace("x", "|".join(FIRST_NUMBERS), "")
     plain = rows.select("x", bare.alias("bare"))
     numbered = plain.where("x != bare").select(F.col("x").alias("b"), "bare").join(plain.select(F.col("x").alias("a"), "bare"), "bare").select("a", "b")
     empty = F.broadcast(rows.where("x = ''").select(F.col("x").alias("a"))).crossJoin(rows.where("x != ''").select(F.col("x").alias("b")))
@@ -220,7 +214,7 @@ def head_names(rows: DataFrame, threshold: float) -> DataFrame:
 
 def alike(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose score reaches the threshold."""
-    return written(pairs.repartition("p", "q").where(similarity(name_similarity, F.col("p"), F.col("q")) >= threshold))
+    return written(pairs.repartition("p", "q").where(name_score(F.col("p"), F.col("q")) >= threshold))
 
 
 def descended(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,12 +3,48 @@
 from __future__ import annotations
 
 import random
+import re
+from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from procura.operators import similarity
 
 
+def score(a: str, b: str) -> float:
+    """The score stated plainly, to hold the expressions against."""
+    if a and b:
+        inside = [c for c in a if c in b]
+        value = 0.4 * SequenceMatcher(None, a, b).ratio() + 0.3 * len(set(inside)) / len({*a, *b}) + 0.3 * len(inside) / max(len(a), len(b))
+    else:
+        value = float(a == b)
+    (pa, ea), (pb, eb) = (re.fullmatch("(?s)([^省市县区]*[省市县区])?(.*)", x).groups("") for x in (a, b))
+    if pa == pb and {ea, eb} in ({e, n + e} for e in (ea, eb) for n in ("第一", "第1")):
+        return max(value, 0.85)
+    for x, y in ((a, b), (b, a)):
+        if y.startswith(x) and re.search("采购中心|办公室|科室|部门|处室|窗口", y[len(x) :]) or y.startswith(x) and re.search("([局厅部委办]|中心)$", x):
+            return max(value, 0.88)
+    ranks = [{"省": 3, "县": 1, "": None}.get(p[-1:], 2) for p in (pa, pb)]
+    return value * 0.85 if None not in ranks and ranks[0] != ranks[1] else value
+
+
+@pytest.fixture(scope="module")
+def scores(spark):
+    """Scores of all pairs of some names by the expressions."""
+    names = spark.createDataFrame([(x,) for x in [*some_names(), ""]], "p string")
+    pairs = names.crossJoin(names.withColumnRenamed("p", "q"))
+    return {(r["p"], r["q"]): r["s"] for r in pairs.repartition(8).select("p", "q", similarity.name_score(F.col("p"), F.col("q")).alias("s")).collect()}
+
+
+def test_scores(scores):
+    assert len(scores) > 5000
+    for (p, q), s in scores.items():
+        assert s == pytest.approx(score(p, q), abs=1e-12), (p, q)
+    assert scores["某市医院", "某市第一医院"] >= 0.85 and scores["某市财政局", "某市财政局政府采购中心"] >= 0.88
+    assert scores["某市人民医院", "某县人民医院"] < similarity.NAME_THRESHOLD
+
+
 def some_names() -> list[str]:
     r = random.Random(5)
     out = []
@@ -21,25 +57,25 @@ def some_names() -> list[str]:
                 letters[at] = r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
             out.append("".join(letters))
     out += ["".join(r.choice("abc") for _ in range(r.randint(1, 8))) for _ in range(40)]
-    out += ["某市财政局", "某市财政局政府采购中心", "某市第一第1医院", "某市第1第一医院", "某市第一医院", "某市医院", "局", "第一", "公司#001", "公司#012"]
+    out += ["某市财政局", "某市财政局政府采购中心", "某市第一第1医院", "某市第1第一医院", "某市第一医院", "某市医院", "局", "第一", "某市人民医院", "某县人民医院", "某市第二医院", "公司#001", "公司#012"]
     return list(dict.fromkeys(out))
 
 
-def test_no_similar_pair_is_lost(spark):
+def test_no_similar_pair_is_lost(spark, scores):
     names = some_names()
     rows = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "x string, i int").select("x", F.struct("i", "x").alias("o"), F.struct("i", "x").alias("label"))
     got = {tuple(r) for r in similarity.candidates(rows).collect()}
-    want = {(p, q) for i, p in enumerate(names) for q in names[i + 1 :] if similarity.name_similarity(p, q) >= similarity.NAME_THRESHOLD}
+    want = {(p, q) for i, p in enumerate(names) for q in names[i + 1 :] if scores[p, q] >= similarity.NAME_THRESHOLD}
     assert len(want) > 60 and want - got == set()
 
 
-def test_clusters_equal_greedy_merging(spark):
+def test_clusters_equal_greedy_merging(spark, scores):
     names = some_names()
     want, rest = {}, list(names)
     while rest:
         own, left = [rest[0]], []
         for q in rest[1:]:
-            (own if any(similarity.name_similarity(p, q) >= similarity.NAME_THRESHOLD for p in own) else left).append(q)
+            (own if any(scores[p, q] >= similarity.NAME_THRESHOLD for p in own) else left).append(q)
         want[own[0]], rest = sorted(own), left
     df = spark.createDataFrame(list(enumerate(names)), "k long, name string").withColumn("normal", F.col("name"))
     got = {r["cluster"]: r["variants"] for r in similarity.cluster_names(df, "normal", "name", "k").collect()}
