@@ -44,13 +44,24 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     )
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values, their scale, the norm of what they stand for and the norm of what they miss."""
-    scale = np.abs(x).max(axis=1) / 127
-    scale[scale == 0] = np.finfo(np.float64).tiny
-    q = np.rint(x / scale[:, None]).astype(np.int8)
-    stands = q * scale[:, None]
-    return q, scale, np.sqrt((stands**2).sum(axis=1)), np.sqrt(((x - stands) ** 2).sum(axis=1))
+class Quantised:
+    """int8 values, their scale, the norm of what they stand for, of what they miss and of the vectors.
+
+    All but the values are in units of 2**power, the vectors' largest component, so that no square overflows.
+    """
+
+    def __init__(self, x: np.ndarray):
+        self.power = int(np.frexp(np.abs(x).max())[1])
+        unit = np.ldexp(x, -self.power)
+        self.scale = np.abs(unit).max(axis=1) / 127
+        self.scale[self.scale == 0] = np.finfo(np.float64).tiny
+        self.q = np.rint(unit / self.scale[:, None]).clip(-127, 127).astype(np.int8)
+        stands = self.q * self.scale[:, None]
+        self.norm, self.miss, self.whole = (np.sqrt((a**2).sum(axis=1)) for a in (stands, unit - stands, unit))
+
+    def at(self, power: int) -> tuple[np.ndarray, ...]:
+        """scale, norm, miss and whole in units of a larger 2**power."""
+        return tuple(np.ldexp(a, self.power - power) for a in (self.scale, self.norm, self.miss, self.whole))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,8 +73,13 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of paired rows in double precision, summed from the first component on."""
-    return np.sqrt(np.add.accumulate((a - b) ** 2, axis=1)[:, -1])
+    """Euclidean distances of paired rows in double precision, summed from the first component on; of far rows in larger units."""
+    with np.errstate(over="ignore"):
+        found = np.sqrt(np.add.accumulate((a - b) ** 2, axis=1)[:, -1])
+        far = np.isinf(found)
+        if far.any():
+            found[far] = np.ldexp(np.sqrt((np.ldexp(np.ldexp(a[far], -2) - np.ldexp(b[far], -2), -1022) ** 2).sum(axis=1)), 1024)
+    return found
 
 
 class Cell:
@@ -71,23 +87,23 @@ class Cell:
 
     def __init__(self, ids: list[int], queries: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, queries, k
-        self.q, self.scale, self.norm, self.miss = quantise(queries)
-        self.square = (queries**2).sum(axis=1)
+        self.quantised = Quantised(queries)
         self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
         self.best: list[dict[int, float]] = [{} for _ in ids]
-        self.limit = np.full(len(ids), np.inf)
+        self.limit = np.full(len(ids), np.inf)  # distances, in units of one
         self.id_array = np.array(ids)
 
     def tile(self, ids: np.ndarray, x: np.ndarray) -> None:
-        q, scale, norm, miss = quantise(x)
-        square = (x**2).sum(axis=1)
-        dot = product(self.q, q) * self.scale[:, None] * scale[None, :]
-        error = self.miss[:, None] * (norm + miss)[None, :] + self.norm[:, None] * miss[None, :]
-        total = self.square[:, None] + square[None, :]
+        tile = Quantised(x)
+        power = max(self.quantised.power, tile.power)
+        (own_scale, own_norm, own_miss, own_whole), (scale, norm, miss, whole) = self.quantised.at(power), tile.at(power)
+        dot = product(self.quantised.q, tile.q) * own_scale[:, None] * scale[None, :]
+        error = own_miss[:, None] * (norm + miss)[None, :] + own_norm[:, None] * miss[None, :]
+        total = (own_whole**2)[:, None] + (whole**2)[None, :]
         error = 2 * error + SLACK * total
         approx = total - 2 * dot
         other = self.id_array[:, None] != ids[None, :]
-        limit = self.limit
+        limit = np.ldexp(self.limit, -power) ** 2 * (1 + SLACK)
         distinct = len(np.unique(ids)) == len(ids)
         if distinct and len(ids) > self.k:  # k candidates of the tile are nearer than this
             upper = np.where(other, approx + error, np.inf)
@@ -100,7 +116,6 @@ class Cell:
             for i, d, key in zip(r.tolist(), distances(self.x[r], x[c]).tolist(), ids[c].tolist(), strict=True):
                 self.push(i, d, key)
         self.limit = np.array([-h[0][0] for h in self.heaps]) if all(len(b) == self.k for b in self.best) else np.array([-h[0][0] if len(b) == self.k else np.inf for h, b in zip(self.heaps, self.best, strict=True)])
-        self.limit = self.limit**2 * (1 + SLACK)
 
     def push(self, i: int, d: float, key: int) -> None:
         best, heap = self.best[i], self.heaps[i]

@@ -55,3 +55,19 @@ def test_empty(spark):
     from pyspark.sql import functions as F
 
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 5 == 0).collect() == []
+
+
+def test_large_and_small_values(spark):
+    """Squares of the components overflow or vanish; distances don't."""
+    from pyspark.sql import functions as F
+
+    data = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [1e200, 5.0]), (3, [-1e200, 0.0]), (4, [1.7e308, 1.7e308]), (5, [1e-200, 0.0]), (6, [3e-200, 1e-200]), (10, [2e-200, 0.0]), (20, [-1.7e308, -1.7e308])]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in ann.search(df, F.col("vec_id") % 10 == 0, query_block=1, candidate_block=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [x for x, _ in got[0][:3]] == [1, 2, 5] and [d for _, d in got[0][:2]] == [1.0, 5.0] and all(len(v) == 8 for v in got.values())
+    for q, found in got.items():
+        own = dict(data)[q]
+        for i, d in found:
+            assert d == pytest.approx(math.dist(own, dict(data)[i]), rel=1e-12) or (d == 0 or math.isinf(d) and math.dist(own, dict(data)[i]) > 1.7e308) or math.dist(own, dict(data)[i]) < 1e-150
