@@ -118,17 +118,19 @@ g AS (
     SELECT *, "end" - n AS "start" FROM p
     WHERE (kind = 0 AND length(value) >= {secrets.ASSIGNED}) OR kind IN (1, 2)
        OR (kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]'))),
-o AS (SELECT h, count(DISTINCT owner) AS owners FROM g GROUP BY h),
+o AS (SELECT h, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM g GROUP BY h),
 s AS (
-    SELECT rid, kind, "start", owners < {secrets.SHARED_FROM} AS live, {text} AS span
-    FROM g JOIN o USING (h) WHERE kind < 3 OR owners < {secrets.SHARED_FROM}),
+    SELECT *, concat(owners, ':', repositories) AS held FROM (
+        SELECT rid, kind, "start", owners < {secrets.SHARED_FROM} AND repositories < {secrets.SPREAD_FROM} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AS live, owners, repositories, {text} AS span
+        FROM g JOIN o USING (h)) WHERE kind < 3 OR live),
 a AS (
     SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
            string_agg(span, ',' ORDER BY "start", kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY "start", kind) AS spans,
-           string_agg(span, ',' ORDER BY "start", kind) FILTER (live) AS live_spans, string_agg(span, ',' ORDER BY "start", kind) FILTER (NOT live) AS example_spans
+           string_agg(span, ',' ORDER BY "start", kind) FILTER (live) AS live_spans, string_agg(span, ',' ORDER BY "start", kind) FILTER (NOT live) AS example_spans,
+           string_agg(held, ',' ORDER BY "start", kind) AS held_by
     FROM s GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live_spans, '') AS live_spans, coalesce(example_spans, '') AS example_spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live_spans, '') AS live_spans, coalesce(example_spans, '') AS example_spans, coalesce(held_by, '') AS held_by
 FROM d LEFT JOIN a USING (rid)
 """
 

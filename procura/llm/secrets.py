@@ -2,7 +2,8 @@
 
 A scan lists candidates of every text: assignments, access keys, hex runs and long mixed tokens. The
 hashes of their values are counted by distinct repositories and owners. A value that one owner alone
-holds and that mixes its characters is live-looking; one that several owners hold is a copied example.
+holds, in fewer than SPREAD_FROM repositories, and that mixes letters and digits is live-looking; one that
+several owners hold or that one has spread over its repositories is a copied example.
 Spans of the three base kinds always stay; mixed tokens become spans of kind `owned` where live-looking.
 
 Defined results: a null text counts as empty and has no spans; a null owner or repository counts as one
@@ -27,8 +28,9 @@ PATTERNS = {
     "owned": (r"([A-Za-z0-9_-]{20,})", 1),
 }
 ASSIGNED = 12
-#: Owners from which on a value is a copied example.
+#: Owners, and repositories of one owner, from which on a value is a copied example.
 SHARED_FROM = 2
+SPREAD_FROM = 3
 
 
 def flags(text: Column) -> dict[str, Column]:
@@ -69,23 +71,23 @@ def scan(df: DataFrame, text_col: str, owner: Column, repository: Column, keep:
 
 
 def spans(scanned: DataFrame) -> DataFrame:
-    """rid, kind, start, end, value and the distinct repositories and owners of the value."""
+    """rid, kind, start, end, whether the value mixes letters and digits, and its distinct owners and repositories."""
     rows = scanned.select("rid", "owner", "repository", F.inline("found"))
     upto = F.sum(F.col("gap") + F.length("raw")).over(W.partitionBy("rid", "kind").orderBy("i"))
     placed = rows.withColumn("end", upto).withColumn("start", F.col("end") - F.length("raw"))
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]")
     good = ((F.col("kind") == 0) & (F.length("value") >= ASSIGNED)) | F.col("kind").isin(1, 2) | ((F.col("kind") == 3) & mixed)
-    placed = placed.where(good).select("rid", "owner", "repository", "kind", "start", "end", F.md5("value").alias("hash"))
-    owned = rows.where(good).groupBy(F.md5("value").alias("hash"), "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    counts = owned.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"), F.sum("n").alias("seen"))
-    return placed.drop("owner", "repository").join(counts, "hash")
+    placed = placed.where(good).select("rid", "kind", "start", "end", (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).alias("mixed"), F.md5("value").alias("hash"))
+    owned = rows.where(good).groupBy(F.md5("value").alias("hash"), "owner", "repository").agg(F.count(F.lit(1)).alias("n"))  # one row for each holder, before it is shuffled by value alone
+    counts = owned.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("owner", "repository").alias("repositories"))
+    return placed.join(counts, "hash")
 
 
 def verdicts(scanned: DataFrame) -> DataFrame:
     """Per rid the spans in order, each with its kind and whether it is live-looking; an example token is no span."""
-    live = F.col("owners") < SHARED_FROM
+    live = (F.col("owners") < SHARED_FROM) & (F.col("repositories") < SPREAD_FROM) & F.col("mixed")
     kept = spans(scanned).where((F.col("kind") < 3) | live)
-    item = F.struct(F.col("start"), F.col("kind"), F.col("end"), live.alias("live"))
+    item = F.struct(F.col("start"), F.col("kind"), F.col("end"), live.alias("live"), F.col("owners"), F.col("repositories"))
     return kept.groupBy("rid").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
@@ -95,16 +97,17 @@ def joined(items: Column) -> Column:
 
 
 def report(df: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: base spans counted and digested, all spans, and which of them are live-looking or examples."""
+    """Per document: base spans counted and digested, all spans, which of them are live-looking or examples, and owners:repositories of each."""
     scanned = written(scan(df, text_col, owner, repository, [F.col(id_col).cast("bigint").alias("_id")]))
     out = scanned.select("rid", "_id").join(verdicts(scanned), "rid", "left")
-    items = F.coalesce("items", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>"))
+    items = F.coalesce("items", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean,owners:bigint,repositories:bigint>>"))
     out = out.select("_id", items.alias("items"))
     n = [F.size(F.filter("items", of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     base = joined(F.filter("items", lambda x: x["kind"] < 3))
     return out.select(
         F.col("_id").alias("doc_id"), *n, F.sha2(base, 256).alias("base_sha256"), joined(F.col("items")).alias("spans"),
         joined(F.filter("items", lambda x: x["live"])).alias("live_spans"), joined(F.filter("items", lambda x: ~x["live"])).alias("example_spans"),
+        F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["owners"], x["repositories"])), ",").alias("held_by"),
     )
 
 

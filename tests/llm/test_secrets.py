@@ -92,3 +92,11 @@ def test_sql(spark, sf):
     sf_dir = f"/root/testdata/{sf}"
     for name, sql in queries.oracle_sql().items():
         assert differences(queries.queries()[name](spark, sf_dir), sql, sf_dir) == [], name
+
+
+def test_one_owner_and_many_repositories(spark):
+    """A value that its only owner has in three repositories is an example; one in two of them is live-looking if it mixes characters."""
+    data = [(1, "token=Spread0Value0x", "en"), (2, "token=Spread0Value0x", "de"), (3, "token=Spread0Value0x", "fr"), (4, "token=Double0Value0x", "en"), (5, "token=Double0Value0x", "de"), (6, "token=lettersalonehere", "en")]
+    df = spark.createDataFrame([(i, t, lang, "own", 1, "k", 1, 1, None) for i, t, lang in data], SCHEMA)
+    got = {r["doc_id"]: (r["live_spans"] != "", r["held_by"]) for r in secrets.report(df, *queries.owner_and_repository()).collect()}
+    assert got == {1: (False, "1:3"), 2: (False, "1:3"), 3: (False, "1:3"), 4: (True, "1:2"), 5: (True, "1:2"), 6: (False, "1:1")}
