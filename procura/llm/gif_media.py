@@ -1,12 +1,14 @@
 """GIF media columns: LZW code streams, palettes, disposal, transparency and timed frames.
 
 `decode` reads any GIF87a/89a file into timed RGBA frames. `frames` turns a binary column into one
-row per frame with a colour histogram. `encode` writes 8-bit samples losslessly as GIF frames, and
+row per frame with a colour histogram. `encode` writes 8-bit samples losslessly as timed frames: one after
+the other shows the next FRAME_ROWS rows, and samples that are as in the frame before are transparent.
 `text_media` is the round trip over whole texts.
 
 Defined results: a null text counts as empty; an empty text stores 64 zero bytes; repeated rows give
 repeated results; other columns of the input are not read; an empty table gives an empty table. In
-`frames` a null or broken file gives one row with frame_index null and the reason in `error`.
+`frames` a null or broken file gives one row with frame_index null and the reason in `error`; a canvas of
+more than MAX_PIXELS counts as broken, before anything is allocated for it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,13 @@ from pyspark.sql import functions as F
 from .common import documents, map_slices
 
 WIDTH = 64
-MAX_ROWS = 65535
+#: Rows of a frame, and frames after which the canvas is cleared and drawn anew.
+FRAME_ROWS = 64
+KEY_FRAMES = 8
+#: Largest canvas that is decoded, 128 MB as RGBA.
+MAX_PIXELS = 1 << 25
+#: The sample that can mean transparency; it stands in no UTF-8 text.
+CLEAR_SAMPLE = 255
 TABLE = 4096
 GREYS = bytes(v for i in range(256) for v in (i, i, i))
 
@@ -128,13 +136,18 @@ def read_codes(data: bytes, min_size: int) -> Iterator[list[int]]:
             at, fresh = at + span, False
 
 
-def lzw_decode(data: bytes, min_size: int) -> bytes:
-    """Samples of a code stream; a list that begins with -1 goes on with the table before it."""
+def lzw_decode(data: bytes, min_size: int, limit: int | None = None) -> bytes:
+    """Samples of a code stream; a list that begins with -1 goes on with the table before it. Reading ends after the list that reaches a limit."""
     base = [bytes((i,)) for i in range(1 << min_size)] + [b"", b""]
     out: list[bytes] = []
     put = out.append
     table, last = list(base), b""
+    made, counted = 0, 0
     for codes in read_codes(data, min_size):
+        if limit is not None:
+            made, counted = made + sum(map(len, out[counted:])), len(out)
+            if made >= limit:
+                break
         if not codes:
             table, last = list(base), b""
             continue
@@ -170,15 +183,28 @@ def blocks(data: bytes) -> bytes:
     return b"".join(bytes((len(data[i : i + 255]),)) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-def encode(samples: bytes, width: int = WIDTH, delay_cs: int = 10) -> bytes:
-    """Samples (a multiple of width) as a grey GIF; one frame holds 65535 rows at most, as the format does."""
-    rows = len(samples) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, MAX_ROWS), 0xF7, 0, 0), GREYS]
-    for top in range(0, rows, MAX_ROWS):
-        part = samples[top * width : (top + MAX_ROWS) * width]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_cs, 0) + b"\0")
+def encode(samples: bytes, width: int = WIDTH, delay_cs: int = 10, frame_rows: int = FRAME_ROWS) -> bytes:
+    """Samples (a multiple of width) as a grey GIF of timed frames, drawn one over the other.
+
+    A sample that the frame before has at the same place is written as transparent, unless a frame holds CLEAR_SAMPLE itself.
+    The last frame before a key frame is disposed of to the background, others stay.
+    """
+    size = frame_rows * width
+    n = max(1, -(-len(samples) // size))
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(len(samples) // width, frame_rows), 0xF7, 0, 0), GREYS]
+    shown = b""
+    for index in range(n):
+        part = samples[index * size : (index + 1) * size]
+        disposal = 2 if index % KEY_FRAMES == KEY_FRAMES - 1 else 1
+        delta = bool(index % KEY_FRAMES) and CLEAR_SAMPLE not in part
+        drawn = part
+        if delta:
+            now, before = (np.frombuffer(x, np.uint8, count=len(part)) for x in (part, shown))
+            drawn = np.where(now == before, CLEAR_SAMPLE, now).astype(np.uint8).tobytes()
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | delta, delay_cs, CLEAR_SAMPLE if delta else 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08")
-        out.append(blocks(pack_codes(lzw_codes(part))))
+        out.append(blocks(pack_codes(lzw_codes(drawn))))
+        shown = part + shown[len(part) :]
     return b"".join([*out, b"\x3b"])
 
 
@@ -205,7 +231,9 @@ def decode(data: bytes) -> Iterator[dict]:
         size = 2 << (flags & 7)
         shared = np.frombuffer(data, np.uint8, count=3 * size, offset=at).reshape(-1, 3)
         at += 3 * size
-    canvas = np.zeros((height, width, 4), np.uint8)
+    if width * height > MAX_PIXELS:
+        raise ValueError("the canvas is too large")
+    canvas: np.ndarray | None = None
     disposal, delay, clear_index, index = 0, 0, -1, 0
     while at < len(data):
         kind = data[at]
@@ -229,10 +257,14 @@ def decode(data: bytes) -> Iterator[dict]:
         if palette is None:
             raise ValueError("no palette")
         stream, end = sub_blocks(data, at + 1)
-        samples = np.frombuffer(lzw_decode(stream, data[at]), np.uint8)
+        if left + w > width or top + h > height:
+            raise ValueError("the image does not fit its canvas")
+        samples = np.frombuffer(lzw_decode(stream, data[at], w * h), np.uint8)
         at = end
-        if len(samples) < w * h or left + w > width or top + h > height:
+        if len(samples) < w * h:
             raise ValueError("the image does not fill its rectangle")
+        if canvas is None:
+            canvas = np.zeros((height, width, 4), np.uint8)
         pixels = samples[: w * h].reshape(h, w)
         if packed & 0x40:
             straight = np.empty_like(pixels)
@@ -292,22 +324,24 @@ def frames(df: DataFrame, id_col: str = "media_id", gif_col: str = "gif", bins:
 
 FRAME_ARROW = pa.schema([("media_id", pa.int64()), ("frame_index", pa.int32()), ("at_ms", pa.int64()), ("delay_ms", pa.int64()), ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
 
-MEDIA_SCHEMA = "doc_id bigint, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long"
-MEDIA_ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_bytes", "payload_bytes")), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("duration_ms", pa.int64())])
+MEDIA_SCHEMA = "doc_id bigint, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long, frames array<struct<at_ms:bigint,delay_ms:bigint,disposal:int,rows:int,histogram:array<bigint>>>"
+MEDIA_ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_bytes", "payload_bytes")), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("duration_ms", pa.int64()), ("frames", pa.list_(pa.struct([("at_ms", pa.int64()), ("delay_ms", pa.int64()), ("disposal", pa.int32()), ("rows", pa.int32()), ("histogram", pa.list_(pa.int64()))])))])
 
 
 def text_record(data: bytes) -> tuple:
-    """Stores a text's padded bytes as a GIF, reads them back through palette and canvas, and describes them."""
+    """Stores a text's padded bytes as a GIF, reads them back from the canvas of each timed frame, and describes them."""
     gif = encode(data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data)))
-    digest, tail, total, counts, n, time = hashlib.sha256(), b"", 0, np.zeros(16, np.int64), 0, 0
+    digest, tail, total, counts, time, shown = hashlib.sha256(), b"", 0, np.zeros(16, np.int64), 0, []
     for f in decode(gif):
         part = np.ascontiguousarray(f["rgba"][: f["height"], : f["width"], 0])
-        counts += np.bincount(part.ravel() >> 4, minlength=16)
+        colours = np.bincount(part.ravel() >> 4, minlength=16)
+        counts += colours
         raw = part.tobytes()
         digest.update(raw)
-        tail, total, n, time = raw[-64:], total + len(raw), n + 1, time + f["delay_ms"]
+        shown.append({"at_ms": time, "delay_ms": f["delay_ms"], "disposal": f["disposal"], "rows": f["height"], "histogram": colours})
+        tail, total, time = raw[-64:], total + len(raw), time + f["delay_ms"]
     feature = f"{WIDTH}x{total // WIDTH};" + ",".join(map(str, counts.tolist()))
-    return len(data), total, digest.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), feature, n, time
+    return len(data), total, digest.hexdigest(), zlib.crc32(tail), len(gif), hashlib.sha256(gif).hexdigest(), feature, len(shown), time, shown
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

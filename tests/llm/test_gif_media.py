@@ -124,4 +124,35 @@ def test_documents(spark):
         stored = g.encode(payload)
         assert any(r["media_sha256"] == hashlib.sha256(stored).hexdigest() and r["media_bytes"] == len(stored) for r in got[doc_id])
         assert np.frombuffer(b"".join(f["rgba"][: f["height"], :, 0].tobytes() for f in g.decode(stored)), np.uint8).tobytes() == payload
+        want_frames = [payload[i : i + 4096] for i in range(0, len(payload), 4096)]
+        for r in got[doc_id]:
+            if r["payload_sha256"] != want[2]:
+                continue
+            counts = [sum(x >> 4 == c for x in payload) for c in range(16)]
+            assert r["feature"] == f"64x{len(payload) // 64};" + ",".join(map(str, counts))
+            assert [(f["at_ms"], f["delay_ms"], f["disposal"], f["rows"], sum(f["histogram"])) for f in r["frames"]] == [(100 * i, 100, 2 if i % 8 == 7 else 1, len(x) // 64, len(x)) for i, x in enumerate(want_frames)]
+            assert [sum(f["histogram"][c] for f in r["frames"]) for c in range(16)] == counts and r["n_frames"] == len(want_frames) and r["duration_ms"] == 100 * len(want_frames)
     assert g.text_media(frame(spark).limit(0)).collect() == []
+
+
+def test_frames_are_drawn_over_each_other():
+    """What is as before is transparent; a frame with the clear sample itself is drawn whole."""
+    a, b = bytes(range(200)) * 21, bytes(range(200)) * 21
+    payload = (a[:4096] + b[:4000] + bytes(96) + bytes([255] * 4096) + a[:640] + bytes(4096) * 9)
+    gif = g.encode(payload)
+    shown = [(f["disposal"], f["rgba"][: f["height"], :, 0].tobytes()) for f in g.decode(gif)]
+    assert b"".join(x for _, x in shown) == payload and [d for d, _ in shown] == [1] * 7 + [2] + [1] * (len(shown) - 8)
+    assert len(g.encode(a[:4096] * 7)) < 2 * len(g.encode(a[:4096]))
+    controls = [gif[i + 3] for i in range(len(gif)) if gif[i : i + 3] == b"\x21\xf9\x04"]
+    assert controls[:3] == [1 << 2, 1 << 2 | 1, 1 << 2]
+
+
+def test_hostile_files():
+    """Sizes that are only claimed cost no memory."""
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x81, 0, 0) + PALETTE + b"\x3b"
+    wide = b"GIF89a" + struct.pack("<HHBBB", 5000, 5000, 0x81, 0, 0) + PALETTE + image(bytes(4), 0, 0, 5000, 5000) + b"\x3b"
+    bomb = HEAD + image(bytes(30_000_000), 0, 0, 2, 2) + b"\x3b"
+    for gif, reason in ((huge, "too large"), (wide, "does not fill")):
+        with pytest.raises(ValueError, match=reason):
+            list(g.decode(gif))
+    assert len(list(g.decode(bomb))) == 1
