@@ -17,18 +17,18 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import map_slices, written
 
-#: Paths kept per host, pages that must vote for one, and hosts up to which the winners are broadcast.
-PATHS = 3
+#: Pages that must vote for a path, the share of its host's votes it needs (a host has at most 1 / MIN_SHARE winners), and
+#: characters of hosts and winning paths up to which they are broadcast.
 MIN_VOTES = 2
-BROADCAST_HOSTS = 100_000
+MIN_SHARE = 0.01
+BROADCAST_CHARS = 16 << 20
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math select object audio video canvas".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg select object audio video canvas".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body head html td th tr tbody thead tfoot caption option legend button".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
@@ -44,6 +44,8 @@ ABOUT = frozenset("has no with without not".split())
 WRAPPERS = frozenset("form fieldset".split())
 SINGLE = frozenset("noscript iframe noembed noframes audio video canvas xmp".split())
 CODE = frozenset("script style".split())
+#: Inline tags that are left out where their class says so.
+INLINE = frozenset("span ins small label".split())
 GOOD_WORDS = frozenset("article content post entry story main body text prose".split())
 CONTAINERS = frozenset("# html article main section div td body center".split())
 
@@ -54,6 +56,32 @@ DIGITS = re.compile(r"\d+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by name; one without a value is empty."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
+    if "hidden" in raw.lower() and HIDDEN.search(QUOTED.sub("''", raw)):
+        found.setdefault("hidden", "")
+    return found
+
+
+def is_hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+
+
+def end_of(tag: str, page: str, at: int) -> re.Match | None:
+    """The end tag of an element whose content begins at a place; elements of its kind inside it are counted."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m
+    return None
+
+
 class Node:
     __slots__ = ("tag", "parent", "label", "junk", "good", "depth", "inside", "covered", "named", "commented")
 
@@ -65,14 +93,14 @@ class Node:
         self.covered = 0.0
         self.label = tag
         if attributes:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+            found = attributes_of(attributes)
             names = f"{found.get('class', '')} {found.get('id', '')}"
             words = {w.lower() for w in WORD.findall(names)}
             role = found.get("role", "").lower()
             self.commented = tag == "article" and bool(words & JUNK_WORDS)
             if tag not in ("html", "body", "article", "main"):
                 self.named = bool(words & JUNK_WORDS) and junk_words(names)
-                self.junk = self.named or role in JUNK_ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+                self.junk = self.named or role in JUNK_ROLES or is_hidden(found)
             self.good = bool(words & GOOD_WORDS) or role in ("main", "article") or found.get("itemprop") == "articleBody"
             first = found.get("class", "").split()
             self.label = f"{tag}.{DIGITS.sub('#', first[0]).replace('/', '|')}" if first else tag
@@ -181,7 +209,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 pop_to({tag})
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
+            close = re.compile(rf"</{tag}\s*>?", re.I).search(page, at) if tag in CODE or tag in SINGLE or tag in ("textarea", "title") else end_of(tag, page, at)
             if tag in CODE:
                 at = close.end() if close else end
             elif close and not m[3].endswith("/") and not (tag in SINGLE and re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, close.start())):
@@ -195,6 +223,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             pieces.append(" ")
             continue
         if tag not in BLOCK:
+            if tag in INLINE and m[3] and not m[3].endswith("/"):
+                found = attributes_of(m[3])
+                if is_hidden(found) or junk_words(f"{found.get('class', '')} {found.get('id', '')}"):
+                    close = end_of(tag, page, at)
+                    # one without an end, or with blocks inside, is as any other
+                    if close and not any(x[2] and x[2].lower() in BLOCK for x in TOKEN.finditer(page, at, close.start())):
+                        at = close.end()
+                        pieces.append(" ")
             continue
         flush()
         links = 0
@@ -270,21 +306,23 @@ def host_paths(rows: DataFrame) -> DataFrame:
 
     votes = map_slices(rows.where("html != ''").select("host", "html"), run, "host string, path string, value double")
     # votes are sums of thousandths: the order of adding can't change a winner
-    summed = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("votes")).where(F.col("pages") >= MIN_VOTES)
-    ranked = summed.withColumn("place", F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("place") <= PATHS)
-    lists = F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
-    return ranked.groupBy("host").agg(lists.alias("paths"))
+    summed = written(votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("votes")))
+    totals = summed.groupBy("host").agg(F.sum("votes").alias("all_votes"))
+    winners = summed.where(F.col("pages") >= MIN_VOTES).join(totals, "host").where(F.col("votes") >= MIN_SHARE * F.col("all_votes"))
+    lists = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("place"), "path"))), lambda x: x["path"])
+    return winners.groupBy("host").agg(lists.alias("paths"))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    The winners are broadcast while they are few, which is counted; beyond that the pages are joined with
+    The winners are broadcast while they are small, which is measured; beyond that the pages are joined with
     them by host, where adaptive execution splits a hot host.
     """
     rows = pages(df, id_col, url_col, html_col)
     winners = written(host_paths(rows))
-    if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    size = winners.agg(F.sum(F.length("host") + F.length(F.array_join("paths", "/")) + 64)).first()[0] or 0
+    if size <= BROADCAST_CHARS:
         winners = F.broadcast(winners)
     joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
 

@@ -35,6 +35,16 @@ def test_consensus_helps_a_short_page(spark):
     assert alone[9] != "Short text."
 
 
+def test_a_host_of_many_templates(spark):
+    """Every template of a host has its own winning path, however many there are."""
+    long = "<p>" + "words of the article go on and on here. " * 20 + "</p>"
+    links = "<div class='links'><p>" + "another thing to read elsewhere today " * 30 + "</p></div>"
+    data = [(i, "https://h.example.org/a", page(long, f"div class='{'abcdefgh'[i % 8]}-template'"), "", "", "") for i in range(32)]
+    data += [(100, "https://h.example.org/b", page("<p>Short text.</p>", "div class='h-template'").replace('<div id="comments">', links + '<div id="comments">'), "", "", "")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got[100] == "Short text."
+
+
 def test_edges(spark):
     data = [(1, None, None, "", "", ""), (2, "", "", "", "", ""), (3, "nonsense", "no markup at all", "", "", ""), (4, "http://h/", "<p>a<p>b<div>c", "", "", ""), (5, "http://h/", "<" * 5000 + "<script>", "", "", ""), (6, "http://h/", "<div>" * 3000 + "deep" + "</div>" * 3000, "", "", ""), (None, "http://h/", "<p>" + "long text " * 200_000, "", "", ""), (4, "http://h/", "<p>a<p>b<div>c", "", "", "")]
     df = spark.createDataFrame(data, SCHEMA)
@@ -50,5 +60,5 @@ def test_edges(spark):
 def test_hosts_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     few = sorted(map(tuple, html_text.main_text(df).collect()))
-    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(html_text, "BROADCAST_CHARS", -1)
     assert sorted(map(tuple, html_text.main_text(df).collect())) == few
