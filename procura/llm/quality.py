@@ -2,7 +2,7 @@
 
 Positives are documents labelled 1; the unlabelled set is a sample of all documents, whose labels are
 never looked at. The class prior is estimated from how much of the unlabelled set lies where positives
-do. A small network over counts of characters, words and lines minimises
+do. A small network over counts of characters, words and lines and over hashed words minimises
 pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)]) with the logistic loss.
 
 Training takes a bounded sample (POSITIVES and UNLABELLED documents, none longer than MAX_CHARS); scoring
@@ -15,6 +15,7 @@ read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +31,15 @@ UNLABELLED = 12_000
 MAX_CHARS = 50_000
 THRESHOLD = 0.3
 HIDDEN = 16
+#: Buckets that words are counted in by their hashes.
+BUCKETS = 64
+#: By how much the word buckets count less than other features, as there are many of them.
+WORD_SPREAD = 3.0
 #: Factor on the estimated prior: one that is too high lets negatives pass, one that is too low costs little.
 CAUTION = 0.98
 
 #: Bytes that are counted together.
-GROUPS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "high": range(128, 256), "space": (32,), "line": (10,), "stop": b".,;:", "loud": b"!?", "sign": b"#$%&*+@^~_=<>\\/", "bar": b"|", "quote": b"\"'()[]{}-"}
+GROUPS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "high": range(128, 256), "space": (32,), "line": (10,), "stop": b".,;:", "loud": b"!?", "sign": b"#$%&*+@^~_=<>\\/|`", "quote": b"\"'()[]{}-"}
 MEMBER = np.zeros((256, len(GROUPS)))
 for _k, _bytes in enumerate(GROUPS.values()):
     MEMBER[list(_bytes), _k] = 1
@@ -51,12 +56,13 @@ def describe(text: str) -> np.ndarray:
     same = sum(map(str.__eq__, words, words[1:]))
     loud = sum(map(str.isupper, words))
     bare = sum(map(str.isalpha, words))
-    ends = sum(w[-1] in "#$%&*!?|@~^" for w in words)
-    more = [np.log1p(len(words)), distinct / k, np.log1p(distinct) / np.log1p(k) if words else 0.0, same / k, loud / k, bare / k, ends / k, (len(text) - len(words)) / k / 10, len(set(lines)) / len(lines), np.log1p(k / len(lines)), shares[8] * 20, shares[9] * 20, float(not words)]
-    return np.concatenate([np.sqrt(shares), more])
+    ends = sum(not w[-1].isalnum() for w in words)
+    more = [np.log1p(len(words)), distinct / k, np.log1p(distinct) / np.log1p(k) if words else 0.0, same / k, loud / k, bare / k, ends / k, (len(text) - len(words)) / k / 10, len(set(lines)) / len(lines), np.log1p(k / len(lines)), float(not words)]
+    content = np.bincount([zlib.crc32(w.lower().encode()) % BUCKETS for w in words], minlength=BUCKETS) / k
+    return np.concatenate([np.sqrt(shares), more, np.sqrt(content)])
 
 
-WIDTH = len(GROUPS) + 13
+WIDTH = len(GROUPS) + 11 + BUCKETS
 
 
 @dataclass
@@ -92,27 +98,30 @@ def descend(x_p: np.ndarray, x_u: np.ndarray, prior: float | None, rounds: int,
     random = np.random.default_rng(seed)
     layers = [random.normal(0, 0.3, (x_p.shape[1], HIDDEN)), np.zeros(HIDDEN), random.normal(0, 0.3, HIDDEN), np.zeros(1)]
     adam = Adam(layers, 0.01)
-    n_p, n_u = len(x_p), len(x_u)
+    n_p = len(x_p)
     x = np.vstack([x_p, x_u])
     for _ in range(rounds):
         w1, b1, w2, b2 = layers
         h = np.tanh(x @ w1 + b1)
-        f = h @ w2 + b2[0]
-        up, down = -sigmoid(-f), sigmoid(f)  # slopes of the losses of label 1 and label 0
-        slope = np.empty(len(f))
-        if prior is None:
-            slope[:n_p], slope[n_p:] = up[:n_p] / n_p, down[n_p:] / n_u
-        else:
-            rest = softplus(f[n_p:]).mean() - prior * softplus(f[:n_p]).mean()
-            if rest >= 0:
-                slope[:n_p], slope[n_p:] = prior * (up[:n_p] - down[:n_p]) / n_p, down[n_p:] / n_u
-            else:  # the risk of negatives has gone below zero: go back up
-                slope[:n_p], slope[n_p:] = prior * down[:n_p] / n_p, -down[n_p:] / n_u
+        slope = risk_slope(h @ w2 + b2[0], n_p, prior)
         dh = slope[:, None] * w2 * (1 - h * h)
         adam.step(layers, [x.T @ dh + decay * w1, dh.sum(axis=0), h.T @ slope + decay * w2, np.array([slope.sum()])])
     return layers
 
 
+def risk_slope(f: np.ndarray, n_p: int, prior: float | None) -> np.ndarray:
+    """Slopes by which the outputs (n_p positives, then unlabelled rows) go down; without a prior, of positives against unlabelled rows."""
+    up, down = -sigmoid(-f), sigmoid(f)  # slopes of the losses of label 1 and label 0
+    slope, n_u = np.empty(len(f)), len(f) - n_p
+    if prior is None:
+        slope[:n_p], slope[n_p:] = up[:n_p] / n_p, down[n_p:] / n_u
+    elif softplus(f[n_p:]).mean() >= prior * softplus(f[:n_p]).mean():
+        slope[:n_p], slope[n_p:] = prior * (up[:n_p] - down[:n_p]) / n_p, down[n_p:] / n_u
+    else:  # the risk of negatives has gone below zero: go back up
+        slope[:n_p], slope[n_p:] = prior * down[:n_p] / n_p, -down[n_p:] / n_u
+    return slope
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray, doubt: float = 0.1) -> float:
     """The ratio of the shares of unlabelled and positive rows above a score, at the score of the least upper bound of that ratio."""
     cuts = np.quantile(p, np.linspace(0.02, 0.98, 97))
@@ -134,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", only:
     if not len(p) or not len(u):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), np.full(1, 30.0)], 1.0)
     mean, spread = u.mean(axis=0), u.std(axis=0) + 1e-3
+    spread[-BUCKETS:] *= WORD_SPREAD
     scaled = [np.clip((x - mean) / spread, -8, 8) for x in (p, u)]
     return Model(mean, spread, descend(*scaled, prior := cross_fitted_prior(p, u, scaled, mean, spread, rounds), rounds, 2, 3e-3), prior)
 
