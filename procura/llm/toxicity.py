@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_slices, slices
+from .common import documents, held, map_slices, slices
 from .training import Adam, sample, sigmoid, softplus
 
 PER_LABEL = {1: 3000, 0: 6000}
@@ -42,7 +43,7 @@ NOISE = 0.02
 #: Words that a worker remembers the weight of.
 CACHE = 1 << 18
 
-SENTENCE = re.compile(r"[^.!?\n]+")
+SENTENCE = re.compile(r"[^.!?\u3002\uff01\uff1f\n]+")
 WORD = re.compile(r"\w+")
 
 
@@ -148,14 +149,13 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_sentence
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:
     """Score of every whole text and the sentences (offsets in code points) of probability at_least or more."""
     bias, threshold = model.bias, math.log(at_least / (1 - at_least))
-    held: list = []
+    mark = uuid.uuid4().hex
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(model.scorer())
+        words = held("toxicity", mark, make=model.scorer)
         rows = []
         for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-            found = sentence_scores(text, held[0], bias) or [(0, 0, bias)]
+            found = sentence_scores(text, words, bias) or [(0, 0, bias)]
             total = sum_of([z for _, _, z in found])
             rows.append({"doc_id": key, "score": -math.expm1(-total), "n_sentences": len(found), "offending": [{"start": s, "end": e, "score": 1 / (1 + math.exp(-z))} for s, e, z in found if z >= threshold]})
         return pa.RecordBatch.from_pylist(rows, schema=ARROW)
@@ -166,14 +166,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows and columns of documents that score below the threshold; no shuffle."""
     bias, at = model.bias, df.columns.index(text_col)
-    held: list = []
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(model.scorer())
+        words = held("toxicity", mark, make=model.scorer)
         for batch in batches:
             for part in slices(batch):
-                totals = [sum_of([z for _, _, z in sentence_scores(t or "", held[0], bias)] or [bias]) for t in part.column(at).to_pylist()]
+                totals = [sum_of([z for _, _, z in sentence_scores(t or "", words, bias)] or [bias]) for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([-math.expm1(-t) < threshold for t in totals], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -68,6 +68,27 @@ def test_noisy_or_and_offending_sentences(spark):
     assert [r["doc_id"] for r in kept.collect()] == [2] and kept.columns == df.columns
 
 
+@pytest.mark.parametrize("shift", [0.0, 2.0, -2.0])
+@pytest.mark.parametrize("prior", [None, 0.2, 0.7])
+def test_slopes_of_the_risk(prior, shift):
+    """The slopes against differences of the risk as it is defined; below zero, the part of negatives is followed upwards."""
+    r = np.random.default_rng(3)
+    f, n = r.normal(0, 1.5, 12), 5
+    f[:n] += shift
+    loss = lambda z: math.log1p(math.exp(-z))
+
+    def risk(f: np.ndarray) -> float:
+        p, u = f[:n], f[n:]
+        if prior is None:
+            return float(np.mean([loss(z) for z in p]) + np.mean([loss(-z) for z in u]))
+        negative = float(np.mean([loss(-z) for z in u]) - prior * np.mean([loss(-z) for z in p]))
+        return prior * float(np.mean([loss(z) for z in p])) + negative if negative >= 0 else -negative
+
+    step = np.eye(len(f)) * 1e-6
+    plain = [(risk(f + e) - risk(f - e)) / 2e-6 for e in step]
+    assert quality.risk_slope(f, n, prior) == pytest.approx(plain, abs=1e-6)
+
+
 def test_non_negative_risk_learns_without_negatives():
     """Two clouds; only some of one are labelled."""
     r = np.random.default_rng(0)
