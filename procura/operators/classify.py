@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .scoring import holds
 
@@ -88,25 +87,34 @@ def by_keywords(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> Da
     """Industries of a text by counted keywords: key, industry, industry_code, confidence, keywords, secondary.
 
     dictionary has industry, code, weight, place (order of industries) and keywords (array, repeats count
-    twice). It is a small table of known size and is broadcast whole as one row per industry; texts are
-    not shuffled, only their scores are.
+    twice). It is a table of stated size and becomes one row, which is broadcast; every text is scored by itself
+    and nothing is shuffled.
     """
     rows = dictionary.groupBy("industry").agg(F.first("code").alias("code"), F.first("weight").cast("double").alias("weight"), F.min("place").alias("place"), F.flatten(F.collect_list("keywords")).alias("keywords"))
-    low = F.lower(F.col(text))
-    hits = F.transform("keywords", lambda k: F.struct(k.alias("word"), ((F.length(low) - F.length(F.replace(low, F.lower(k), F.lit("")))) / F.greatest(F.length(k), F.lit(1))).cast("int").alias("times")))
-    found = F.filter(hits, lambda h: h["times"] > 0)
-    score = F.aggregate("found", F.lit(0.0), lambda s, h: s + h["times"] * (1.0 + F.length(h["word"]) / 10.0) * F.col("weight"))
-    scored = df.select(key, text).join(F.broadcast(rows)).withColumn("found", found).where(F.size("found") > 0).withColumn("score", score)
-    n = F.size("found")
-    many = F.when(n >= 4, 0.15).when(n >= 3, 0.1).when(n >= 2, 0.05).otherwise(0.0)
-    confidence = F.least(F.least(F.col("score") / 3.5, F.lit(0.82)) + many + F.when(F.col("score") >= 2.5, 0.03).otherwise(0.0), F.lit(1.0))
-    scored = scored.select(key, "industry", "code", "place", "score", confidence.alias("confidence"), F.array_join(F.transform("found", lambda h: h["word"]), ",").alias("keywords"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "place")))
-    second = F.filter(F.sort_array(F.collect_list(F.when((F.col("rank") > 1) & (F.col("confidence") > 0.3), F.struct("rank", "industry")))), lambda x: x.isNotNull())
-    first = [F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c) for c in ("industry", "code", "confidence", "keywords")]
-    out = ranked.groupBy(key).agg(*first, F.array_join(F.transform(F.slice(second, 1, 3), lambda x: x["industry"]), ",").alias("secondary"))
+    table = rows.agg(F.collect_list(F.struct("industry", "code", "weight", "place", "keywords")).alias("_table"))
+
+    def hits(entry: Column) -> Column:
+        low = F.col("_low")
+        counted = F.transform(entry["keywords"], lambda k: F.struct(k.alias("word"), ((F.length(low) - F.length(F.replace(low, F.lower(k), F.lit("")))) / F.greatest(F.length(k), F.lit(1))).cast("int").alias("times")))
+        return F.struct(*(entry[c].alias(c) for c in ("industry", "code", "weight", "place")), F.filter(counted, lambda h: h["times"] > 0).alias("found"))
+
+    def graded(entry: Column) -> Column:
+        score = F.aggregate(entry["found"], F.lit(0.0), lambda s, h: s + h["times"] * (1.0 + F.length(h["word"]) / 10.0) * entry["weight"])
+        return F.struct((-score).alias("rank"), entry["place"].alias("place"), *(entry[c].alias(c) for c in ("industry", "code", "found")))
+
+    def confidence(entry: Column) -> Column:
+        n, score = F.size(entry["found"]), -entry["rank"]
+        many = F.when(n >= 4, 0.15).when(n >= 3, 0.1).when(n >= 2, 0.05).otherwise(0.0)
+        return F.least(F.least(score / 3.5, F.lit(0.82)) + many + F.when(score >= 2.5, 0.03).otherwise(0.0), F.lit(1.0))
+
+    found = F.filter(F.transform("_table", hits), lambda e: F.size(e["found"]) > 0)
+    told = df.select(key, F.lower(F.col(text)).alias("_low")).join(F.broadcast(table)).select(key, found.alias("_found")).where(F.size("_found") > 0).select(key, F.array_sort(F.transform("_found", graded)).alias("_all"))
+    told = told.select(key, F.get("_all", F.lit(0)).alias("first"), F.filter(F.slice("_all", 2, 1_000_000), lambda e: confidence(e) > 0.3).alias("others")).select("*", confidence(F.col("first")).alias("confidence"))
     sure = F.col("confidence") > 0.5
-    return out.select(key, F.when(sure, F.col("industry")).alias("industry"), F.when(sure, F.col("code")).alias("industry_code"), "confidence", "keywords", "secondary")
+    return told.select(
+        key, F.when(sure, F.col("first.industry")).alias("industry"), F.when(sure, F.col("first.code")).alias("industry_code"), "confidence",
+        F.array_join(F.transform("first.found", lambda h: h["word"]), ",").alias("keywords"), F.array_join(F.transform(F.slice("others", 1, 3), lambda e: e["industry"]), ",").alias("secondary"),
+    )
 
 
 def by_places(df: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
@@ -117,11 +125,13 @@ def by_places(df: DataFrame, key: str, text: str, places: DataFrame) -> DataFram
     first; parents are filled in from the table.
     """
     names = places.select("name", "level", "code", "parent", "place", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("word"))
-    hits = df.select(key, text).join(F.broadcast(names), F.col(text).contains(F.col("word")))
-    order = F.struct(-F.col("level"), "place", (F.col("word") != F.col("name")))
-    best = hits.groupBy(key).agg(F.min_by(F.struct("name", "level", "code", "parent", (F.col("word") == F.col("name")).alias("exact")), order).alias("b"))
+    # the table of stated size is one row, in order; the first word that a text has is its place
+    in_order = F.struct((-F.col("level")).alias("deep"), "place", (F.col("word") != F.col("name")).alias("alias"), "word", "name", "level", "code", "parent", (F.col("word") == F.col("name")).alias("exact"))
+    table = names.agg(F.array_sort(F.collect_list(in_order)).alias("_names"))
+    first = F.get(F.filter("_names", lambda n: F.contains(F.col(text), n["word"])), F.lit(0))
+    best = df.select(key, text).join(F.broadcast(table)).select(key, first.alias("b")).where("b is not null")
     up = places.select(F.col("name").alias("n2"), F.col("parent").alias("p2"))
-    out = best.select(key, "b.*").join(F.broadcast(up), F.col("parent") == F.col("n2"), "left")
+    out = best.select(key, "b.name", "b.level", "b.code", "b.parent", "b.exact").join(F.broadcast(up), F.col("parent") == F.col("n2"), "left")
     level = F.col("level")
     return out.select(
         key, F.when(level == 1, F.col("name")).when(level == 2, F.col("parent")).otherwise(F.col("p2")).alias("province"),

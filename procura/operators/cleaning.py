@@ -38,7 +38,11 @@ def amount_with_unit(amount: Column, unit: Column) -> Column:
 
 def amount_text(c: Column) -> Column:
     """An amount written with currency, separators and unit; the number at the front or, without one, all digits."""
-    bare = F.trim(F.regexp_replace(c, CURRENCY, ""))
+    return bound(F.trim(F.regexp_replace(c, CURRENCY, "")), amount_of)
+
+
+def amount_of(bare: Column) -> Column:
+    """The same without currency signs."""
     front = F.nullif(F.regexp_extract(bare, r"^([\d,.]+)", 1), F.lit(""))
     unit = F.nullif(F.regexp_extract(bare, r"^[\d,.]+\s*(亿元|万元|千元|亿|万|千)", 1), F.lit(""))
     digits = F.nullif(F.regexp_replace(bare, r"[^\d.]", ""), F.lit(""))
@@ -49,7 +53,7 @@ def amount_text(c: Column) -> Column:
 def date_text(c: Column) -> Column:
     """A date in any of the usual forms, the whole text being read."""
     text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^(\d{4})年(\d{1,2})月(\d{1,2})日.*$", "$1-$2-$3"), r"(Z|[+-]00:?00)$", ""))
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMS))
+    return bound(text, lambda t: F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMS)))
 
 
 def compact(c: Column) -> Column:
@@ -63,6 +67,21 @@ def notice_kind(title: Column, kind: Column | None = None) -> Column:
     return F.when(text.rlike("(?i)中标|成交|结果|award"), "win").when(text.rlike("(?i)变更|更正|change"), "change").otherwise("bidding")
 
 
+def quantised(amount: Column) -> Column:
+    """An amount with two places, halves to the even one; none counts as zero."""
+    return F.bround(F.coalesce(amount, F.lit(0)), 2)
+
+
+def in_english(name: Column, table: dict[str, str]) -> Column:
+    """The English name of a region or industry where the table has one."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[name], name)
+
+
+#: English names of regions and industries.
+REGIONS_ENGLISH = {"北京": "Beijing", "上海": "Shanghai", "广州": "Guangzhou", "深圳": "Shenzhen", "浙江": "Zhejiang", "江苏": "Jiangsu", "广东": "Guangdong"}
+INDUSTRIES_ENGLISH = {"IT": "IT", "信息技术": "IT", "建筑": "Construction", "医疗": "Healthcare", "教育": "Education", "金融": "Finance"}
+
+
 def status_of(deadline: Column, as_of: str) -> Column:
     return F.when(deadline < F.to_timestamp(F.lit(as_of)), "expired").otherwise("active")
 

@@ -20,11 +20,15 @@ ERROR_WORDS = (("timeout", ("timeout", "timed out")), ("connection", ("connectio
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: tuple[int, ...]) -> DataFrame:
     """Nearest-rank percentiles: the value at place min(int(n * p / 100), n - 1) of the sorted values.
 
-    Ranks come from a window, so no group is gathered into one row.
+    Values are counted before the ranks are worked out, so a window sorts distinct values alone.
     """
     w = W.partitionBy(*keys)
-    placed = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    picks = [F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(value))).alias(f"p{p}") for p in wanted]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    placed = counted.select(*keys, value, "c", F.sum("c").over(w.orderBy(value)).alias("upto"), F.sum("c").over(w).alias("n"))
+    picks = []
+    for p in wanted:
+        place = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
+        picks.append(F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place), F.col(value))).alias(f"p{p}"))
     return placed.groupBy(*keys).agg(*picks)
 
 
@@ -33,6 +37,18 @@ def endpoint_stats(df: DataFrame, keys: list[str], value: str, failed: Column) -
     return df.groupBy(*keys).agg(n(), F.round(F.sum(cents).cast("double") / F.count(value), 6).alias("average"), F.min(value).alias("least"), F.max(value).alias("most"), n(failed, "errors"), F.round(F.count_if(failed) * 100.0 / F.count(F.lit(1)), 4).alias("error_rate"))
 
 
+def timings(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Number, least, most, average and total of the values that there are."""
+    cents = F.sum(F.col(value).cast("decimal(18,4)")).cast("double")
+    return df.groupBy(*keys).agg(F.count(value).alias("count"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(cents / F.count(value), 6).alias("average"), cents.alias("total"))
+
+
+def hit_rates(df: DataFrame, keys: list[str], hit: Column, miss: Column) -> DataFrame:
+    """Hits, misses and their rate in percent; zero without any."""
+    asked = F.count_if(hit) + F.count_if(miss)
+    return df.groupBy(*keys).agg(n(hit, "hits"), n(miss, "misses"), F.round(F.when(asked > 0, F.count_if(hit) * 100.0 / asked).otherwise(0.0), 4).alias("hit_rate"))
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
     """Cumulative counts of values up to each bound, and all."""
     return df.groupBy(*keys).agg(*(n(F.col(value) <= b, f"le_{str(b).replace('.', '_')}") for b in bounds), n(name="le_inf"))

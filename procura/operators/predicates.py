@@ -64,7 +64,10 @@ def code_or_name(code: str, name: str, wanted: list[str]) -> Column:
 
 
 def build(params: dict) -> Column:
-    """One predicate of a parameter dictionary: kinds are joined by AND, values of a kind by OR."""
+    """One predicate of a parameter dictionary: kinds are joined by AND, values of a kind by OR. Unknown kinds raise ValueError."""
+    if unknown := sorted(set(params) - PARAMETERS):
+        raise ValueError(f"unknown filters: {', '.join(unknown)}")
+    params = {**params, **{k: params.get(k) or params.get(other) for k, other in (("dateFrom", "publishDateFrom"), ("dateTo", "publishDateTo"))}}
     validate(params)
     parts = []
     if params.get("regions"):
@@ -80,9 +83,16 @@ def build(params: dict) -> Column:
         parts.append(F.col("status").isin(params["status"]))
     if params.get("keyword"):
         parts.append(keywords([params["keyword"]]))
+    if params.get("notice_type"):
+        parts.append(F.col("notice_type") == params["notice_type"])
+    parts += [has_text(c, params[c]) for c in ("tenderer", "project_name") if params.get(c)]
     return all_of(parts)
 
 
+#: Kinds of filters that build() takes.
+PARAMETERS = frozenset("regions industries budgetMin budgetMax dateFrom dateTo publishDateFrom publishDateTo status keyword notice_type tenderer project_name".split())
+
+
 def parse_date(text: str) -> datetime:
     for form in DATE_FORMATS:
         try:

@@ -99,3 +99,37 @@ def periods(df: DataFrame, column: str = "publish_date") -> DataFrame:
     # months first: the small result is what is counted again by quarter and year
     monthly = df.where(c.isNotNull()).groupBy(F.date_trunc("month", c).alias(column)).agg(n(name="c"), F.sum("budget_amount").alias("s"))
     return monthly.select(F.inline(names), "c", "s").groupBy("kind", "period").agg(F.sum("c").cast("bigint").alias("count"), F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("total_amount"))
+
+
+def by_kind(df: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """(kind, key) pairs of every row with its amount; null keys are left out."""
+    pairs = F.array(*(F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key")) for kind, key in kinds.items()))
+    return df.select(F.explode(F.filter(pairs, lambda p: p["key"].isNotNull())).alias("p"), "budget_amount").select("p.kind", "p.key", "budget_amount")
+
+
+def service_overview(df: DataFrame, most: int = 10) -> DataFrame:
+    """Totals, and the most frequent statuses, regions and industries; blank regions and industries are left out."""
+    kinds = {"status": F.col("status"), "region": F.nullif(F.col("region"), F.lit("")), "industry": F.nullif(F.col("industry"), F.lit(""))}
+    grouped = by_kind(df, kinds).groupBy("kind", "key").agg(n(), total())
+    top = grouped.withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("count"), "key"))).where(F.col("r") <= most).drop("r")
+    totals = by_kind(df.withColumn("all", F.lit("all")).withColumn("active", F.when(F.col("status") == "active", "active")), {"a": F.col("all"), "b": F.col("active")})
+    return top.unionByName(totals.groupBy(F.lit("total").alias("kind"), "key").agg(n(), total()))
+
+
+def profile(df: DataFrame, latest: int = 10) -> DataFrame:
+    """Counts, amounts and averages in all and by industry, region and month, and the latest rows by themselves."""
+    kinds = {"total": F.lit("all"), "industry": F.col("industry"), "region": F.col("region"), "month": F.date_format("created_at", "yyyy-MM")}
+    average = F.coalesce(F.round(F.sum("budget_amount").cast("double") / F.count("budget_amount"), 4), F.lit(0.0)).alias("average")
+    grouped = by_kind(df, kinds).groupBy("kind", "key").agg(n(), total(), average)
+    amount = F.coalesce(F.col("budget_amount").cast("double"), F.lit(0.0))
+    rows = df.orderBy(F.desc("publish_date"), "id").limit(latest).select(F.lit("recent").alias("kind"), F.col("id").cast("string").alias("key"), F.lit(1).cast("bigint").alias("count"), amount.alias("total_amount"), F.round(amount, 4).alias("average"))
+    return grouped.unionByName(rows)
+
+
+def dashboard(df: DataFrame, page: int = 10) -> DataFrame:
+    """Sections overview, region, industry, month and latest as (section, key, value)."""
+    whole = df.agg(F.count(F.lit(1)).cast("double").alias("notices"), F.sum("budget_amount").cast("double").alias("amount"), F.count_distinct(F.nullif(F.col("tenderer"), F.lit(""))).cast("double").alias("tenderers"))
+    facts = whole.select(F.inline(F.array(*(F.struct(F.lit("overview").alias("section"), F.lit(c).alias("key"), F.col(c).alias("value")) for c in whole.columns))))
+    counts = by_kind(df, {"region": F.col("region"), "industry": F.col("industry"), "month": F.date_format("publish_date", "yyyy-MM")}).groupBy(F.col("kind").alias("section"), "key").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    latest = df.where("status = 'active'").orderBy(F.desc("publish_date"), "id").limit(page).select(F.lit("latest").alias("section"), F.col("id").cast("string").alias("key"), F.coalesce(F.col("budget_amount").cast("double"), F.lit(0.0)).alias("value"))
+    return facts.unionByName(counts).unionByName(latest)

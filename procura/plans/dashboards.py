@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import competitors, paging, predicates, stats, trends
+from ..operators import competitors, paging, predicates, stats, tables, trends
 from ..sources.notices import AS_OF, bids, table, wins
 from .registry import query
 
@@ -50,24 +50,24 @@ def f2_conjunction_filter(spark, sf_dir):
     return bids(spark, sf_dir).where(wanted).select("id", day("publish_date"))
 
 
-@query("""SELECT id FROM bids WHERE contains(lower(title), 'germany') OR contains(lower(tenderer), 'germany') OR contains(lower(description), 'germany')""")
+@query("""SELECT id FROM bids WHERE contains(lower(title), 'nation_7') OR contains(lower(tenderer), 'nation_7') OR contains(lower(description), 'nation_7')""")
 def f3_list_search(spark, sf_dir):
-    return bids(spark, sf_dir).where(predicates.keywords(["Germany"])).select("id")
+    return bids(spark, sf_dir).where(predicates.keywords(["Nation_7"])).select("id")
 
 
-@query("""SELECT id, strftime(created_at, '%Y-%m-%d %H') AS hour FROM bids WHERE contains(lower(region_name), 'united') AND contains(lower(industry), 'mach')
+@query("""SELECT id, strftime(created_at, '%Y-%m-%d %H') AS hour FROM bids WHERE contains(lower(region_name), 'nation_1') AND contains(lower(industry), 'mach')
 AND contains(lower(source_site), 'site1') AND budget_amount >= 1000000 AND budget_amount <= 12000000 ORDER BY created_at DESC, id LIMIT 40""")
 def f4_api_filter(spark, sf_dir):
     p = predicates
-    wanted = p.all_of([p.has_text("region_name", "united"), p.has_text("industry", "mach"), p.has_text("source_site", "site1"), p.between("budget_amount", 1_000_000, 12_000_000)])
+    wanted = p.all_of([p.has_text("region_name", "Nation_1"), p.has_text("industry", "mach"), p.has_text("source_site", "site1"), p.between("budget_amount", 1_000_000, 12_000_000)])
     return paging.top(bids(spark, sf_dir).where(wanted), [F.desc("created_at"), F.col("id")], 40).select("id", F.date_format("created_at", "yyyy-MM-dd HH").alias("hour"))
 
 
-@query("""SELECT id FROM bids WHERE (region_code = '8' OR contains(lower(region_name), '8') OR region_code = 'CHINA' OR contains(lower(region_name), 'china'))
+@query("""SELECT id FROM bids WHERE (region_code = '8' OR contains(lower(region_name), '8') OR region_code = 'NATION_1' OR contains(lower(region_name), 'nation_1'))
 AND (industry_code = 'E47' OR contains(lower(industry), 'e47') OR industry_code = 'furn' OR contains(lower(industry), 'furn'))
-AND budget_amount >= 500000 AND publish_date >= TIMESTAMP '1996-06-01' AND status IN ('active', 'pending')""")
+AND budget_amount >= 500000 AND publish_date >= TIMESTAMP '1996-06-01' AND publish_date <= TIMESTAMP '2001-06-01' AND status IN ('active', 'pending') AND notice_type = 'bidding' AND contains(lower(tenderer), '#0000000')""")
 def f5_query_builder(spark, sf_dir):
-    params = {"regions": ["8", "CHINA"], "industries": ["E47", "furn"], "budgetMin": 500_000, "dateFrom": "1996/06/01", "status": ["active", "pending"]}
+    params = {"regions": ["8", "NATION_1"], "industries": ["E47", "furn"], "budgetMin": 500_000, "publishDateFrom": "1996/06/01", "publishDateTo": "2001-06-01", "status": ["active", "pending"], "notice_type": "bidding", "tenderer": "#0000000"}
     return bids(spark, sf_dir).where(predicates.build(params)).select("id")
 
 
@@ -417,3 +417,69 @@ def s2_point_lookup(spark, sf_dir):
 def s4_json_props(spark, sf_dir):
     props = F.from_json("props", "k bigint")
     return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), props["k"].alias("k")).agg(stats.n())
+
+
+PAIRS = """pairs AS (SELECT 'status' AS kind, status AS key, budget_amount FROM bids UNION ALL SELECT 'region', region, budget_amount FROM bids WHERE region <> '' UNION ALL SELECT 'industry', industry, budget_amount FROM bids WHERE industry <> ''
+UNION ALL SELECT 'total', 'all', budget_amount FROM bids UNION ALL SELECT 'total', 'active', budget_amount FROM bids WHERE status = 'active'),
+placed AS (SELECT kind, key, count(*) AS "count", CAST(coalesce(sum(budget_amount), 0) AS DOUBLE) AS total_amount, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, key) AS r FROM pairs GROUP BY 1, 2)"""
+
+
+@query("""SELECT kind, key, "count", total_amount FROM placed WHERE r <= 10""", PAIRS)
+def a6_service_overview(spark, sf_dir):
+    return stats.service_overview(bids(spark, sf_dir))
+
+
+PROFILE = """chosen AS (SELECT * FROM bids WHERE contains(lower(tenderer), '#00000001')),
+kinds AS (SELECT 'total' AS kind, 'all' AS key, budget_amount FROM chosen UNION ALL SELECT 'industry', industry, budget_amount FROM chosen UNION ALL SELECT 'region', region, budget_amount FROM chosen UNION ALL SELECT 'month', strftime(created_at, '%Y-%m'), budget_amount FROM chosen)"""
+
+
+@query("""SELECT kind, key, count(*) AS "count", CAST(coalesce(sum(budget_amount), 0) AS DOUBLE) AS total_amount, coalesce(round(CAST(sum(budget_amount) AS DOUBLE) / count(budget_amount), 4), 0) AS average FROM kinds GROUP BY 1, 2
+UNION ALL SELECT * FROM (SELECT 'recent', CAST(id AS VARCHAR), 1, CAST(coalesce(budget_amount, 0) AS DOUBLE), round(CAST(coalesce(budget_amount, 0) AS DOUBLE), 4) FROM chosen ORDER BY publish_date DESC, id LIMIT 10)""", PROFILE)
+def a32_tenderer_profile(spark, sf_dir):
+    """Totals, industries, regions and months of the tenderers whose name holds a text, and their ten latest notices."""
+    return stats.profile(bids(spark, sf_dir).where(predicates.has_text("tenderer", "#00000001")))
+
+
+@query("""SELECT 'overview' AS section, k AS key, v AS value FROM (SELECT unnest(['notices', 'amount', 'tenderers']) AS k, unnest([CAST(count(*) AS DOUBLE), CAST(sum(budget_amount) AS DOUBLE), CAST(count(DISTINCT nullif(tenderer, '')) AS DOUBLE)]) AS v FROM bids)
+UNION ALL SELECT 'region', region, CAST(count(*) AS DOUBLE) FROM bids GROUP BY 2 UNION ALL SELECT 'industry', industry, CAST(count(*) AS DOUBLE) FROM bids GROUP BY 2
+UNION ALL SELECT 'month', strftime(publish_date, '%Y-%m'), CAST(count(*) AS DOUBLE) FROM bids GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'latest', CAST(id AS VARCHAR), CAST(coalesce(budget_amount, 0) AS DOUBLE) FROM bids WHERE status = 'active' ORDER BY publish_date DESC, id LIMIT 10)""")
+def a43_dashboard(spark, sf_dir):
+    """Overview, classes, trend and the first page of open notices as sections of one table."""
+    return stats.dashboard(bids(spark, sf_dir))
+
+
+@query("""SELECT id FROM bids ORDER BY publish_date DESC, id LIMIT 20""")
+def l4_fallback_page(spark, sf_dir):
+    """A page beyond the last one gives the first."""
+    return paging.fallback_page(bids(spark, sf_dir).select("id", "publish_date"), [F.desc("publish_date"), F.col("id")], 10**9, 20).select("id")
+
+
+@query("""SELECT id FROM bids ORDER BY budget_amount DESC NULLS LAST, id LIMIT 30 OFFSET 17""")
+def l6_offset_limit(spark, sf_dir):
+    return bids(spark, sf_dir).orderBy(F.desc_nulls_last("budget_amount"), "id").offset(17).limit(30).select("id")
+
+
+@query("""SELECT tenderer, id FROM bids QUALIFY row_number() OVER (PARTITION BY tenderer ORDER BY publish_date DESC, id DESC) <= 3""")
+def l7_recent_per_tenderer(spark, sf_dir):
+    """The latest notices of each tenderer, a bounded number of them."""
+    return paging.recent(bids(spark, sf_dir).select("tenderer", "id", "publish_date"), ["tenderer"], [F.desc("publish_date"), F.desc("id")], 3).select("tenderer", "id")
+
+
+@query("""SELECT id, title, region, industry, CAST(budget_amount AS VARCHAR) AS budget_amount FROM bids""")
+def s16_full_export(spark, sf_dir):
+    """The whole table as it is exported, read back."""
+    path = tables.shared_folder(spark)
+    bids(spark, sf_dir).select("id", "title", "region", "industry", F.col("budget_amount").cast("string").alias("budget_amount")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+SITES = """sites AS (SELECT 'site' || CAST(i AS VARCHAR) AS name, i % 2 = 0 AS is_active FROM range(5) t(i))"""
+
+
+@query("""SELECT id, source_site FROM bids WHERE source_site IN (SELECT name FROM sites WHERE is_active AND contains(lower(name), 'site'))""", SITES)
+def s22_active_sources(spark, sf_dir):
+    """Notices of the sources that are active and whose name holds a text."""
+    sites = spark.range(5).select(F.concat(F.lit("site"), F.col("id").cast("string")).alias("name"), (F.col("id") % 2 == 0).alias("is_active"))
+    chosen = sites.where(F.col("is_active") & predicates.has_text("name", "SITE"))
+    return bids(spark, sf_dir).join(chosen, F.col("source_site") == F.col("name"), "left_semi").select("id", "source_site")

@@ -105,12 +105,12 @@ def a36_duplicate_statistics(spark, sf_dir):
     return tables.known(news, stored).groupBy(F.coalesce("reason", F.lit("new")).alias("reason")).agg(stats.n())
 
 
-UPSERT = """stored AS (SELECT id, title, status FROM bids WHERE id % 4 <> 0), news AS (SELECT id % 500 AS id, title || '!' AS title, 'closed' AS status, id AS place FROM bids WHERE id % 10 = 0)"""
+UPSERT = """stored AS (SELECT id, title, status FROM bids WHERE id % 4 <> 0), news AS (SELECT id // 10 * 8 AS id, title || '!' AS title, 'closed' AS status, id AS place FROM bids)"""
 
 
 def upsert_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = bids(spark, sf_dir)
-    news = rows.where("id % 10 = 0").select((F.col("id") % 500).alias("id"), F.concat("title", F.lit("!")).alias("title"), F.lit("closed").alias("status"), F.col("id").alias("place"))
+    news = rows.select((F.floor(F.col("id") / 10) * 8).alias("id"), F.concat("title", F.lit("!")).alias("title"), F.lit("closed").alias("status"), F.col("id").alias("place"))
     return rows.where("id % 4 != 0").select("id", "title", "status"), news
 
 

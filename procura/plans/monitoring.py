@@ -101,6 +101,23 @@ def r10_trailing_hour(spark, sf_dir):
     return events(spark, sf_dir).where("failed").select("event_id", monitoring.trailing(["user_id"], "ts", 3600).alias("recent"))
 
 
+@query("""SELECT event_id, count(*) OVER (PARTITION BY endpoint ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS recent FROM e""", EVENTS)
+def w8_second_rate(spark, sf_dir):
+    """Requests of an endpoint within the second before each."""
+    return events(spark, sf_dir).select("event_id", monitoring.trailing(["endpoint"], "ts", 1).alias("recent"))
+
+
+@query("""SELECT endpoint, count(value) AS "count", min(value) AS least, max(value) AS most, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 6) AS average, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM e GROUP BY 1""", EVENTS)
+def m6_timing_totals(spark, sf_dir):
+    return monitoring.timings(events(spark, sf_dir), ["endpoint"], "value")
+
+
+@query("""SELECT endpoint, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, round(CASE WHEN count(*) FILTER (event_type IN ('view', 'click')) > 0 THEN count(*) FILTER (event_type = 'view') * 100.0 / count(*) FILTER (event_type IN ('view', 'click')) ELSE 0 END, 4) AS hit_rate FROM e GROUP BY 1""", EVENTS)
+def m13_hit_rates(spark, sf_dir):
+    """How often a cache had what was asked for, views standing for hits and clicks for misses."""
+    return monitoring.hit_rates(events(spark, sf_dir), ["endpoint"], F.col("event_type") == "view", F.col("event_type") == "click")
+
+
 @query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN m BETWEEN 540 AND 1080 WHEN user_id % 3 = 1 THEN m >= 1320 OR m <= 420 ELSE false END AS quiet FROM (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM e)""", EVENTS)
 def r11_quiet_hours(spark, sf_dir):
     u = F.col("user_id") % 3

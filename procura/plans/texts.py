@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, extraction, search, stats, validation
+from ..operators import cleaning, extraction, merging, search, stats, validation
 from ..sources.notices import AS_OF, bids, table
 from .registry import query
 
 SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[^\w-]+'), lambda w: w <> '')"
 
 
-@query(f"""SELECT id, round(CAST(len(list_filter(t, lambda w: w IN ('building', 'china'))) AS DOUBLE) / (len(t) + 1) * 1.0 + CAST(len(list_filter(d, lambda w: w IN ('building', 'china'))) AS DOUBLE) / (len(d) + 1) * 0.4, 6) AS rank
-FROM (SELECT id, {SPLIT.format('title')} AS t, {SPLIT.format('description')} AS d FROM bids) WHERE len(list_filter(list_distinct(list_concat(t, d)), lambda w: w IN ('building', 'china'))) = 2""")
+@query(f"""SELECT id, round(CAST(len(list_filter(t, lambda w: w IN ('building', 'nation_7'))) AS DOUBLE) / (len(t) + 1) * 1.0 + CAST(len(list_filter(d, lambda w: w IN ('building', 'nation_7'))) AS DOUBLE) / (len(d) + 1) * 0.4, 6) AS rank
+FROM (SELECT id, {SPLIT.format('title')} AS t, {SPLIT.format('description')} AS d FROM bids) WHERE len(list_filter(list_distinct(list_concat(t, d)), lambda w: w IN ('building', 'nation_7'))) = 2""")
 def t1_ranked_search(spark, sf_dir):
     """Rows that hold every term, with a weighted rank."""
-    return search.ranked(bids(spark, sf_dir), "(BUILDING) & china").select("id", "rank")
+    return search.ranked(bids(spark, sf_dir), "(BUILDING) & nation_7").select("id", "rank")
 
 
 @query("""SELECT id, 1.0::DOUBLE AS relevance FROM bids WHERE contains(lower(title), '2-high') OR contains(lower(description), '2-high') OR contains(lower(title), 'kenya') OR contains(lower(description), 'kenya')""")
@@ -175,3 +175,96 @@ def e12_attachments(spark, sf_dir):
     k = F.col("page_id")
     more = F.concat("html", F.when(k % 2 == 0, F.concat(F.lit('<a href="/files/'), k.cast("string"), F.lit('.pdf?v=1">'))).otherwise(""), F.lit("<a class=x href='https://files.example.org/x.docx'>"))
     return extraction.attachments(table(spark, sf_dir, "pages").withColumn("html", more), "page_id", "url", "html")
+
+
+@query(r"""SELECT page_id AS key, 'https://list.example.org/n/' || page_id || '.html' AS url, 'Notice ' || page_id || ' open' AS title, CAST(TIMESTAMP '2001-01-01' + to_days(CAST(page_id % 300 AS INTEGER)) AS DATE) AS day FROM pages
+UNION ALL SELECT page_id, 'https://list.example.org/d/more', 'No date', NULL FROM pages WHERE page_id % 3 = 0""")
+def s7_list_rows(spark, sf_dir):
+    """Link, title and date of the rows of list pages."""
+    k = F.col("page_id")
+    date = F.date_format(F.timestamp_add("DAY", (k % 300).cast("int"), F.to_timestamp(F.lit("2001-01-01"))), "yyyy/MM/dd")
+    first = F.concat(F.lit("<ul><li class=x><a class='t' href='/n/"), k.cast("string"), F.lit(".html'>Notice <b>"), k.cast("string"), F.lit("</b>\n open</a><span>"), date, F.lit("</span></li>"))
+    page = F.concat(first, F.when(k % 3 == 0, "<tr><td><a href=\"more\">No date</a></td></tr>").otherwise("<tr><td>no link 2001-01-01</td></tr>"), F.lit("<li><a href='#'><img></a></li></ul>"))
+    return extraction.list_rows(table(spark, sf_dir, "pages").select("page_id", F.lit("https://list.example.org/d/index.html").alias("url"), page.alias("html")), "page_id", "url", "html").select(k.alias("key"), "url", "title", "day")
+
+
+ITEM_ROWS = """SELECT id, place, name, CAST(quantity AS DOUBLE) AS quantity, unit FROM (
+SELECT id, 0 AS place, '服务器' AS name, id % 9 + 1 AS quantity, '台' AS unit FROM bids WHERE id % 5 = 0 UNION ALL SELECT id, 0, '打印机', id % 7 + 1, '台' FROM bids WHERE id % 5 = 1 UNION ALL SELECT id, 0, '扫描仪', id % 4 + 1, '套' FROM bids WHERE id % 5 = 2
+UNION ALL SELECT id, 0, '台式计算机', id % 3 + 1, '件' FROM bids WHERE id % 5 = 3 UNION ALL SELECT id, 0, '办公桌子', NULL, NULL FROM bids WHERE id % 5 = 4 UNION ALL SELECT id, 1, '文件柜子', NULL, NULL FROM bids WHERE id % 5 = 4)"""
+
+
+@query(ITEM_ROWS)
+def e5_items(spark, sf_dir):
+    """Items of numbered lines, labels, table rows, bare lines and, where there are none, of sentences."""
+    k = F.col("id")
+    count = lambda n: (k % n + 1).cast("string")
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit("采购清单\n1. 服务器 "), count(9), F.lit("台 规格:x\n2. 合同期限 30 个"))).when(k % 5 == 1, F.concat(F.lit("货物名称：打印机，数量："), count(7), F.lit("台")))
+        .when(k % 5 == 2, F.concat(F.lit("| 序号 | 名称 |\n| 1 | 扫描仪 | A4 | "), count(4), F.lit(" | 套 |"))).when(k % 5 == 3, F.concat(F.lit("  台式计算机  "), count(3), F.lit("件  \n自签订之日起 30 个")))
+        .otherwise("采购内容主要包括：办公桌子、文件柜子，等。其他。")
+    )
+    return extraction.items(bids(spark, sf_dir).select("id", text.alias("text")), "id", "text")
+
+
+@query("""SELECT id, '处理器' AS name, '主频≥' || id % 5 || 'GHz' AS value, '性能指标' AS category, true AS is_mandatory FROM bids UNION ALL SELECT id, '颜色', 'c' || id % 3, '其他', false FROM bids""")
+def e6_parameters(spark, sf_dir):
+    k = F.col("id")
+    text = F.concat(F.lit("处理器：主频≥"), (k % 5).cast("string"), F.lit("GHz\n联系人：张三\n2. 颜色: c"), (k % 3).cast("string"))
+    return extraction.parameters(bids(spark, sf_dir).select("id", text.alias("text")), "id", "text").select("id", "name", "value", "category", "is_mandatory")
+
+
+@query("""SELECT id, CASE WHEN id % 2 = 0 THEN '两年' || id END AS warranty, CASE WHEN id % 3 = 0 THEN '验收后' || id % 30 || '日' END AS payment, CASE WHEN id % 5 = 0 THEN '综合评分法' END AS evaluation, CASE WHEN id % 7 = 0 THEN '甲级' END AS qualification, CASE WHEN id % 2 = 1 THEN id || '天' END AS delivery,
+CASE WHEN id % 4 = 0 THEN '张' || id END AS contact, CASE WHEN id % 4 = 1 THEN '0571-8888' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') END AS phone FROM bids""")
+def e7_clauses(spark, sf_dir):
+    """Clauses, contacts and telephone numbers."""
+    k, s = F.col("id"), F.col("id").cast("string")
+    part = lambda when, *words: F.when(when, F.concat(*words)).otherwise("")
+    lit = F.lit
+    text = F.concat(
+        part(k % 2 == 0, lit("质保期：两年"), s, lit("\n")), part(k % 3 == 0, lit("付款方式：验收后"), (k % 30).cast("string"), lit("日\n")), part(k % 5 == 0, lit("评标办法：综合评分法\n")), part(k % 7 == 0, lit("资质要求：甲级\n")),
+        part(k % 2 == 1, lit("工期："), s, lit("天\n")), part(k % 4 == 0, lit("联系人：张"), s, lit("\n")), part(k % 4 == 1, lit("联系电话：0571-8888"), F.lpad((k % 10000).cast("string"), 4, "0"), lit("\n")),
+    )
+    return bids(spark, sf_dir).select("id", text.alias("text")).select("id", *extraction.fields(F.col("text"), ("warranty", "payment", "evaluation", "qualification", "delivery", "contact", "phone")))
+
+
+@query("""SELECT page_id AS key, CASE WHEN page_id % 2 = 0 THEN 'https://list.example.org/a' || page_id || '.pdf' ELSE 'https://list.example.org/d/b.pdf' END AS attachment FROM pages""")
+def e13_main_documents(spark, sf_dir):
+    """The main PDF of a page by the words of its links, by its place, or because it is the only one."""
+    k = F.col("page_id")
+    page = F.concat(F.lit("<div class='content'><p><a href='/a"), k.cast("string"), F.lit(".pdf'>x</a></p></div>"), F.when(k % 2 == 1, "<a href='b.pdf'>招标公告</a>").otherwise("<a href='c.pdf'>y</a>"), F.lit("<a href='c.html'>公告</a>"))
+    return extraction.main_documents(table(spark, sf_dir, "pages").select("page_id", F.lit("https://list.example.org/d/index.html").alias("url"), page.alias("html")), "page_id", "url", "html").select("key", "attachment")
+
+
+@query(r"""SELECT id, "start", "end", text, first FROM (SELECT id, unnest(raws) AS text, unnest(firsts) AS first, unnest(list_transform(range(1, len(raws) + 1), lambda i: CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(raws[1:i - 1], lambda r: length(r))), 0) AS BIGINT))) AS "start", "start" + length(text) AS "end"
+FROM (SELECT id, regexp_split_to_array(title, '([A-Z])[A-Z]+') AS gaps, regexp_extract_all(title, '([A-Z])[A-Z]+', 0) AS raws, regexp_extract_all(title, '([A-Z])[A-Z]+', 1) AS firsts FROM bids))""")
+def t13_pattern_matches(spark, sf_dir):
+    """Matches of a pattern with their places and groups."""
+    found = bids(spark, sf_dir).select("id", F.inline(extraction.pattern_matches(F.col("title"), "([A-Z])[A-Z]+")))
+    return found.select("id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "text", F.col("group").alias("first"))
+
+
+@query("""SELECT id, CASE id % 3 WHEN 0 THEN 'Beijing' WHEN 1 THEN 'Zhejiang' ELSE '杭州' END AS region, CASE id % 2 WHEN 0 THEN 'IT' ELSE 'Healthcare' END AS industry, CASE WHEN id % 11 = 0 THEN 0 ELSE round_even(id / 8.0, 2) END::DOUBLE AS amount FROM bids""")
+def c8_normalised(spark, sf_dir):
+    """Amounts with two places, halves to even, and English names."""
+    k = F.col("id")
+    region = F.when(k % 3 == 0, "北京").when(k % 3 == 1, "浙江").otherwise("杭州")
+    return bids(spark, sf_dir).select("id", cleaning.in_english(region, cleaning.REGIONS_ENGLISH).alias("region"), cleaning.in_english(F.when(k % 2 == 0, "信息技术").otherwise("医疗"), cleaning.INDUSTRIES_ENGLISH).alias("industry"), cleaning.quantised(F.when(k % 11 != 0, k / F.lit(8.0))).alias("amount"))
+
+
+@query("""SELECT id, 'P' || id AS title, CASE WHEN id % 2 = 0 THEN 'T' || id ELSE 'X' END AS tenderer, CAST(CASE WHEN id % 3 = 0 THEN id ELSE id * 2 END AS DOUBLE) AS budget_amount FROM bids""")
+def j13_merged_records(spark, sf_dir):
+    """Each field from the source that is trusted most for it."""
+    k, s = F.col("id"), F.col("id").cast("string")
+    rows = F.inline(F.array(
+        F.struct(F.lit("api_list").alias("source"), F.concat(F.lit("A"), s).alias("title"), F.lit("X").alias("tenderer"), k.cast("double").alias("budget_amount")),
+        F.struct(F.lit("pdf").alias("source"), F.concat(F.lit("P"), s).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("T"), s)).otherwise("").alias("tenderer"), F.when(k % 3 != 0, k * 2.0).alias("budget_amount")),
+    ))
+    return merging.merged(bids(spark, sf_dir).select("id", rows), "id", ["title", "tenderer", "budget_amount"])
+
+
+@query("""SELECT id, CASE WHEN id % 10 >= 5 THEN 'structured' WHEN id % 7 >= 3 THEN 'rules' WHEN id % 4 > 0 THEN 'model' WHEN id % 10 >= 1 AND id % 10 >= id % 7 THEN 'structured' WHEN id % 7 > 0 THEN 'rules' ELSE 'structured' END AS strategy FROM bids WHERE true""")
+def k26_cascade(spark, sf_dir):
+    """The first strategy that is sure enough, else the surest."""
+    k = F.col("id")
+    rows = F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), c.alias("confidence")) for n, c in (("structured", (k % 10) / 10.0), ("rules", F.when(k % 7 >= 3, 0.45).otherwise((k % 7) / 10.0)), ("model", F.when(k % 4 > 0, 0.3).otherwise(0.0))))))
+    return merging.cascade(bids(spark, sf_dir).select("id", rows), "id").select("id", "strategy")

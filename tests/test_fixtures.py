@@ -240,3 +240,15 @@ def test_items_parameters_and_main_documents(spark):
     pages = spark.createDataFrame([(1, "http://h.org/d/", page), (2, "http://h.org/", "<a href='only.pdf'></a>"), (3, "http://h.org/", "<a href='1.pdf'></a><a href='2.pdf'></a>"), (4, None, None)], "id long, url string, html string")
     got = {r["key"]: (r["attachment"], r["score"]) for r in extraction.main_documents(pages, "id", "url", "html").collect()}
     assert got == {1: ("http://h.org/d/b.pdf", 22), 2: ("http://h.org/only.pdf", 0)}
+
+
+def test_pages_filters_and_matches(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(25)], "id int, k int")
+    order = [F.desc("id")]
+    assert [[r["id"] for r in paging.fallback_page(df, order, page, 10).collect()][:1] for page in (1, 3, 4, 0, -2, "x", None)] == [[24], [4], [24], [24], [24], [24], [24]]
+    assert sorted(r["id"] for r in paging.recent(df, ["k"], order, 2).collect()) == [19, 20, 21, 22, 23, 24]
+    with pytest.raises(ValueError, match="colour"):
+        predicates.build({"colour": "red"})
+    rows = spark.createDataFrame([(1, "a1b22c"), (2, ""), (3, None), (4, "9")], "id int, t string")
+    got = {r["id"]: [tuple(x) for x in r["m"] or []] for r in rows.select("id", extraction.pattern_matches(F.col("t"), r"(\d)\d*").alias("m")).collect()}
+    assert got == {1: [(1, 2, "1", "1"), (3, 5, "22", "2")], 2: [], 3: [], 4: [(0, 1, "9", "9")]}
