@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cleaning import bound
+
 from .scoring import holds
 
 #: Suffixes of company names, in order, and what stands for them.
@@ -108,8 +110,11 @@ def by_keywords(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> Da
         return F.least(F.least(score / 3.5, F.lit(0.82)) + many + F.when(score >= 2.5, 0.03).otherwise(0.0), F.lit(1.0))
 
     found = F.filter(F.transform("_table", hits), lambda e: F.size(e["found"]) > 0)
-    told = df.select(key, F.lower(F.col(text)).alias("_low")).join(F.broadcast(table)).select(key, found.alias("_found")).where(F.size("_found") > 0).select(key, F.array_sort(F.transform("_found", graded)).alias("_all"))
-    told = told.select(key, F.get("_all", F.lit(0)).alias("first"), F.filter(F.slice("_all", 2, 1_000_000), lambda e: confidence(e) > 0.3).alias("others")).select("*", confidence(F.col("first")).alias("confidence"))
+    graded_all = F.array_sort(F.transform(found, graded))
+    # one element a text with hits: exploding it keeps filters from working the scores out a second time
+    best = bound(graded_all, lambda e: F.when(F.size(e) > 0, F.array(F.struct(F.get(e, F.lit(0)).alias("first"), F.slice(e, 2, 1_000_000).alias("others")))))
+    told = df.select(key, F.lower(F.col(text)).alias("_low")).join(F.broadcast(table)).select(key, F.explode(best).alias("_best"))
+    told = told.select(key, F.col("_best.first").alias("first"), F.filter("_best.others", lambda e: confidence(e) > 0.3).alias("others"), confidence(F.col("_best.first")).alias("confidence"))
     sure = F.col("confidence") > 0.5
     return told.select(
         key, F.when(sure, F.col("first.industry")).alias("industry"), F.when(sure, F.col("first.code")).alias("industry_code"), "confidence",

@@ -268,3 +268,10 @@ def k26_cascade(spark, sf_dir):
     k = F.col("id")
     rows = F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), c.alias("confidence")) for n, c in (("structured", (k % 10) / 10.0), ("rules", F.when(k % 7 >= 3, 0.45).otherwise((k % 7) / 10.0)), ("model", F.when(k % 4 > 0, 0.3).otherwise(0.0))))))
     return merging.cascade(bids(spark, sf_dir).select("id", rows), "id").select("id", "strategy")
+
+
+@query("""SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN 'cn' || id END, CASE WHEN id % 2 = 0 THEN 'en' || id END) AS name FROM bids""")
+def c12_first_filled(spark, sf_dir):
+    """The first of several fields of one meaning that is not blank."""
+    k, s = F.col("id"), F.col("id").cast("string")
+    return bids(spark, sf_dir).select("id", cleaning.first_filled(F.when(k % 3 == 0, F.concat(F.lit("cn"), s)).otherwise("  "), F.when(k % 2 == 0, F.concat(F.lit(" en"), s, F.lit(" "))), F.lit("")).alias("name"))
