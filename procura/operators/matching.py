@@ -87,3 +87,14 @@ def evaluate(notices: DataFrame, keywords: DataFrame, key: str = "id", text: str
     score = F.least(F.col("raw") + bonus, F.lit(100.0)).cast("double")
     confidence = F.when(is_match, F.least(score / 200 + F.when(complete, 0.3).otherwise(0.0) + F.least(F.col("matched") * 0.05, F.lit(0.2)), F.lit(1.0))).otherwise(0.0)
     return out.select(key, "subscription_id", "matched", score.alias("score"), is_match.alias("is_match"), F.round(confidence, 6).alias("confidence"))
+
+
+#: Most subscriptions of a user, keywords of a subscription and letters of a keyword.
+LIMITS = {"subscriptions": 10, "keywords": 50, "length": 200}
+
+
+def over_limits(rows: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """(rule, key, found) of users and subscriptions beyond a limit. rows has username, subscription_id and value, one row a keyword."""
+    per = {"subscriptions": ("username", F.count_distinct("subscription_id")), "keywords": ("subscription_id", F.count_distinct("value")), "length": ("subscription_id", F.max(F.length("value")))}
+    parts = [rows.groupBy(F.col(key).alias("key")).agg(found.cast("bigint").alias("found")).where(F.col("found") > limits[rule]).select(F.lit(rule).alias("rule"), "key", "found") for rule, (key, found) in per.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

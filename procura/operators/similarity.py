@@ -174,9 +174,12 @@ def candidates(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     return pairs.union(bound.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("p"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("q"))).distinct()
 
 
-def known_titles(news: DataFrame, stored: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
+def known_titles(news: DataFrame, stored: DataFrame, threshold: float = TITLE_THRESHOLD, site: str | None = None, time: str | None = None, days: int = 30) -> DataFrame:
     """Titles of news that are like a stored one: title, stored title, similarity of the best one.
 
+    With columns site and time, they are compared with what is stored of their own site, from `days` days before them on; both
+    columns are then part of the result.
+
     With n and m letters and M of them matched, at most 2 (n - M) + (m - M) bigrams of a title are not in
     the other one; M >= threshold (n + m) / 2 and the shortest m bound that by `loss`. Texts without bigrams
     are like nothing but themselves.
@@ -187,14 +190,28 @@ def known_titles(news: DataFrame, stored: DataFrame, threshold: float = TITLE_TH
         form = F.lower(F.regexp_replace(F.regexp_replace(F.col(column), r"(?U)\s+", ""), PUNCTUATION, ""))
         return df.where(F.col(column).isNotNull()).distinct().withColumn(f"{column}_form", form).select("*", F.explode(grams(f"{column}_form")).alias("g"))
 
-    a, b = keyed(news.select("title"), "title"), keyed(stored.select(F.col("title").alias("other")), "other")
+    places, own = [site] if site else [], [c for c in (site, time) if c]
+    others = stored.select(F.col("title").alias("other"), *(F.col(c).alias(f"other_{c}") for c in own))
+    if time:  # the latest of the rows of a title says whether one is late enough
+        others = others.groupBy("other", *(f"other_{c}" for c in places)).agg(F.max(f"other_{time}").alias("latest"))
+    a, b = keyed(news.select("title", *places), "title"), keyed(others, "other")
     counts = b.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.partitionBy("title").orderBy(F.coalesce("n", F.lit(0)), "g"))
+    place = F.row_number().over(W.partitionBy("title", *places).orderBy(F.coalesce("n", F.lit(0)), "g"))
     rare = a.join(counts, "g", "left").withColumn("place", place).where(F.col("place") <= F.floor(loss * F.length("title_form")) + 1)
     n, m = F.length("title_form"), F.length("other_form")
-    pairs = rare.drop("n", "place").join(b, "g").where(2 * F.least(n, m) >= threshold * (n + m)).select("title", "other").distinct()
-    scored = pairs.withColumn("similarity", similarity(title_similarity, F.col("title"), F.col("other"))).where(F.col("similarity") >= threshold)
-    return scored.groupBy("title").agg(F.max(F.struct("similarity", "other")).alias("best")).select("title", "best.other", "best.similarity")
+    pairs = rare.drop("n", "place").join(b, "g").where(2 * F.least(n, m) >= threshold * (n + m))
+    if site:
+        pairs = pairs.where(F.col(site) == F.col(f"other_{site}"))
+    pairs = pairs.select("title", "other", *places, *(["latest"] if time else [])).distinct()
+    if own:  # titles that many sites have are scored once
+        pairs = written(pairs)
+    scored = pairs.select("title", "other").distinct().withColumn("similarity", similarity(title_similarity, F.col("title"), F.col("other"))).where(F.col("similarity") >= threshold)
+    if own:
+        scored = pairs.join(scored, ["title", "other"])
+    if time:
+        late = F.col("latest") >= F.timestamp_add("DAY", F.lit(-days), F.col(time))
+        scored = news.select("title", *own).distinct().join(scored, ["title", *places]).where(late)
+    return scored.groupBy("title", *own).agg(F.max(F.struct("similarity", "other")).alias("best")).select("title", *own, "best.other", "best.similarity")
 
 
 def near_names(rows: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from .registry import query
 
 #: subscription_id, value, match_type, case_sensitive, is_required, weight.
 KEYWORDS = (
-    ("s1", "building", "contains", False, False, 1.0), ("s1", "china", "contains", False, False, 2.0), ("s1", "urgent", "contains", False, False, 0.5),
-    ("s2", "1-URGENT", "starts_with", True, True, 3.0), ("s2", "germany", "contains", False, False, 1.5),
-    ("s3", "Kingdom", "ends_with", False, True, 2.0), ("s3", "machinery", "contains", False, True, 1.0),
-    ("s4", "^[1-3]-.*(japan|india)", "regex", False, False, 12.0), ("s5", "1-URGENT supply for BUILDING in CHINA", "exact", True, False, 5.0), ("s5", "CHINA", "contains", True, False, 1.0),
+    ("s1", "building", "contains", False, False, 1.0), ("s1", "nation_1", "contains", False, False, 2.0), ("s1", "urgent", "contains", False, False, 0.5),
+    ("s2", "1-URGENT", "starts_with", True, True, 3.0), ("s2", "nation_7", "contains", False, False, 1.5),
+    ("s3", "Nation_12", "ends_with", False, True, 2.0), ("s3", "machinery", "contains", False, True, 1.0),
+    ("s4", "^[1-3]-.*(nation_3|nation_4)$", "regex", False, False, 12.0), ("s5", "1-URGENT supply for BUILDING in NATION_5", "exact", True, False, 5.0), ("s5", "NATION_5", "contains", True, False, 1.0),
 )
 KEYWORD_SCHEMA = "subscription_id string, value string, match_type string, case_sensitive boolean, is_required boolean, weight double"
 
@@ -49,6 +49,29 @@ def a35_match_statistics(spark, sf_dir):
     return matches(spark, sf_dir).groupBy("subscription_id").agg(stats.n(name="total"), mean.alias("average"), F.max("score").alias("best"), F.min("score").alias("least"), stats.n(F.col("is_match"), "matched"))
 
 
+USERS = ("ann", "bo", "ann", "cy", "bo")
+JOINED = MATCHES + ",\nusers(subscription_id, username) AS (VALUES " + ", ".join(f"('s{i}', '{u}')" for i, u in enumerate(USERS, 1)) + ")"
+
+
+@query("""SELECT username, subscription_id, id, title, region, score FROM matches JOIN users USING (subscription_id) JOIN bids USING (id) WHERE is_match""", JOINED)
+def j1_user_matches(spark, sf_dir):
+    """Match results with their subscriptions' users and their notices."""
+    users = spark.createDataFrame([(f"s{i}", u) for i, u in enumerate(USERS, 1)], "subscription_id string, username string")
+    found = matches(spark, sf_dir).where("is_match").join(users, "subscription_id")
+    return found.join(bids(spark, sf_dir).select("id", "title", "region"), "id").select("username", "subscription_id", "id", "title", "region", "score")
+
+
+@query("""SELECT 'subscriptions' AS rule, region AS key, count(DISTINCT tenderer) AS found FROM bids GROUP BY 2 HAVING count(DISTINCT tenderer) > 10
+UNION ALL SELECT 'keywords', tenderer, count(DISTINCT title) FROM bids GROUP BY 2 HAVING count(DISTINCT title) > 50
+UNION ALL SELECT 'length', tenderer, max(length(repeat(title, CASE WHEN id % 100 = 0 THEN 10 ELSE 1 END))) FROM bids GROUP BY 2 HAVING max(length(repeat(title, CASE WHEN id % 100 = 0 THEN 10 ELSE 1 END))) > 200""")
+def v4_subscription_limits(spark, sf_dir):
+    """Users with too many subscriptions, subscriptions with too many keywords or too long ones; tenderers stand for subscriptions."""
+    rows = bids(spark, sf_dir).select(F.col("region").alias("username"), F.col("tenderer").alias("subscription_id"), F.col("title").alias("value"), F.when(F.col("id") % 100 == 0, 10).otherwise(1).alias("times"))
+    short = matching.over_limits(rows)
+    long = matching.over_limits(rows.withColumn("value", F.expr("repeat(value, times)")))
+    return short.where("rule != 'length'").unionByName(long.where("rule = 'length'"))
+
+
 #: connection, regions, industries, low, high, least score: null admits all.
 PUSHES = (("c1", ("ASIA",), None, None, 5_000_000.0, None), ("c2", None, ("BUILDING", "MACHINERY"), 1_000_000.0, None, 52.0), ("c3", ("EUROPE", "AFRICA"), ("FURNITURE",), None, None, None), ("c4", None, None, None, None, 60.0))
 PUSH_SCHEMA = "connection_id string, regions array<string>, industries array<string>, low double, high double, least_score double"

@@ -80,3 +80,18 @@ def test_clusters_equal_greedy_merging(spark, scores):
     df = spark.createDataFrame(list(enumerate(names)), "k long, name string").withColumn("normal", F.col("name"))
     got = {r["cluster"]: r["variants"] for r in similarity.cluster_names(df, "normal", "name", "k").collect()}
     assert got == want and max(map(len, want.values())) > 4
+
+
+def test_known_titles_of_a_site_and_a_month(spark):
+    r = random.Random(4)
+    base = ["".join(r.choice("abcdefgh ，") for _ in range(20)) for _ in range(8)]
+    stored = [(r.choice(base), f"s{r.randint(0, 2)}", r.randint(0, 90)) for _ in range(60)]
+    news = [(t[:-1] + r.choice("xyh"), f"s{r.randint(0, 2)}", r.randint(0, 90)) for t in base for _ in range(6)]
+    frames = [spark.createDataFrame(rows, "title string, site string, day int").withColumn("at", F.timestamp_add("DAY", F.col("day"), F.to_timestamp(F.lit("2001-01-01")))) for rows in (news, stored)]
+    got = {(x["title"], x["site"], x["at"].toordinal() - 730_486): x["similarity"] for x in similarity.known_titles(*frames, site="site", time="at").collect()}
+    want = {}
+    for title, site, day in news:
+        best = max((similarity.title_similarity(title, t) for t, s, d in stored if s == site and d >= day - 30), default=0.0)
+        if best >= similarity.TITLE_THRESHOLD:
+            want[title, site, day] = best
+    assert got == want and 5 < len(want) < len(set(news))
