@@ -19,6 +19,14 @@ def trust(source: Column, field: str, weights=WEIGHTS, preferred=PREFERRED) -> C
     return F.least(F.coalesce(table[source], F.lit(UNKNOWN_WEIGHT)) + more, F.lit(1.0))
 
 
+def all_fields(*records: Column) -> Column:
+    """Names of the fields that any of some map columns has, sorted; a null map has none."""
+    names = F.array().cast("array<string>")
+    for record in records:
+        names = F.array_union(names, F.coalesce(F.map_keys(record), F.array().cast("array<string>")))
+    return F.array_sort(names)
+
+
 def merged(df: DataFrame, key: str, fields: list[str], source: str = "source") -> DataFrame:
     """Per key each field from the source it is trusted most from, blanks left out; ties go to the name of the source."""
     def best(field: str) -> Column:

@@ -113,9 +113,11 @@ def attractiveness(amount: Column, deadline: Column, industry_code: Column, as_o
     return F.round(budget * 0.4 + time * 0.2 + industry * 0.2 + by_size * 0.2, 2)
 
 
-def opportunities(df: DataFrame, as_of: str, min_budget: float, limit: int) -> DataFrame:
-    """Open biddings with the largest budgets first, cut to the limit and then ordered by attractiveness."""
-    open_ = df.where((F.col("notice_type") == "bidding") & F.col("status").isin("pending", "active") & (F.col("budget_amount") >= min_budget))
+def opportunities(df: DataFrame, as_of: str, min_budget: float | None, limit: int) -> DataFrame:
+    """Open biddings (of a budget, if one is given) with the largest budgets first, cut to the limit and then ordered by attractiveness."""
+    open_ = df.where((F.col("notice_type") == "bidding") & F.col("status").isin("pending", "active"))
+    if min_budget:
+        open_ = open_.where(F.col("budget_amount") >= min_budget)
     largest = open_.orderBy(F.desc_nulls_first("budget_amount"), "id").limit(limit)
     score = attractiveness(F.col("budget_amount"), F.col("deadline_date"), F.col("industry_code"), as_of)
     return largest.withColumn("score", score).withColumn("recommendation", level(F.col("score"), 70, 50)).orderBy(F.desc("score"), "id")

@@ -77,9 +77,10 @@ def cut(text: str, length: int = LENGTH, dots: str = DOTS) -> str:
     """At most length characters, cut at a blank where one stands in the last fifth."""
     if len(text) <= length:
         return text
-    head = text[: length - len(dots)]
+    room = length - len(dots)
+    head = text[:room]
     blank = head.rfind(" ")
-    return (head[:blank] if blank > length * 0.8 else head) + dots
+    return (head[:blank] if blank > room * 0.8 else head) + dots
 
 
 def snippet_of(text: str, words: list[str], context: int = CONTEXT, length: int = LENGTH, most: int = SNIPPETS, dots: str = DOTS) -> str:
@@ -102,6 +103,25 @@ def snippet_of(text: str, words: list[str], context: int = CONTEXT, length: int
     return cut(joined, length, dots)
 
 
+def snippets_of(text: str, words: list[str], context: int = CONTEXT, most: int = SNIPPETS) -> list[str]:
+    """Surroundings of the first `most` occurrences, each by itself; those that overlap one before them are left out."""
+    parts: list[tuple[int, int]] = []
+    for start, end, _ in spans(text, words)[:most]:
+        low, high = max(0, start - context), min(len(text), end + context)
+        if all(high <= a or low >= b for a, b in parts):
+            parts.append((low, high))
+    return [text[a:b] for a, b in parts]
+
+
+def snippets(c: Column, words: list[str], **options) -> Column:
+    """Array of the surroundings of words in a text; empty where there are none."""
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: snippets_of(t or "", words, **options))
+
+    return F.pandas_udf(run, ArrayType(StringType()))(c)
+
+
 def snippet(c: Column, words: list[str], **options) -> Column:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:

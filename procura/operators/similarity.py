@@ -10,7 +10,7 @@ without their number.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -157,9 +157,9 @@ def candidates(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     keyed = keyed_names(rows, threshold)
     counts = keyed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     dealt = keyed.join(counts, "g")
-    ps = dealt.select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *(F.col(c).alias(f"p_{c}") for c in ("x", "o", "label", "letters", "keys")))
-    least = rows.agg(F.min("label").alias("least"))
-    qs = dealt.join(F.broadcast(least), F.col("label") > F.col("least")).select("g", F.pmod(F.hash("x"), "chunks").alias("chunk"), *(F.col(c).alias(f"q_{c}") for c in ("x", "o", "label", "letters", "keys")))
+    ends_of = F.broadcast(rows.agg(F.min("label").alias("least"), F.max("label").alias("last")))  # one row
+    ps = dealt.join(ends_of, F.col("label") < F.col("last")).select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *(F.col(c).alias(f"p_{c}") for c in ("x", "o", "label", "letters", "keys")))
+    qs = dealt.join(ends_of, F.col("label") > F.col("least")).select("g", F.pmod(F.hash("x"), "chunks").alias("chunk"), *(F.col(c).alias(f"q_{c}") for c in ("x", "o", "label", "letters", "keys")))
     n, m = F.length("p_x"), F.length("q_x")
     in_p, in_q = n - F.length(F.expr("translate(p_x, q_x, '')")), m - F.length(F.expr("translate(q_x, p_x, '')"))
     shared = F.size(F.array_intersect("p_letters", "q_letters"))
@@ -281,3 +281,26 @@ def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold:
         F.min(shortest).alias("short"), F.sort_array(F.collect_set("v")).alias("variants"),
     )
     return found.select("cluster", F.coalesce("form.v", "complete.v", "longest.v").alias("canonical"), F.col("short.v").alias("short_name"), "variants", F.lit(1.0).alias("confidence"))
+
+
+def resolved(names: DataFrame, clusters: DataFrame, normal: Callable[[Column], Column], threshold: float = NAME_THRESHOLD) -> DataFrame:
+    """The cluster of each distinct name: name, cluster, canonical, confidence, method.
+
+    A name that is a variant belongs to its cluster with confidence 1 (method exact), any other to the cluster of the most similar
+    variant at or above the threshold (similarity), ties to the first cluster by name. Names that no cluster is like have
+    nulls; a null name has no row. clusters has cluster, canonical and variants.
+    """
+    known = clusters.select("cluster", "canonical", F.explode("variants").alias("v")).withColumn("x", normal(F.col("v")))
+    asked = written(names.where("name is not null").select("name").distinct().withColumn("x", normal(F.col("name"))))
+    target = F.struct("cluster", "canonical")
+    exact = known.groupBy(F.col("v").alias("name")).agg(F.min(target).alias("exact"))
+    forms = written(known.groupBy("x").agg(F.min(target).alias("near")))
+    other = asked.join(exact, "name", "left_anti").join(forms, "x", "left_anti").select("x").distinct()  # an equal form scores 1
+    rows = other.select("x", F.lit(0).alias("o"), F.lit(0).alias("label")).union(forms.select("x", F.lit(1), F.lit(1)))
+    pairs = candidates(rows, threshold).repartition("p", "q").withColumn("score", name_score(F.col("p"), F.col("q"))).where(F.col("score") >= threshold)
+    best = pairs.join(forms, F.col("q") == F.col("x")).groupBy(F.col("p").alias("x")).agg(F.min(F.struct((-F.col("score")).alias("less"), "near")).alias("best"))
+    found = asked.join(exact, "name", "left").join(forms, "x", "left").join(best, "x", "left")
+    taken = F.coalesce("exact", "near", "best.near")
+    confidence = F.when(F.coalesce("exact", "near").isNotNull(), 1.0).otherwise(-F.col("best.less"))
+    method = F.when(F.col("exact").isNotNull(), "exact").when(taken.isNotNull(), "similarity")
+    return found.select("name", taken["cluster"].alias("cluster"), taken["canonical"].alias("canonical"), confidence.alias("confidence"), method.alias("method"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, paging, scoring, stats
-from ..sources.notices import AS_OF, bids
+from ..operators import classify, insights, paging, scoring, stats
+from ..sources.notices import AS_OF, bids, wins
 from .registry import query
 
 WORDS = {"contested": ("00001", "00007"), "sheltered": ("00002",), "premium": ("00003",), "government": ("00004", "00005"), "institution": ("00006",), "profile_words": {"construction": ("building", "furniture")}}
@@ -91,6 +91,18 @@ def k10_opportunities(spark, sf_dir):
     return scoring.opportunities(bids(spark, sf_dir), AS_OF, 2_000_000, 60).select("id", F.round("score", 1).alias("score"), "recommendation")
 
 
+@query("""SELECT (SELECT count(*) FROM attractive) AS new_opportunities, coalesce((SELECT CAST(coalesce(budget_amount, 0) AS DOUBLE) FROM largest WHERE id = (SELECT id FROM attractive ORDER BY score DESC, id LIMIT 1)), 0) AS top_value,
+(SELECT winner FROM wins WHERE winner <> '' GROUP BY 1 ORDER BY count(*) DESC, winner LIMIT 1) AS top_competitor,
+(SELECT CASE WHEN count(*) < 2 THEN 'stable' WHEN arg_max(total, month) > arg_min(total, month) THEN 'up' ELSE 'down' END FROM (SELECT strftime(publish_date, '%Y-%m') AS month, sum(budget_amount) AS total FROM recent WHERE budget_amount IS NOT NULL GROUP BY 1)) AS market_trend,
+coalesce((SELECT key FROM (SELECT coalesce(nullif(industry, ''), nullif(industry_code, ''), 'Unknown') AS key, coalesce(sum(budget_amount), 0) AS s FROM recent GROUP BY 1) ORDER BY s DESC, key LIMIT 1), 'N/A') AS hot_industry""",
+       """recent AS (SELECT * FROM bids WHERE publish_date >= :as_of - INTERVAL 90 DAY),
+largest AS (SELECT * FROM bids WHERE publish_date >= :as_of - INTERVAL 7 DAY AND notice_type = 'bidding' AND status IN ('pending', 'active') ORDER BY budget_amount DESC NULLS FIRST, id LIMIT 5),
+""" + ATTRACTIVE.replace("{source}", "largest"))
+def a31_quick_insights(spark, sf_dir):
+    """Opportunities of the week, the first winner, the direction of amounts and the first industry."""
+    return insights.quick(bids(spark, sf_dir), wins(spark, sf_dir), AS_OF)
+
+
 @query("""SELECT b.id, CASE WHEN b.budget_amount IS NOT NULL THEN round(CAST(b.budget_amount AS DOUBLE) / s, 4) END AS to_average, r AS recent FROM bids b
 JOIN (SELECT industry, CAST(sum(budget_amount) AS DOUBLE) / count(budget_amount) AS s, count(*) FILTER (publish_date >= :as_of - INTERVAL 90 DAY) AS r FROM bids GROUP BY 1) i USING (industry)""")
 def j10_industry_context(spark, sf_dir):

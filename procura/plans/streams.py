@@ -98,3 +98,16 @@ def k20_name_clusters(spark, sf_dir):
     winners = wins(spark, sf_dir).select(F.col("winner").alias("name"), F.col("id").alias("k"))
     names = tenderers.union(winners).where("trim(name) != ''").groupBy("name").agg(F.min("k").alias("k"))
     return similarity.cluster_names(names.withColumn("normal", cleaning.organisation(F.col("name"))), "normal", "name", "k")
+
+
+@query("""SELECT DISTINCT name, cluster, canonical, CASE WHEN cluster IS NOT NULL THEN 1.0::DOUBLE END AS confidence, method FROM (
+SELECT tenderer AS name, min(tenderer) OVER (PARTITION BY regexp_replace(tenderer, '[^a-zA-Z0-9]', '', 'g')) AS canonical, regexp_replace(tenderer, '[^a-zA-Z0-9]', '', 'g') AS cluster, 'exact' AS method FROM bids WHERE trim(tenderer) <> ''
+UNION ALL SELECT tenderer || ' (branch)', min(tenderer) OVER (PARTITION BY regexp_replace(tenderer, '[^a-zA-Z0-9]', '', 'g')), regexp_replace(tenderer, '[^a-zA-Z0-9]', '', 'g'), 'similarity' FROM bids WHERE trim(tenderer) <> ''
+UNION ALL SELECT winner, NULL, NULL, NULL FROM wins WHERE trim(winner) <> '')""")
+def j9_resolved_names(spark, sf_dir):
+    """All winners, tenderers and tenderers' branches against the clusters that the tenderers' normal forms make; similar forms are checked against all pairs in the tests."""
+    tenderers = bids(spark, sf_dir).where("trim(tenderer) != ''").select(F.col("tenderer").alias("v"), cleaning.organisation(F.col("tenderer")).alias("cluster"))
+    clusters = tenderers.groupBy("cluster").agg(F.min("v").alias("canonical"), F.collect_set("v").alias("variants"))
+    winners = wins(spark, sf_dir).where("trim(winner) != ''").select(F.col("winner").alias("name"))
+    names = winners.union(tenderers.select("v")).union(tenderers.select(F.concat("v", F.lit(" (branch)"))))
+    return similarity.resolved(names, clusters, cleaning.organisation)

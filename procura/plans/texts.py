@@ -43,6 +43,16 @@ def t8_snippets(spark, sf_dir):
     return docs.select("doc_id", search.snippet(F.col("text"), ["the", "erin"]).alias("snippet"))
 
 
+@query("""SELECT doc_id, place, snippet FROM (SELECT doc_id, unnest(range(len(kept))) AS place, unnest(list_transform(kept, lambda p: substr(text, greatest(p - 30, 0) + 1, least(p + 33, length(text)) - greatest(p - 30, 0)))) AS snippet FROM (
+SELECT doc_id, text, list_filter([p1, CASE WHEN p2 - p1 >= 63 THEN p2 END, CASE WHEN p3 - (CASE WHEN p2 - p1 >= 63 THEN p2 ELSE p1 END) >= 63 THEN p3 END], lambda p: p IS NOT NULL) AS kept FROM (
+SELECT doc_id, text, length(g[1]) AS p1, CASE WHEN len(g) > 2 THEN length(g[1]) + 3 + length(g[2]) END AS p2, CASE WHEN len(g) > 3 THEN length(g[1]) + 6 + length(g[2]) + length(g[3]) END AS p3 FROM (
+SELECT doc_id, text, regexp_split_to_array(text, '(?i)the') AS g FROM documents) WHERE len(g) > 1)))""")
+def t9_several_snippets(spark, sf_dir):
+    """Surroundings of the first three occurrences of a word, one row each."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(search.snippets(F.col("text"), ["THE"])).alias("place", "snippet")).withColumn("place", F.col("place").cast("bigint"))
+
+
 @query("""SELECT id, concat_ws(' ', nullif(title, ''), nullif(description, ''), nullif(tenderer, ''), nullif(winner, '')) AS text FROM bids""")
 def t14_search_text(spark, sf_dir):
     from ..operators.matching import search_text
@@ -262,6 +272,15 @@ def j13_merged_records(spark, sf_dir):
     return merging.merged(bids(spark, sf_dir).select("id", rows), "id", ["title", "tenderer", "budget_amount"])
 
 
+@query("""SELECT id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN id % 5 > 0 THEN ['title', CASE WHEN id % 2 = 0 THEN 'url' ELSE 'status' END] ELSE [] END, ['title', 'budget', CASE WHEN id % 3 = 0 THEN 'status' ELSE 'winner' END]))), ',') AS fields FROM bids""")
+def u5_all_fields(spark, sf_dir):
+    """Fields that a list record or a model's record of a notice has."""
+    k, s = F.col("id"), F.col("status")
+    listed = F.when(k % 5 > 0, F.create_map(F.lit("title"), "title", F.when(k % 2 == 0, "url").otherwise("status"), s))
+    model = F.create_map(F.lit("title"), "title", F.lit("budget"), F.col("budget_amount").cast("string"), F.when(k % 3 == 0, "status").otherwise("winner"), s)
+    return bids(spark, sf_dir).select("id", F.array_join(merging.all_fields(listed, model), ",").alias("fields"))
+
+
 @query("""SELECT id, CASE WHEN id % 10 >= 5 THEN 'structured' WHEN id % 7 >= 3 THEN 'rules' WHEN id % 4 > 0 THEN 'model' WHEN id % 10 >= 1 AND id % 10 >= id % 7 THEN 'structured' WHEN id % 7 > 0 THEN 'rules' ELSE 'structured' END AS strategy FROM bids WHERE true""")
 def k26_cascade(spark, sf_dir):
     """The first strategy that is sure enough, else the surest."""

@@ -129,6 +129,9 @@ def test_search_and_highlight(spark):
     assert "<mark>关键词</mark>" in one(spark, search.highlight(F.lit(text), ["关键词"]))[0]
     assert one(spark, search.highlight(F.lit("<b>C++ & c</b>"), ["c++", "C"]))[0] == "&lt;b&gt;<mark>C++</mark> &amp; <mark>c</mark>&lt;/b&gt;"
     assert search.snippet_of("word " * 100 + "needle" + " word" * 100, ["needle"]).count("needle") == 1
+    assert search.cut("a" * 118 + " " + "b" * 60) == "a" * 118 + "..." and search.cut("a" * 117 + " " + "b" * 60) == "a" * 117 + " " + "b" * 29 + "..."
+    assert search.snippets_of("x needle y needle" + "." * 80 + "needle" + "." * 80 + "needle", ["NEEDLE"], 5) == ["x needle y ne", "....." + "needle" + "....."]
+    assert search.snippets_of("", ["a"]) == [] and search.snippets_of("abc", []) == []
     assert search.snippet_of("short text", ["zz"]) == "short text" and search.snippet_of("", ["a"]) == ""
     df = spark.createDataFrame([(1, "医疗 系统", "x"), (2, "其他", "医疗 系统 系统")], "id long, title string, description string")
     assert [r["id"] for r in search.ranked(df, "医疗 (系统)").orderBy(F.desc("rank")).collect()] == [1, 2]

@@ -95,3 +95,26 @@ def test_known_titles_of_a_site_and_a_month(spark):
         if best >= similarity.TITLE_THRESHOLD:
             want[title, site, day] = best
     assert got == want and 5 < len(want) < len(set(news))
+
+
+def test_resolved_names_equal_all_pairs(spark, scores):
+    """Names against clusters: a variant is exact, any other name goes to the most similar form, or to none."""
+    names = some_names()
+    stored, asked = names[::2], [*names[1::2], names[0], "", "a b c", None, names[0]]
+    clusters = {c: sorted(stored[i :: 9]) for i, c in enumerate("ABCDEFGHI")}
+    df = spark.createDataFrame([(c, c.lower(), v) for c, v in clusters.items()], "cluster string, canonical string, variants array<string>")
+    got = {r["name"]: tuple(r)[1:] for r in similarity.resolved(spark.createDataFrame([(n,) for n in asked], "name string"), df, lambda c: F.regexp_replace(c, " ", "")).collect()}
+    want = {}
+    for name in {n for n in asked if n is not None}:
+        form = name.replace(" ", "")
+        near = [(-score(form, v), c) for c, vs in clusters.items() for v in vs if score(form, v) >= similarity.NAME_THRESHOLD]
+        exact = [c for c, vs in clusters.items() if name in vs]
+        c, s, how = (exact[0], 1.0, "exact") if exact else (min(near)[1], -min(near)[0], "similarity") if near else (None, None, None)
+        want[name] = (c, c and c.lower(), s and pytest.approx(s, abs=1e-12), how)
+    assert got == want and {w[3] for w in want.values()} == {"exact", "similarity", None}
+
+
+def test_resolved_against_nothing(spark):
+    empty = spark.createDataFrame([], "cluster string, canonical string, variants array<string>")
+    got = similarity.resolved(spark.createDataFrame([("x",), (None,)], "name string"), empty, lambda c: c).collect()
+    assert [tuple(r) for r in got] == [("x", None, None, None, None)]
