@@ -28,11 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/procura-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: it cuts the lineage and survives lost executors."""
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes a table to the shared folder and reads it again: it cuts the lineage and survives lost executors. The folder can be removed when the table is no longer read."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    return written_at(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, gif_media, html_text, packing, quality, secrets, simhash, suffix_dedup, toxicity
+from . import ann, ball_kmeans, bpe, collocations, exact_dedup, gif_media, html_text, packing, quality, secrets, simhash, suffix_dedup, toxicity
 from .common import crc_bucket
 
 
@@ -64,8 +64,20 @@ def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFr
     return scored.select("doc_id", (bucket == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_apriori_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif_media, op2_simhash, op3_toxicity, op4_block_matrix_neighbours, op5_secret_ownership, op6_hierarchical_packing, op7_consensus_html, op8_suffix_runs, op9_bpe_round_trip, op10_positive_unlabelled_quality)}
+    return {f.__name__: f for f in (op1_gif_media, op2_simhash, op3_toxicity, op4_block_matrix_neighbours, op5_secret_ownership, op6_hierarchical_packing, op7_consensus_html, op8_suffix_runs, op9_bpe_round_trip, op10_positive_unlabelled_quality, op11_streaming_exact_dedup, op12_ball_kmeans, op13_apriori_collocations)}
 
 
 OP4_SQL = """
@@ -135,5 +147,61 @@ FROM d LEFT JOIN a USING (rid)
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) = 1 AS kept, sha256(norm) AS text_sha256
+FROM d
+"""
+
+
+def kmeans_sql(k: int = ball_kmeans.CLUSTERS, rounds: int = ball_kmeans.ROUNDS) -> str:
+    """All rounds one after another; a centroid is a list of integers, and sums are exact."""
+    assign = """
+SELECT i, vec_id, q, unnest(arg_min({{c: c, d: d}}, (d, c))) FROM (
+    SELECT i, vec_id, q, c, CAST(list_sum(list_transform(list_zip(q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY i, vec_id, q"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({assign.format(r=r)})")
+        if r < rounds:
+            steps.append(f"""
+u{r} AS MATERIALIZED (SELECT c, list(s ORDER BY j) AS m FROM (
+    SELECT c, j, CAST((sum(x) - (CASE WHEN sum(x) % count(*) < 0 THEN sum(x) % count(*) + count(*) ELSE sum(x) % count(*) END)) // count(*) AS BIGINT) AS s
+    FROM (SELECT c, unnest(q) AS x, unnest(range(1, len(q) + 1)) AS j FROM a{r}) GROUP BY c, j) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(u.m, o.m) AS m FROM c{r} o LEFT JOIN u{r} u USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+    WHERE len(embedding) = {ball_kmeans.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INTEGER) AS c, q AS m FROM (SELECT q, sha256(concat('{ball_kmeans.SEED}:', CAST(vec_id AS VARCHAR))) AS h FROM v ORDER BY h, q LIMIT {k})),
+{", ".join(steps)},
+i AS (SELECT c, CAST(sum(d) AS BIGINT) AS t FROM a{rounds} GROUP BY c)
+SELECT vec_id, a.c AS cluster, d AS distance, t AS cluster_inertia, CAST((SELECT sum(d) FROM a{rounds}) AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN i ON i.c = a.c JOIN c{rounds} o ON o.c = a.c
+"""
+
+
+def collocations_sql(longest: int = collocations.WORDS, least: int = collocations.LEAST, inside: int = collocations.INSIDE, top: int = collocations.TOP) -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    grams = " UNION ALL ".join(f"SELECT lang, w[i:i + {k - 1}] AS p FROM t, unnest(range(1, len(w) - {k - 2})) AS u(i)" for k in range(1, longest + 1))
+    return rf"""
+WITH s AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS MATERIALIZED (SELECT * FROM s WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM ({grams}) GROUP BY lang, p HAVING count(*) >= {least}),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM t GROUP BY lang),
+c AS (SELECT lang, p, f AS a, k FROM f, unnest(range(1, len(p))) AS u(k)),
+x AS (SELECT c.lang, c.p, c.a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]),
+b AS (SELECT lang, p, a, unnest(arg_min({{l: l, r: r, score: score}}, (score, k))) FROM x GROUP BY lang, p, a),
+held AS (SELECT lang, q, max(f) AS f FROM (SELECT lang, f, p[i:i + size - 1] AS q FROM f, unnest(range(2, len(p))) AS z(size), unnest(range(1, len(p) - size + 2)) AS u(i)) GROUP BY lang, q),
+g AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN held h ON h.lang = b.lang AND h.q = b.p WHERE h.f IS NULL OR CAST(100 AS HUGEINT) * h.f < CAST({inside} AS HUGEINT) * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM g)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= {top}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_matrix_neighbours": OP4_SQL, "op5_secret_ownership": secrets_sql(), "op8_suffix_runs": OP8_SQL}
+    return {"op11_streaming_exact_dedup": OP11_SQL, "op12_ball_kmeans": kmeans_sql(), "op13_apriori_collocations": collocations_sql(), "op4_block_matrix_neighbours": OP4_SQL, "op5_secret_ownership": secrets_sql(), "op8_suffix_runs": OP8_SQL}
