@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching, predicates, scoring, stats, tables
+from ..sources import store
 from ..sources.notices import AS_OF, bids
 from .opportunities import PROFILE, SCORED, WORDS
 from .registry import query
@@ -181,6 +182,31 @@ def s21_replace_children(spark, sf_dir):
     return tables.replace_children(parents, children, news, "id", "items")
 
 
+@query("""SELECT id, title, status FROM stored WHERE id NOT IN (SELECT id FROM news) UNION ALL SELECT id, title, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place DESC) AS r FROM news) WHERE r = 1""", UPSERT)
+def s11_store_upsert(spark, sf_dir):
+    """S11 as a store: only buckets with news are written again."""
+    stored, news = upsert_parts(spark, sf_dir)
+    path = tables.shared_folder(spark)
+    store.create(stored, path, "id")
+    last = tables.latest(news, ["id"], [F.desc("place")]).select("id", "title", "status")
+    store.merge(spark, path, last, last, ["id"], "id")
+    return store.read(spark, path).drop("bucket")
+
+
+@query("""SELECT o_orderkey AS id, l_partkey AS item, 0 AS sort_order FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT o_orderkey, o_orderkey * 10 + i, i FROM orders, (SELECT unnest(range(3)) AS i) WHERE o_orderkey % 5 = 0""")
+def s21_store_children(spark, sf_dir):
+    """S21 as a store: items lie in the buckets of their notices, and those of touched notices are replaced in place."""
+    parents = bids(spark, sf_dir).select("id")
+    children = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.lit(0).cast("int").alias("sort_order"), F.col("l_partkey").alias("item")).join(parents, "id", "left_semi")
+    path = tables.shared_folder(spark)
+    store.create(children, path, "id")
+    touched = parents.where("id % 5 = 0")
+    news = touched.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.col("id") * 10 + i)).alias("sort_order", "item"))
+    store.merge(spark, path, touched, news, ["id"], "id")
+    return store.read(spark, path).drop("bucket")
+
+
 @query("""SELECT id, title FROM bids WHERE source_site = 'site3' AND status = 'active' ORDER BY publish_date DESC, id LIMIT 30""")
 def s3_batch_scan(spark, sf_dir):
     return bids(spark, sf_dir).where("source_site = 'site3' and status = 'active'").orderBy(F.desc("publish_date"), "id").limit(30).select("id", "title")
@@ -190,11 +216,12 @@ def s3_batch_scan(spark, sf_dir):
 ROLES = (("viewer", ("read",), None), ("user", ("write", "export"), "viewer"), ("manager", ("approve", "assign"), "user"), ("admin", ("all",), "manager"))
 
 
-@query("""SELECT role, array_to_string(list_sort(rights), ',') AS rights FROM (VALUES ('viewer', ['read']), ('user', ['write', 'export', 'read']), ('manager', ['approve', 'assign', 'write', 'export', 'read']), ('admin', ['all', 'approve', 'assign', 'write', 'export', 'read'])) AS t(role, rights)""")
+@query("""SELECT c_custkey AS user_id, t.role, array_to_string(list_sort(rights), ',') AS rights FROM customer JOIN (VALUES (0, 'viewer', ['read']), (1, 'user', ['write', 'export', 'read']), (2, 'manager', ['approve', 'assign', 'write', 'export', 'read']), (3, 'admin', ['all', 'approve', 'assign', 'write', 'export', 'read'])) AS t(k, role, rights) ON c_custkey % 4 = k""")
 def u4_role_rights(spark, sf_dir):
-    """Rights of roles with what they inherit; the table of roles has a handful of rows."""
-    roles = spark.createDataFrame([(r, list(p), up) for r, p, up in ROLES], "role string, rights array<string>, parent string")
+    """U4: what every customer, as a user, may do by their role and the roles below it; the table of roles has a handful of rows."""
+    roles = spark.createDataFrame([(k, r, list(p), up) for k, (r, p, up) in enumerate(ROLES)], "k long, role string, rights array<string>, parent string")
     for _ in range(len(ROLES) - 1):
         up = roles.select(F.col("role").alias("parent"), F.col("rights").alias("more"), F.col("parent").alias("above"))
-        roles = roles.join(up, "parent", "left").select("role", F.array_union("rights", F.coalesce("more", F.array().cast("array<string>"))).alias("rights"), F.col("above").alias("parent"))
-    return roles.select("role", F.array_join(F.array_sort("rights"), ",").alias("rights"))
+        roles = roles.join(up, "parent", "left").select("k", "role", F.array_union("rights", F.coalesce("more", F.array().cast("array<string>"))).alias("rights"), F.col("above").alias("parent"))
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 4).alias("k"))
+    return users.join(F.broadcast(roles), "k").select("user_id", "role", F.array_join(F.array_sort("rights"), ",").alias("rights"))

@@ -166,9 +166,11 @@ def r15_circuit_breaker(spark, sf_dir):
     return monitoring.breaker(events(spark, sf_dir).withColumn("ok", F.col("status") < 400), "endpoint", "ts", "ok", failures=2, pause=1800.0)
 
 
-@query("""SELECT attempt, CAST(least(pow(2, attempt), 60) AS DOUBLE) AS delay FROM (SELECT unnest(range(10)) AS attempt)""")
+@query("""SELECT user_id, kind, attempt, CAST(least(pow(2, attempt), 60) AS DOUBLE) AS delay FROM (SELECT user_id, event_type AS kind, count(*) - 1 AS attempt FROM e WHERE status >= 400 GROUP BY 1, 2)""", EVENTS)
 def r16_backoff(spark, sf_dir):
-    return spark.range(10).select(F.col("id").alias("attempt"), monitoring.backoff(F.col("id")).cast("double").alias("delay"))
+    """How long to wait before the next attempt of what a user has failed to do, by the attempts so far."""
+    failed = events(spark, sf_dir).where("status >= 400").groupBy("user_id", F.col("event_type").alias("kind")).agg((F.count(F.lit(1)) - 1).alias("attempt"))
+    return failed.select("user_id", "kind", "attempt", monitoring.backoff(F.col("attempt")).cast("double").alias("delay"))
 
 
 @query("""SELECT kind, count(*) AS "count", count(*) FILTER (attempts >= 3) AS exhausted FROM (SELECT event_type AS kind, user_id, count(*) AS attempts FROM e WHERE status >= 400 GROUP BY 1, 2) GROUP BY 1""", EVENTS)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, extraction, merging, search, stats, validation
+from ..operators import cleaning, extraction, merging, search, stats, validation, vectors
+from ..operators.tables import shared_folder
+from ..sources import store
 from ..sources.notices import AS_OF, bids, table
 from .registry import query
 
@@ -19,6 +21,34 @@ def t1_ranked_search(spark, sf_dir):
     return search.ranked(bids(spark, sf_dir), "(BUILDING) & nation_7").select("id", "rank")
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> str:
+    """An index of all notices of which a hundredth had other texts and a two-hundredth did not exist when it was built, and one stale row in two hundred has gone since."""
+    path, now = shared_folder(spark), bids(spark, sf_dir)
+    k = F.col("id")
+    before = now.where(k % 200 != 50).withColumn("title", F.when(k % 100 == 0, F.concat(F.lit("obsolete wording of "), "description")).otherwise(F.col("title")))
+    stale = now.where(k % 200 == 50).withColumn("id", -k)
+    vectors.build(before.unionByName(stale), path, buckets=16)
+    vectors.update(now.where((k % 100 == 0) | (k % 200 == 50)), path, buckets=16, deleted=stale.select("id"))
+    return path
+
+
+VECTORS = " UNION ALL ".join(f"SELECT '{w}' AS weight, id, {SPLIT.format(c)} AS words FROM bids" for w, c in (("A", "title"), ("B", "description"), ("C", "tenderer")))
+
+
+@query(f"""SELECT word, weight, count(DISTINCT id) AS rows_, count(*) AS hits FROM (SELECT weight, id, unnest(words) AS word FROM ({VECTORS})) GROUP BY 1, 2""")
+def t5_stored_vectors(spark, sf_dir):
+    """T5: words of the stored vectors with their weights, after changed, new and deleted rows."""
+    found = store.read(spark, vectors.folders(stored_vectors(spark, sf_dir))[0])
+    return found.groupBy("word", "weight").agg(stats.n(name="rows_"), F.sum("hits").alias("hits"))
+
+
+@query(f"""SELECT id, round(CAST(len(list_filter(t, lambda w: w IN ('building', 'nation_7'))) AS DOUBLE) / (len(t) + 1) * 1.0 + CAST(len(list_filter(d, lambda w: w IN ('building', 'nation_7'))) AS DOUBLE) / (len(d) + 1) * 0.4, 6) AS rank
+FROM (SELECT id, {SPLIT.format('title')} AS t, {SPLIT.format('description')} AS d FROM bids) WHERE len(list_filter(list_distinct(list_concat(t, d)), lambda w: w IN ('building', 'nation_7'))) = 2""")
+def t5_vector_search(spark, sf_dir):
+    """T5: the rows and ranks of t1_ranked_search, from the stored vectors."""
+    return vectors.ranked(spark, stored_vectors(spark, sf_dir), "(BUILDING) & nation_7", buckets=16)
+
+
 @query("""SELECT id, 1.0::DOUBLE AS relevance FROM bids WHERE contains(lower(title), '2-high') OR contains(lower(description), '2-high') OR contains(lower(title), 'kenya') OR contains(lower(description), 'kenya')""")
 def t2_any_term(spark, sf_dir):
     return search.any_term(bids(spark, sf_dir), "2-HIGH  Kenya").select("id", "relevance")
