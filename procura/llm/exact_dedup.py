@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
 def rows(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """digest, normalised text and `at`: the order in which rows of equal texts are preferred, with id and locator."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    norm = F.translate(text, BLANKS, "")
+    norm = reduce(lambda t, blank: F.replace(t, F.lit(blank), F.lit("")), BLANKS, text)
     doc_id, place = F.col(id_col).cast("bigint"), df.metadataColumn("_metadata")
     at = F.struct((-F.length(text)).alias("shorter"), doc_id.isNull().alias("none"), doc_id.alias("doc_id"), place["file_path"].alias("file"), place["row_index"].alias("row"))
     return df.select(digest(norm).alias("digest"), norm.alias("norm"), at.alias("at"))
