@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..streaming import after
+from . import segmented
 from .stats import n
 
 #: Upper bounds of the duration histogram in seconds, and words of error classes in order.
@@ -97,30 +94,67 @@ def lifecycle(df: DataFrame, key: str, ts: str, status: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(status, F.struct(ts, status)).alias("status"), F.round((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6, 3).alias("duration"), n(name="events"), n(F.col(status) == "retry", "retries"))
 
 
-def alerts(df: DataFrame, rules: list[dict], ts: str = "ts", metric: str = "metric", value: str = "value") -> DataFrame:
-    """Firings of threshold rules with a cooldown: rule, severity, at, value.
+def crossings(df: DataFrame, rules: list[dict], ts: str, metric: str, value: str) -> DataFrame:
+    """Every event with each rule that watches its metric, and whether the value passes the rule's threshold."""
+    plain = [{"below": False, "enabled": True} | r for r in rules]
+    table = df.sparkSession.createDataFrame([(r["name"], r["metric"], float(r["threshold"]), r["severity"], float(r["cooldown"]), r["below"]) for r in plain if r["enabled"]], RULE)  # rules are written in the program
+    seen = df.join(F.broadcast(table.withColumnRenamed("metric", "__metric")), F.col(metric) == F.col("__metric"))
+    over = F.when(F.col("below"), F.col(value) < F.col("threshold")).otherwise(F.col(value) > F.col("threshold"))
+    return seen.select("name", "severity", "cooldown", F.unix_micros(ts).alias("at"), F.col(value).cast("double").alias("value"), F.coalesce(over, F.lit(False)).alias("over"))
+
+
+RULE = "name string, metric string, threshold double, severity string, cooldown double, below boolean"
+
+
+def alerts(df: DataFrame, rules: list[dict], ts: str = "ts", metric: str = "metric", value: str = "value", cooldown: float | None = None, sleeps: int = segmented.SLEEPS) -> DataFrame:
+    """Firings of threshold rules with a cooldown: name, severity, at, value.
+
+    A rule (name, metric, threshold, severity, cooldown in seconds; `below` if it fires under its threshold,
+    `enabled` if not always) fires when the value passes its threshold and it has not fired within its
+    cooldown. A cooldown given here holds for all rules instead of their own.
+    """
+    rules = rules if cooldown is None else [r | {"cooldown": cooldown} for r in rules]
+    hits = crossings(df, rules, ts, metric, value).where("over")
+    pause = (F.col("cooldown") * 1_000_000).cast("bigint")
+    run = segmented.scan(hits, segmented.cooldown(), F.col("name"), F.col("at"), F.col("value"), F.lit(True), pause, lambda before, *_: (before is not None,), "fired boolean", sleeps)
+    severities = df.sparkSession.createDataFrame([(r["name"], r["severity"]) for r in rules], "key string, severity string")
+    return run.where("fired").join(F.broadcast(severities), "key").select(F.col("key").alias("name"), "severity", "at", F.col("place").alias("value"))
+
+
+def alert_states(df: DataFrame, rules: list[dict], ts: str = "ts", metric: str = "metric", value: str = "value", cooldown: float | None = None) -> DataFrame:
+    """Firings, and the first event after each that no longer passes the threshold: name, status, at, value.
 
-    A rule (name, metric, threshold, severity, cooldown in seconds) fires when the value passes its
-    threshold and it has not fired within its cooldown; events are folded in time order, rule by rule.
+    Until such an event an alert is active, and further firings are those of the same alert.
     """
-    spark = df.sparkSession
-    table = spark.createDataFrame(rules, "name string, metric string, threshold double, severity string, cooldown double")
-    hits = df.join(F.broadcast(table.withColumnRenamed("metric", "__metric")), F.col(metric) == F.col("__metric")).where(F.col(value) > F.col("threshold"))
-    hits = hits.select("name", "severity", "cooldown", F.unix_micros(ts).alias("at"), F.col(value).cast("double").alias("value"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = last = None
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                if r.name != name:
-                    name, last = r.name, None
-                if last is None or r.at - last >= r.cooldown * 1e6:
-                    out.append((r.name, r.severity, r.at, r.value))
-                    last = r.at
-            yield pd.DataFrame(out, columns=["name", "severity", "at", "value"])
-
-    return hits.repartition("name").sortWithinPartitions("name", "at", "value").mapInPandas(fold, "name string, severity string, at long, value double")
+    rules = rules if cooldown is None else [r | {"cooldown": cooldown} for r in rules]
+    fired = alerts(df, rules, ts, metric, value).select("name", "at", "value", F.lit("firing").alias("status"))
+    calm = crossings(df, rules, ts, metric, value).where("NOT over").select("name", "at", "value", F.lit("calm").alias("status"))
+    # an event that is calm ends what was fired before it
+    both = fired.unionByName(calm)
+    seen = segmented.before(both, F.col("name"), F.col("at"), F.struct(F.col("status") == "calm", "value"), F.col("status"), F.lit(86_400_000_000))
+    ended = (F.col("status") == "calm") & (F.col("before") == "firing")
+    return seen.where((F.col("status") == "firing") | ended).select("name", F.when(F.col("status") == "calm", "resolved").otherwise("firing").alias("status"), "at", "value")
+
+
+#: The rules of a plain alert manager, and the one cooldown of all in seconds.
+DEFAULT_RULES = (
+    {"name": "high_response_time", "metric": "api", "threshold": 3000.0, "severity": "warning", "cooldown": 60.0}, {"name": "critical_response_time", "metric": "api", "threshold": 10000.0, "severity": "critical", "cooldown": 60.0},
+    {"name": "high_error_rate", "metric": "error_rate", "threshold": 10.0, "severity": "warning", "cooldown": 60.0}, {"name": "db_pool_exhausted", "metric": "db", "threshold": 90.0, "severity": "critical", "cooldown": 60.0},
+    {"name": "queue_backlog", "metric": "queue", "threshold": 1000.0, "severity": "warning", "cooldown": 60.0},
+)
+DEFAULT_COOLDOWN = 300.0
+
+
+def measured(kind: Column, response_time: Column, error_rate: Column, pool_usage: Column, wait_time: Column, queue_length: Column) -> Column:
+    """What the rules of a kind of metric look at; of a pool's two figures the larger one, a missing figure counts as zero."""
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    return F.when(kind == "api", zero(response_time)).when(kind == "error_rate", zero(error_rate)).when(kind == "db", F.greatest(zero(pool_usage), zero(wait_time))).when(kind == "queue", zero(queue_length))
+
+
+def breaker_rows(df: DataFrame, key: Column, at: Column, place: Column, ok: Column, failures: int, pause: int, successes: int, sleeps: int = segmented.SLEEPS) -> DataFrame:
+    """(key, place, state, rejected) of every call; at and pause in the same unit."""
+    named = lambda before, after, until: ("open" if until is not None else after[0], before is None)
+    return segmented.scan(df, segmented.breaker(failures, successes), key, at, place, ok, F.lit(pause), named, "state string, rejected boolean", sleeps).drop("at")
 
 
 def breaker(df: DataFrame, key: str, ts: str, ok: str, failures: int = 5, pause: float = 60.0, successes: int = 2) -> DataFrame:
@@ -129,17 +163,10 @@ def breaker(df: DataFrame, key: str, ts: str, ok: str, failures: int = 5, pause:
     It opens after so many failures in a row, lets a call through after the pause and closes after so
     many successes; a call while it is open is rejected and changes nothing.
     """
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, now, bad, good, since = None, "closed", 0, 0, 0
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                key = r.key if isinstance(r.key, str) else None
-                if key != own:
-                    own, now, bad, good, since = key, "closed", 0, 0, 0
-                now, bad, good, since, rejected = after(now, bad, good, since, r.at, r.ok, failures, pause, successes)
-                out.append((key, r.place, now, rejected))
-            yield pd.DataFrame(out, columns=["key", "place", "state", "rejected"])
-
-    rows = df.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("at"), F.col(ok).alias("ok"), F.col("event_id").alias("place"))
-    return rows.repartition("key").sortWithinPartitions("key", "at", "place").mapInPandas(fold, "key string, place long, state string, rejected boolean")
+    return breaker_rows(df, F.col(key), F.unix_micros(ts), F.col("event_id"), F.col(ok), failures, int(pause * 1e6), successes)
+
+
+def deliveries(df: DataFrame, key: str, ts: str, place: str, event: str, retries: int = 3) -> DataFrame:
+    """(key, place, at, status, retry_count) of notifications after each thing that happens to them."""
+    machine = segmented.delivery(retries)
+    return segmented.scan(df, machine, F.col(key), F.unix_micros(ts), F.col(place), F.col(event), F.lit(86_400_000_000), lambda before, after, until: after, "status string, retry_count long")

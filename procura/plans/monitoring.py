@@ -160,12 +160,72 @@ def m12_alert_statistics(spark, sf_dir):
     return r6_alert_firings(spark, sf_dir).groupBy("severity", "name").agg(stats.n())
 
 
-@query()
+#: A breaker's rule, call by call.
+CALLS = EVENTS + """,
+calls AS (SELECT endpoint, event_id, epoch_us(ts) AS "at", status < 400 AS ok, row_number() OVER (PARTITION BY endpoint ORDER BY ts, event_id) AS r FROM e),
+told AS (
+  SELECT endpoint, event_id, r, CASE WHEN ok THEN 'closed' ELSE 'closed' END AS state, CASE WHEN ok THEN 0 ELSE 1 END AS run, CAST(NULL AS BIGINT) AS opened, false AS rejected FROM calls WHERE r = 1
+  UNION ALL SELECT endpoint, event_id, r,
+    CASE WHEN asleep THEN 'open' WHEN now = 'closed' THEN CASE WHEN NOT ok AND run + 1 = 2 THEN 'open' ELSE 'closed' END WHEN NOT ok THEN 'open' WHEN run + 1 = 2 THEN 'closed' ELSE 'half_open' END,
+    CASE WHEN asleep THEN 0 WHEN now = 'closed' THEN CASE WHEN ok OR run + 1 = 2 THEN 0 ELSE run + 1 END WHEN ok AND run + 1 < 2 THEN run + 1 ELSE 0 END,
+    CASE WHEN asleep THEN opened WHEN NOT ok AND (now = 'half_open' OR run + 1 = 2) THEN "at" END, asleep
+  FROM (SELECT c.*, t.opened, t.state = 'open' AND c."at" < t.opened + 1800000000 AS asleep, CASE WHEN t.state = 'open' THEN 'half_open' ELSE t.state END AS now, CASE WHEN t.state = 'open' THEN 0 ELSE t.run END AS run
+        FROM told t JOIN calls c ON c.endpoint = t.endpoint AND c.r = t.r + 1))"""
+
+
+@query("""SELECT endpoint AS key, event_id AS place, state, rejected FROM told""", "RECURSIVE " + CALLS.replace("CASE WHEN ok THEN 'closed' ELSE 'closed' END AS state", "'closed' AS state"))
 def r15_circuit_breaker(spark, sf_dir):
-    """Checked against a fold in the tests."""
+    """States of the breakers of all endpoints, by segments of time."""
     return monitoring.breaker(events(spark, sf_dir).withColumn("ok", F.col("status") < 400), "endpoint", "ts", "ok", failures=2, pause=1800.0)
 
 
+@query("""SELECT name, status, "at", value FROM (
+  SELECT *, lag(status) OVER (PARTITION BY name ORDER BY "at", status = 'resolved', value) AS past FROM (
+    SELECT name, 'firing' AS status, "at", CAST(value AS DOUBLE) AS value FROM fired
+    UNION ALL SELECT name, 'resolved', epoch_us(ts), CAST(value AS DOUBLE) FROM e JOIN (VALUES ('slow', 'view', 80.0), ('costly', 'purchase', 90.0)) AS t(name, metric, threshold) ON event_type = metric AND (value <= threshold OR value IS NULL)))
+WHERE status = 'firing' OR past = 'firing'""", "RECURSIVE " + FIRINGS)
+def r6_alert_states(spark, sf_dir):
+    """Firings with their resolutions."""
+    return monitoring.alert_states(events(spark, sf_dir).withColumnRenamed("event_type", "metric"), list(RULES))
+
+
+MANAGED = EVENTS + """,
+metrics AS (SELECT ts, event_id, CASE event_type WHEN 'view' THEN 'api' WHEN 'error' THEN 'error_rate' WHEN 'purchase' THEN 'db' WHEN 'click' THEN 'queue' END AS metric,
+  CASE event_type WHEN 'view' THEN coalesce(value, 0) * 120 WHEN 'error' THEN coalesce(value, 0) / 5 WHEN 'purchase' THEN greatest(coalesce(value, 0), user_id % 97) WHEN 'click' THEN coalesce(value, 0) * 12 END::DOUBLE AS value FROM e),
+rules(name, metric, threshold, severity) AS (VALUES ('high_response_time', 'api', 3000.0::DOUBLE, 'warning'), ('critical_response_time', 'api', 10000.0, 'critical'), ('high_error_rate', 'error_rate', 10.0, 'warning'), ('db_pool_exhausted', 'db', 90.0, 'critical'), ('queue_backlog', 'queue', 1000.0, 'warning')),
+over AS (SELECT name, severity, epoch_us(ts) AS "at", value, row_number() OVER (PARTITION BY name ORDER BY ts, value) AS r FROM metrics JOIN rules USING (metric) WHERE value > threshold),
+told AS (SELECT name, severity, "at", value, r, true AS fired, "at" AS last FROM over WHERE r = 1
+  UNION ALL SELECT o.name, o.severity, o."at", o.value, o.r, o."at" - t.last >= 3600000000, CASE WHEN o."at" - t.last >= 3600000000 THEN o."at" ELSE t.last END FROM told t JOIN over o ON o.name = t.name AND o.r = t.r + 1)"""
+
+
+@query("""SELECT name, severity, "at", value FROM told WHERE fired""", "RECURSIVE " + MANAGED)
+def r7_default_alerts(spark, sf_dir):
+    """The default rules of a manager under one cooldown for all, over four kinds of metrics."""
+    kind = F.when(F.col("event_type") == "view", "api").when(F.col("event_type") == "error", "error_rate").when(F.col("event_type") == "purchase", "db").when(F.col("event_type") == "click", "queue")
+    value = F.coalesce("value", F.lit(0.0))
+    rows = events(spark, sf_dir).withColumn("metric", kind).withColumn("figure", monitoring.measured(kind, value * 120, value / 5, value, F.col("user_id") % 97, value * 12))
+    return monitoring.alerts(rows, list(monitoring.DEFAULT_RULES), metric="metric", value="figure", cooldown=3600.0)
+
+
+DELIVERIES = EVENTS + """,
+told AS (SELECT *, row_number() OVER (PARTITION BY notification ORDER BY ts, event_id) AS r FROM (
+  SELECT concat(user_id, '/', event_id % 2) AS notification, ts, event_id, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'error' WHEN 'click' THEN 'delivered' WHEN 'view' THEN 'read' ELSE 'none' END AS what FROM e)),
+states AS (
+  SELECT notification, event_id, r, CASE what WHEN 'ok' THEN 'sent' ELSE 'pending' END AS status, CASE what WHEN 'error' THEN 1 ELSE 0 END AS retry_count FROM told WHERE r = 1
+  UNION ALL SELECT t.notification, t.event_id, t.r,
+    CASE WHEN status = 'pending' AND what = 'ok' THEN 'sent' WHEN status = 'pending' AND what = 'error' AND retry_count = 2 THEN 'failed' WHEN status = 'sent' AND what = 'delivered' THEN 'delivered' WHEN status IN ('sent', 'delivered') AND what = 'read' THEN 'read' ELSE status END,
+    CASE WHEN status = 'pending' AND what = 'error' THEN retry_count + 1 ELSE retry_count END
+  FROM states s JOIN told t ON t.notification = s.notification AND t.r = s.r + 1)"""
+
+
+@query("""SELECT notification AS key, event_id AS place, status, CAST(retry_count AS BIGINT) AS retry_count FROM states""", "RECURSIVE " + DELIVERIES)
+def r13_deliveries(spark, sf_dir):
+    """Notifications of a user and channel through their states, attempt by attempt."""
+    what = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "delivered").when(F.col("event_type") == "view", "read").otherwise("none")
+    rows = events(spark, sf_dir).withColumn("notification", F.concat_ws("/", "user_id", F.col("event_id") % 2)).withColumn("what", what)
+    return monitoring.deliveries(rows, "notification", "ts", "event_id", "what").drop("at")
+
+
 @query("""SELECT user_id, kind, attempt, CAST(least(pow(2, attempt), 60) AS DOUBLE) AS delay FROM (SELECT user_id, event_type AS kind, count(*) - 1 AS attempt FROM e WHERE status >= 400 GROUP BY 1, 2)""", EVENTS)
 def r16_backoff(spark, sf_dir):
     """How long to wait before the next attempt of what a user has failed to do, by the attempts so far."""

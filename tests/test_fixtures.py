@@ -8,6 +8,8 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from test_segmented import plain_breaker
+
 from procura import streaming
 from procura.operators import classify, cleaning, extraction, matching, merging, monitoring, paging, predicates, scoring, search, similarity, stats, tables, trends, validation
 from procura.sources import sinks
@@ -202,10 +204,9 @@ def test_breaker_and_limiter_equal_a_fold(spark, tmp_path):
     path = str(tmp_path / "events")
     frame = spark.createDataFrame(data, "event_id long, key string, item string, s long, ok boolean").select("event_id", "key", "item", "ok", F.timestamp_seconds("s").alias("ts"))
     frame.write.parquet(path)
-    want, state = {}, {}
-    for i, key, _, s, ok in data:
-        state[key] = streaming.after(*state.get(key, ("closed", 0, 0, 0, False))[:4], s * 10**6, ok, 2, 45.0, 2)
-        want[i] = (state[key][0], state[key][4])
+    want = {}
+    for k in ("k0", "k1"):
+        want |= {place: (state, rejected) for place, state, rejected in plain_breaker([(s * 10**6, i, ok) for i, key, _, s, ok in data if key == k], 2, 45 * 10**6, 2)}
     batch = monitoring.breaker(frame, "key", "ts", "ok", 2, 45.0, 2)
     assert {x["place"]: (x["state"], x["rejected"]) for x in batch.collect()} == want
     stream = streaming.table_stream(spark, path, frame)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procura import streaming
+from test_segmented import plain_breaker
+
 from procura.operators import monitoring
 
 RULES = [{"name": n, "metric": m, "threshold": 0.0, "severity": "s", "cooldown": c} for n, m, c in (("a", "m0", 50.0), ("b", "m1", 7.0), ("c", "m1", 400.0))]
@@ -25,10 +26,9 @@ def test_folds_carry_their_state_over_batches(spark, monkeypatch):
                     want.add((rule["name"], last * 10**6))
         assert {(r["name"], r["at"]) for r in fired.collect()} == want
         states = monitoring.breaker(rows, "metric", "ts", "ok", 2, 15.0, 2)
-        own, wanted = {}, {}
-        for i in range(200):
-            own[i % 2] = streaming.after(*own.get(i % 2, ("closed", 0, 0, 0, False))[:4], 3 * i * 10**6, i % 7 < 4, 2, 15.0, 2)
-            wanted[i] = (own[i % 2][0], own[i % 2][4])
+        wanted = {}
+        for k in (0, 1):
+            wanted |= {place: (state, rejected) for place, state, rejected in plain_breaker([(3 * i * 10**6, i, i % 7 < 4) for i in range(k, 200, 2)], 2, 15 * 10**6, 2)}
         assert {r["place"]: (r["state"], r["rejected"]) for r in states.collect()} == wanted
         for df in (fired, states):
             assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
