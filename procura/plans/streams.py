@@ -34,6 +34,33 @@ def r6_stream_alerts(spark, sf_dir):
     return streaming.drained(streaming.alerts(event_stream(spark, sf_dir), list(RULES), "ts", "event_type", "value", "event_id"))
 
 
+LIMIT = EVENTS + """,
+told AS (SELECT endpoint, event_id, user_id, epoch_us(ts) AS "at", row_number() OVER (PARTITION BY endpoint ORDER BY ts, event_id) AS r FROM e),
+steps AS (
+  SELECT endpoint, event_id, r, true AS passes, [{'item': user_id, 'at': "at"}] AS held FROM told WHERE r = 1
+  UNION ALL SELECT endpoint, event_id, r, len(own) < 3, CASE WHEN len(own) < 3 THEN list_append(list_filter(own, lambda x: x.item <> user_id), {'item': user_id, 'at': "at"}) ELSE own END
+  FROM (SELECT t.*, list_filter(s.held, lambda x: t."at" - x."at" < 1800000000) AS own FROM steps s JOIN told t ON t.endpoint = s.endpoint AND t.r = s.r + 1))"""
+
+
+@query("""SELECT endpoint AS scope, event_id AS place, passes FROM steps""", "RECURSIVE " + LIMIT)
+def r3_stream_limit(spark, sf_dir):
+    """At most three users at once on an endpoint within half an hour, as a stream with maps and timers."""
+    scope = F.concat(F.lit("p"), (F.col("user_id") % 6).cast("string"))
+    rows = event_stream(spark, sf_dir).withColumn("endpoint", scope)
+    return streaming.drained(streaming.limited(rows, "endpoint", "user_id", "ts", "event_id", most=3, seconds=1800.0), conf=streaming.ROCKS)
+
+
+@query("""SELECT kind, count(*) AS pushes, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(least(messages, failed)) AS BIGINT) AS failed, max(ts) AS last FROM (
+SELECT CASE event_type WHEN 'view' THEN 'new_tender' ELSE 'opportunity_alert' END AS kind, user_id % 5 AS messages, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS failed, ts FROM e WHERE event_type IN ('view', 'purchase')) GROUP BY 1""", EVENTS)
+def r5_push_counters(spark, sf_dir):
+    """Pushes, their messages, failures and last time as running counters."""
+    kind = F.when(F.col("event_type") == "view", "new_tender").when(F.col("event_type") == "purchase", "opportunity_alert")
+    messages = F.col("user_id") % 5
+    pushes = event_stream(spark, sf_dir).select(kind.alias("kind"), messages.alias("messages"), F.least(messages, F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("failed"), F.col("ts").alias("at")).where("kind is not null")
+    path = shared_folder(spark)
+    return streaming.count_pushes(pushes, f"{path}/counters", f"{path}/log")
+
+
 @query("""SELECT connection_id, id FROM scored JOIN pushes ON (regions IS NULL OR list_contains(regions, region)) AND (industries IS NULL OR list_contains(industries, industry))
 AND (budget_amount IS NULL OR ((low IS NULL OR budget_amount >= low) AND (high IS NULL OR budget_amount <= high))) AND (least_score IS NULL OR total_score >= least_score)""", PUSHED)
 def r1_stream_pushes(spark, sf_dir):
