@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, extraction, merging, search, stats, validation, vectors
+from ..operators import cleaning, extraction, markup, merging, search, stats, validation, vectors
 from ..operators.tables import shared_folder
 from ..sources import store
 from ..sources.notices import AS_OF, bids, table
@@ -272,7 +272,7 @@ def e13_main_documents(spark, sf_dir):
     """The main PDF of a page by the words of its links, by its place, or because it is the only one."""
     k = F.col("page_id")
     page = F.concat(F.lit("<div class='content'><p><a href='/a"), k.cast("string"), F.lit(".pdf'>x</a></p></div>"), F.when(k % 2 == 1, "<a href='b.pdf'>招标公告</a>").otherwise("<a href='c.pdf'>y</a>"), F.lit("<a href='c.html'>公告</a>"))
-    return extraction.main_documents(table(spark, sf_dir, "pages").select("page_id", F.lit("https://list.example.org/d/index.html").alias("url"), page.alias("html")), "page_id", "url", "html").select("key", "attachment")
+    return markup.main_documents(table(spark, sf_dir, "pages").select("page_id", F.lit("https://list.example.org/d/index.html").alias("url"), page.alias("html")), "page_id", "url", "html").select("key", "attachment")
 
 
 @query(r"""SELECT id, "start", "end", text, first FROM (SELECT id, unnest(raws) AS text, unnest(firsts) AS first, unnest(list_transform(range(1, len(raws) + 1), lambda i: CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(raws[1:i - 1], lambda r: length(r))), 0) AS BIGINT))) AS "start", "start" + length(text) AS "end"

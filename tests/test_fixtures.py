@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_segmented import plain_breaker
 
 from procura import streaming
-from procura.operators import classify, cleaning, extraction, matching, merging, monitoring, paging, predicates, scoring, search, similarity, stats, tables, trends, validation
+from procura.operators import classify, cleaning, extraction, markup, matching, merging, monitoring, paging, predicates, scoring, search, similarity, stats, tables, trends, validation
 from procura.sources import sinks
 
 AS_OF = "2024-06-01 00:00:00"
@@ -234,7 +234,7 @@ def test_items_parameters_and_main_documents(spark):
     assert stated["处理器"] == ("主频≥2.0GHz", "性能指标", True) and stated["颜色"] == ("黑", "其他", False) and "联系人" not in stated
     page = "<div class='content'><p><a href='/a.pdf'>x</a></p></div><a href='b.pdf'>招标公告</a><a href='c.html'>公告</a>"
     pages = spark.createDataFrame([(1, "http://h.org/d/", page), (2, "http://h.org/", "<a href='only.pdf'></a>"), (3, "http://h.org/", "<a href='1.pdf'></a><a href='2.pdf'></a>"), (4, None, None)], "id long, url string, html string")
-    got = {r["key"]: (r["attachment"], r["score"]) for r in extraction.main_documents(pages, "id", "url", "html").collect()}
+    got = {r["key"]: (r["attachment"], r["score"]) for r in markup.main_documents(pages, "id", "url", "html").collect()}
     assert got == {1: ("http://h.org/d/b.pdf", 22), 2: ("http://h.org/only.pdf", 0)}
 
 
