@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import cleaning, extraction, markup, merging, search, stats, validation, vectors
 from ..operators.tables import shared_folder
@@ -324,3 +325,52 @@ def c12_first_filled(spark, sf_dir):
     """The first of several fields of one meaning that is not blank."""
     k, s = F.col("id"), F.col("id").cast("string")
     return bids(spark, sf_dir).select("id", cleaning.first_filled(F.when(k % 3 == 0, F.concat(F.lit("cn"), s)).otherwise("  "), F.when(k % 2 == 0, F.concat(F.lit(" en"), s, F.lit(" "))), F.lit("")).alias("name"))
+
+
+#: Pages with a table of labels and values at the end of their article; all values follow from the page's own address and number.
+FACTS = """facts AS (SELECT page_id, replace(html, '</article>', concat('<table><tr><th>采购人</th><td>', regexp_extract(url, '//([^/]+)', 1), '</td></tr><tr><td>预算金额</td><td>', page_id % 900 + 1, '.5万元<td></tr><tr><td>发布日期<td>2024年', page_id % 12 + 1, '月', page_id % 28 + 1, '日</td></table></article>')) AS html, url FROM pages),
+inner_ AS (SELECT *, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM facts)"""
+
+
+def plain_text(markup_: str) -> str:
+    """SQL for markup without tags, references and white space."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&amp;", "&")):
+        markup_ = f"replace({markup_}, '{name}', '{sign}')" if markup_.startswith("replace") else f"replace(regexp_replace({markup_}, '(?s)<[^>]*>', '', 'g'), '{name}', '{sign}')"
+    return f"regexp_replace({markup_}, '[\\s\xa0]+', '', 'g')"
+
+
+def with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    table_ = F.concat(F.lit("<table><tr><th>采购人</th><td>"), host, F.lit("</td></tr><tr><td>预算金额</td><td>"), (k % 900 + 1).cast("string"), F.lit(".5万元<td></tr><tr><td>发布日期<td>2024年"), (k % 12 + 1).cast("string"), F.lit("月"), (k % 28 + 1).cast("string"), F.lit("日</td></table></article>"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("</article>"), table_).alias("html"))
+
+
+@query(f"""SELECT page_id, CASE WHEN length(h) BETWEEN 6 AND 199 THEN h END AS title, '2024-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS publish_date, CAST((page_id % 900 + 1.5) * 10000 AS DOUBLE) AS budget_amount,
+regexp_extract(url, '//([^/]+)', 1) AS tenderer, sha256({plain_text("body")}) AS content FROM (SELECT *, {plain_text("regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1)")} AS h FROM inner_)""", FACTS)
+def e1_detail_records(spark, sf_dir):
+    """Records of whole pages; content and title are compared without their blanks."""
+    rows = markup.records(with_facts(spark, sf_dir), "html", "page_id", date_of=cleaning.date_text, amount_of=cleaning.amount_text)
+    bare = lambda c: F.regexp_replace(c, r"[\s\xa0]+", "")
+    return rows.select("page_id", bare("title").alias("title"), F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"), F.col("budget_amount").cast("double").alias("budget_amount"), "tenderer", F.sha2(bare("content"), 256).alias("content"))
+
+
+#: Name, selector, and a pattern that counts the same in pages as they are written, within a part of the page.
+SELECTORS = (
+    ("menu", "nav > ul > li > a[href]", "(?s)<nav>.*?</nav>", "<li><a href="), ("head", "article > h1", "(?s)<article>.*</article>", "<h1>"), ("paragraphs", "article > p", "(?s)<article>.*</article>", "<p>"),
+    ("bold", "article p b", "(?s)<article>.*</article>", "<b>"), ("advert", "body > div.ad", "(?s).*", '<div class="ad">'), ("german", "html[lang=de] article h1, html[lang|=de] nav", "(?s)<html lang=\"de\">.*", "<h1>|<nav>"), ("own", "nav a[href^='/']", "(?s)<nav>.*?</nav>", 'href="/'), ("none", "#absent .ad", "", "x"),
+)
+
+
+@query(" UNION ALL ".join(f"""SELECT page_id, '{name}' AS selector, len(regexp_extract_all(regexp_extract(html, '{part}'), '{pattern}')) AS matches FROM pages WHERE matches > 0""" for name, _, part, pattern in SELECTORS))
+def e9_selectors(spark, sf_dir):
+    """Matches of CSS selectors, all in one pass over the pages."""
+    found = markup.selected(table(spark, sf_dir, "pages"), "html", {name: selector for name, selector, *_ in SELECTORS}, "page_id")
+    return found.groupBy("page_id", "selector").agg(stats.n(name="matches"))
+
+
+@query("""SELECT page_id, place, m[1] AS href, m[2] AS text FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(nav, '<a href="[^"]*">[^<]*</a>'), lambda a: [regexp_extract(a, 'href="([^"]*)"', 1), regexp_extract(a, '>([^<]*)<', 1)])) AS m, unnest(range(1, len(regexp_extract_all(nav, '<a href=')) + 1)) AS place FROM (SELECT page_id, regexp_extract(html, '(?s)<nav>.*?</nav>') AS nav FROM pages))""")
+def e9_menu_links(spark, sf_dir):
+    """What the menu's links say and where they lead."""
+    found = markup.selected(table(spark, sf_dir, "pages"), "html", {"menu": "nav a"}, "page_id")
+    return found.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("place")).cast("bigint").alias("place"), F.col("attributes")["href"].alias("href"), "text")
