@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,10 @@ SCOPE = frozenset("html body table td th ul ol dl article section div main aside
 #: What is no part of an article.
 JUNK_TAGS = frozenset("nav footer aside form head dialog menu button fieldset search".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
-JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations pagination pager toolbar widget widgets login skip alert toast copyright".split())
+JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist reply replies respond responses disqus cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations pagination pager toolbar widget widgets login skip alert toast copyright".split())
+#: Words that inside an article, or a main, tell of junk only where a block is short or mostly links: they are words of articles, too.
+MILD_WORDS = frozenset("notice notices rail menu share sharing social alert notification toast skip banner widget widgets toolbar promotion promo recommended recommendations copyright login signup subscribe navigation".split())
+SHORT = 100
 #: What says that a class is about the lack or the presence of a part, and not that part.
 ABOUT = frozenset("has no with without not".split())
 #: Tags whose junk flag can be lifted, as that of words can; raw tags that hold none of their own kind, and those that hold code.
@@ -72,24 +77,50 @@ def is_hidden(found: dict[str, str]) -> bool:
     return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
 
 
-def end_of(tag: str, page: str, at: int) -> re.Match | None:
-    """The end tag of an element whose content begins at a place; elements of its kind inside it are counted."""
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else not m[0].endswith("/>")
-        if not depth:
-            return m
-    return None
+class Ends:
+    """Where elements of a page end, found in one pass for each tag that asks; so pages without ends cost no more than others."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.pairs: dict[str, dict[int, tuple[int, int]]] = {}
+        self.closes: dict[str, list[tuple[int, int]]] = {}
+        self.blocks: list[int] | None = None
+
+    def of(self, tag: str, start: int) -> tuple[int, int] | None:
+        """(start, end) of the end tag of the element whose start tag begins at a place; elements of its kind inside it are counted."""
+        if tag not in self.pairs:
+            found, opened = self.pairs.setdefault(tag, {}), []
+            for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(self.page):
+                if not m[1]:
+                    if not m[0].endswith("/>"):
+                        opened.append(m.start())
+                elif opened:
+                    found[opened.pop()] = m.span()
+        return self.pairs[tag].get(start)
+
+    def next(self, tag: str, at: int) -> tuple[int, int] | None:
+        """(start, end) of the first end tag of a kind from a place on."""
+        if tag not in self.closes:
+            self.closes[tag] = [m.span() for m in re.compile(rf"</{tag}\s*>?", re.I).finditer(self.page)]
+        closes = self.closes[tag]
+        place = bisect_left(closes, (at, 0))
+        return closes[place] if place < len(closes) else None
+
+    def has_block(self, at: int, end: int) -> bool:
+        if self.blocks is None:
+            self.blocks = [m.start() for m in TOKEN.finditer(self.page) if m[2] and m[2].lower() in BLOCK]
+        place = bisect_left(self.blocks, at)
+        return place < len(self.blocks) and self.blocks[place] < end
 
 
 class Node:
-    __slots__ = ("tag", "parent", "label", "junk", "good", "depth", "inside", "covered", "named", "commented")
+    __slots__ = ("tag", "parent", "label", "junk", "good", "depth", "inside", "covered", "named", "commented", "mild")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
-        self.good = self.junk = self.named = self.commented = False
+        self.good = self.junk = self.named = self.commented = self.mild = False
         self.covered = 0.0
         self.label = tag
         if attributes:
@@ -101,11 +132,12 @@ class Node:
             if tag not in ("html", "body", "article", "main"):
                 self.named = bool(words & JUNK_WORDS) and junk_words(names)
                 self.junk = self.named or role in JUNK_ROLES or is_hidden(found)
+                self.mild = self.named and parent.inside and not words & (JUNK_WORDS - MILD_WORDS) and not (role in JUNK_ROLES or is_hidden(found))
             self.good = bool(words & GOOD_WORDS) or role in ("main", "article") or found.get("itemprop") == "articleBody"
             first = found.get("class", "").split()
             self.label = f"{tag}.{DIGITS.sub('#', first[0]).replace('/', '|')}" if first else tag
         if tag in JUNK_TAGS or (tag == "header" and not (parent and parent.inside)):
-            self.junk = True
+            self.junk, self.mild = True, False
             self.named = tag in WRAPPERS
 
     def path(self) -> str:
@@ -128,7 +160,7 @@ def junk_words(names: str) -> bool:
 
 
 def settle(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
-    """Hands the junk flag down, but not from a named wrapper or form around the article.
+    """Hands the junk flag down, but not from a named wrapper or form around the article, nor from a part of an article whose name alone speaks against it.
 
     Such a one holds main, or an article of more text than there is without the flagged parts, or most of the page's plain text with its first
     heading or with nothing left outside.
@@ -152,6 +184,8 @@ def settle(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
                     heads.add(node.parent)
         total = plain[nodes[0]]
         for node in nodes:
+            if node.mild and plain[node] >= SHORT:
+                node.junk = False
             if node.named and (node in holds or (plain[node] > total / 2 and (node in heads or not kept))):
                 node.junk = False
     for node in nodes:
@@ -165,6 +199,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     stack, nodes, blocks = [root], [root], []
     pieces: list[str] = []
     linked, links = 0, 0
+    ends, opened = Ends(page), Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -177,9 +212,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
 
     def pop_to(tags: set[str] | frozenset[str], barrier: frozenset[str] = frozenset()) -> None:
         """Closes the innermost of these tags and what is open inside it, unless a barrier stands before it."""
+        if not any(opened[t] for t in tags):
+            return
         for at in range(len(stack) - 1, 0, -1):
             tag = stack[at].tag
             if tag in tags:
+                opened.subtract(x.tag for x in stack[at:])
                 del stack[at:]
                 return
             if tag in barrier:
@@ -209,11 +247,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 pop_to({tag})
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>?", re.I).search(page, at) if tag in CODE or tag in SINGLE or tag in ("textarea", "title") else end_of(tag, page, at)
+            close = ends.next(tag, at) if tag in CODE or tag in SINGLE or tag in ("textarea", "title") else ends.of(tag, m.start())
             if tag in CODE:
-                at = close.end() if close else end
-            elif close and not m[3].endswith("/") and not (tag in SINGLE and re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, close.start())):
-                at = close.end()
+                at = close[1] if close else end
+            elif close and not m[3].endswith("/") and not (tag in SINGLE and re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, close[0])):
+                at = close[1]
             pieces.append(" ")
             continue
         if tag == "a":
@@ -226,10 +264,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             if tag in INLINE and m[3] and not m[3].endswith("/"):
                 found = attributes_of(m[3])
                 if is_hidden(found) or junk_words(f"{found.get('class', '')} {found.get('id', '')}"):
-                    close = end_of(tag, page, at)
+                    close = ends.of(tag, m.start())
                     # one without an end, or with blocks inside, is as any other
-                    if close and not any(x[2] and x[2].lower() in BLOCK for x in TOKEN.finditer(page, at, close.start())):
-                        at = close.end()
+                    if close and close[0] >= at and not ends.has_block(at, close[0]):
+                        at = close[1]
                         pieces.append(" ")
             continue
         flush()
@@ -243,6 +281,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         node = Node(tag, stack[-1], m[3])
         stack.append(node)
         nodes.append(node)
+        opened[tag] += 1
     flush()
     settle(nodes, blocks)
     return nodes, blocks
@@ -275,21 +314,53 @@ def vote(page: str) -> tuple[str, float]:
     return best.path(), value
 
 
+def before_it(chosen: Node, nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> set[int]:
+    """Places of the blocks that stand between the title and a container without one: the nearest first heading before it, and plain text from there on.
+
+    The heading is looked for among what the container's parents hold, up to three of them.
+    """
+    above, parent = [], chosen.parent
+    while parent and parent.tag != "#" and len(above) < 3 and not parent.junk:
+        above.append(parent)
+        parent = parent.parent
+
+    def within(node: Node, holder: Node) -> bool:
+        while node and node.depth > holder.depth:
+            node = node.parent
+        return node is holder
+
+    def heading(node: Node) -> bool:
+        while node and node.tag != "h1" and node.tag not in CONTAINERS:
+            node = node.parent
+        return bool(node) and node.tag == "h1"
+
+    own = [i for i, (node, _, _) in enumerate(blocks) if within(node, chosen)]
+    if not own or any(heading(blocks[i][0]) for i in own):
+        return set()
+    for holder in above:
+        title = next((i for i in range(own[0] - 1, -1, -1) if heading(blocks[i][0]) and not blocks[i][0].junk and within(blocks[i][0], holder)), None)
+        if title is not None:
+            return {i for i in range(title, own[0]) if not blocks[i][0].junk and within(blocks[i][0], holder) and 2 * blocks[i][2] <= len(blocks[i][1])}
+    return set()
+
+
 def extract(page: str, paths: list[str] | None) -> str:
-    """Blocks of the container on the first of the paths that the page has, else of its own best one."""
+    """Blocks of all containers on the first of the paths that the page has, else of its own best one, from the title on."""
     nodes, blocks = parse(page)
     best, _ = score(nodes, blocks)
+    chosen = [best]
     for path in paths or ():
         depth = path.count("/")
         there = [n for n in nodes if n.depth == depth and n.tag in CONTAINERS and not n.junk and n.covered > 0 and n.path() == path]
         if there:
-            best = max(there, key=lambda n: n.covered)
+            chosen = there
             break
-    inside = {best}
+    inside = set(chosen)
     for node in nodes:
         if node.parent in inside:
             inside.add(node)
-    return "\n".join(text for node, text, _ in blocks if not node.junk and node in inside)
+    led = before_it(chosen[0], nodes, blocks)
+    return "\n".join(text for i, (node, text, _) in enumerate(blocks) if not node.junk and (node in inside or i in led))
 
 
 def pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
