@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import cleaning, extraction, markup, merging, search, stats, validation, vectors
+from ..operators import apirows, cleaning, extraction, markup, merging, search, stats, validation, vectors
 from ..operators.tables import shared_folder
 from ..sources import store
 from ..sources.notices import AS_OF, bids, table
@@ -374,3 +374,57 @@ def e9_menu_links(spark, sf_dir):
     """What the menu's links say and where they lead."""
     found = markup.selected(table(spark, sf_dir, "pages"), "html", {"menu": "nav a"}, "page_id")
     return found.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("place")).cast("bigint").alias("place"), F.col("attributes")["href"].alias("href"), "text")
+
+
+#: Fields of an interface's answers, as a source's settings name them.
+API_FIELDS = [
+    apirows.Field("title", ("head.title", "title"), "markup"), apirows.Field("source_url", ("link.href",), "url"), apirows.Field("publish_date", ("time",), "date"), apirows.Field("budget_amount", ("money",), "amount"),
+    apirows.Field("views", ("stats.views",), "long", 0), apirows.Field("tenderer", ("buyer",), "text", "unknown"),
+]
+
+
+@query("""SELECT id, CAST(place AS INTEGER) AS place, title, source_url, publish_date, budget_amount, views, tenderer, CAST(rescued AS VARCHAR) AS rescued FROM (
+SELECT id, 0 AS place, title || ' & more' AS title, 'https://api.example.org/n/' || id AS source_url, CASE WHEN id % 7 <> 0 THEN strftime(publish_date, '%Y-%m-%d') END AS publish_date, CASE WHEN id % 5 <> 0 THEN CAST((id % 900 + 1) * 10000 AS DOUBLE) END AS budget_amount, CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN id ELSE NULL END AS views, CASE WHEN id % 4 = 0 THEN 'unknown' ELSE tenderer END AS tenderer,
+  concat_ws('|', CASE WHEN id % 5 = 0 THEN 'budget_amount=on request' END, CASE WHEN id % 7 = 0 THEN 'publish_date=2001-13-45' END, CASE WHEN id % 3 = 2 THEN 'views=' || id || '.5x' END) AS rescued FROM bids WHERE id % 11 <> 0 AND id % 13 <> 0
+UNION ALL SELECT id, 2, 'second', NULL, NULL, NULL, 0, 'unknown', '' FROM bids WHERE id % 11 <> 0 AND id % 13 <> 0
+UNION ALL SELECT id, 0, NULL, NULL, NULL, NULL, NULL, NULL, '_body={"data": {"list": [' || id FROM bids WHERE id % 11 = 0
+UNION ALL SELECT id, 0, NULL, NULL, NULL, NULL, NULL, NULL, '_list={"data":"' || id || '"}' FROM bids WHERE id % 13 = 0 AND id % 11 <> 0)""")
+def s6_api_rows(spark, sf_dir):
+    """Rows of an interface's answers by settings, with what is broken in them kept as it was."""
+    k, s = F.col("id"), F.col("id").cast("string")
+    one = F.struct(
+        F.struct(F.concat(F.lit("<b>"), "title", F.lit("</b> & more")).alias("title")).alias("head"), F.struct(F.concat(F.lit("/n/"), s).alias("href")).alias("link"),
+        F.when(k % 7 == 0, "2001-13-45").otherwise(F.date_format("publish_date", "yyyy-MM-dd HH:mm:ss")).alias("time"), F.when(k % 5 == 0, "on request").otherwise(F.concat((k % 900 + 1).cast("string"), F.lit("万元"))).alias("money"),
+        F.struct(F.when(k % 3 == 1, s).when(k % 3 == 2, F.concat(s, F.lit(".5x"))).alias("views")).alias("stats"), F.when(k % 4 != 0, F.col("tenderer")).alias("buyer"),
+    )
+    items = F.concat(F.lit('[{"data": '), F.to_json(one), F.lit('}, {"buyer": "no title"}, {"title": "second", "stats": null}]'))
+    body = F.when(k % 11 == 0, F.concat(F.lit('{"data": {"list": ['), s)).when(k % 13 == 0, F.concat(F.lit('{"data":"'), s, F.lit('"}'))).otherwise(F.concat(F.lit('{"code": 200, "data": {"list": '), items, F.lit("}}")))
+    rows = apirows.answers(bids(spark, sf_dir).select("id", body.alias("body")), "body", ("data.middle.listAndBox", "data.list", "data.items"))
+    out = apirows.projected(rows, API_FIELDS, F.lit("https://api.example.org/search"), required=("title",))
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("rescued"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return out.select("id", "place", "title", "source_url", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"), F.col("budget_amount").cast("double").alias("budget_amount"), "views", "tenderer", said.alias("rescued"))
+
+
+E8_TARGETS = ("title", "tenderer", "publish_date", "budget_amount", "region")
+E8_MAPPING = {"tenderer": ("purchaser", "buyer"), "publish_date": ("pub_date",), "budget_amount": ("budget", "amount"), "region": ("province",)}
+
+
+@query("""SELECT id, CASE WHEN id % 2 = 0 THEN title ELSE 'T' || id END AS title, CASE id % 4 WHEN 0 THEN tenderer WHEN 1 THEN 'B' || id WHEN 2 THEN 'P' || id END AS tenderer, CASE WHEN id % 3 = 0 THEN strftime(publish_date, '%Y-%m-%d') END AS publish_date,
+CASE WHEN id % 5 = 0 THEN 0 WHEN id % 5 = 1 THEN CAST(id * 10000 AS DOUBLE) END::DOUBLE AS budget_amount, CASE WHEN region_name <> '' THEN region_name END AS region,
+concat_ws(',', CASE WHEN id % 4 = 3 THEN 'tenderer' END, CASE WHEN id % 3 <> 0 THEN 'publish_date' END, CASE WHEN id % 5 <> 1 THEN 'budget_amount' END, CASE WHEN region_name = '' THEN 'region' END) AS missing,
+concat_ws(',', CASE id % 4 WHEN 0 THEN 'tenderer' WHEN 1 THEN 'buyer' WHEN 2 THEN 'purchaser' END, CASE WHEN id % 2 = 0 THEN 'title' ELSE 'notice-Title' END) AS sources FROM bids""")
+def e8_prefilled_rows(spark, sf_dir):
+    """Fields of list rows under any names as fields of detail records, and what is still to be looked for."""
+    k, s = F.col("id"), F.col("id").cast("string")
+    fields = F.map_from_arrays(
+        F.array(F.when(k % 2 == 0, "title").otherwise("notice-Title"), F.when(k % 4 == 0, "tenderer").otherwise("x1"), F.lit("buyer"), F.when(k % 4 == 2, "purchaser").otherwise("x2"), F.lit("pub_date"), F.when(k % 5 < 2, "Budget").otherwise("x3"), F.lit("province")),
+        F.array(
+            F.when(k % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("T"), s)), F.col("tenderer"), F.when(k % 4 != 3, F.concat(F.lit("B"), s)).otherwise(" "), F.concat(F.lit("P"), s), F.when(k % 3 == 0, F.date_format("publish_date", "yyyy/M/d")).when(k % 3 == 1, "soon"),
+            F.when(k % 5 == 0, "0").otherwise(F.concat(s, F.lit("万"))), F.col("region_name"),
+        ),
+    )
+    rows = apirows.prefilled(bids(spark, sf_dir).select("id", fields.alias("fields")), "fields", E8_TARGETS, E8_MAPPING)
+    return rows.select(
+        "id", "title", "tenderer", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"), F.col("budget_amount").cast("double").alias("budget_amount"), "region", F.array_join("missing", ",").alias("missing"),
+        F.concat_ws(",", F.col("sources")["tenderer"], F.col("sources")["title"]).alias("sources"),
+    )
