@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from .tables import written
 
 MATCH_TYPES = ("exact", "contains", "starts_with", "ends_with", "regex")
 PER_KEYWORD = 10.0
-#: Rows of the keyword table that are broadcast at once, about.
+#: Keywords that are broadcast at once, about; more are joined by shuffle, or block by block if they are patterns.
 BROADCAST_KEYWORDS = 200_000
 
 
@@ -25,55 +26,163 @@ def search_text(*columns: str) -> Column:
     return F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in columns))
 
 
-def matches(text: Column, value: Column, kind: Column, case_sensitive: Column) -> Column:
-    """Whether a keyword matches a text by its match type; patterns must have been checked when loaded."""
-    t = F.when(case_sensitive, text).otherwise(F.lower(text))
-    v = F.when(case_sensitive, value).otherwise(F.lower(value))
-    pattern = F.when(case_sensitive, value).otherwise(F.concat(F.lit("(?iu)"), value))
-    found = (
-        F.when(kind == "exact", t == v).when(kind == "contains", F.contains(t, v))
-        .when(kind == "starts_with", F.startswith(t, v)).when(kind == "ends_with", F.endswith(t, v))
-        .when(kind == "regex", F.regexp_like(text, pattern)).otherwise(False)
-    )
-    return F.coalesce(found, F.lit(False))
+def keyword_form(value: Column) -> Column:
+    """Compatibility form of a keyword."""
+    return nfkc(value)
 
 
-def keyword_form(value: Column, kind: Column) -> Column:
-    """Compatibility form of a keyword; a pattern that is none in that form matches nothing."""
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for values, kinds in batches:
-            yield pd.Series([v if v is None else "(?!)" if k == "regex" and not valid_pattern(v) else unicodedata.normalize("NFKC", v) for v, k in zip(values, kinds, strict=True)], dtype=object)
+def pattern_fault(value: str | None) -> str | None:
+    """Why the compatibility form of a text is no pattern."""
+    try:
+        re.compile(unicodedata.normalize("NFKC", value or ""))
+    except (re.error, OverflowError, RecursionError) as fault:
+        return str(fault)
+    return None
 
-    return F.pandas_udf(run, "string")(value, kind)
 
+def bad_patterns(keywords: DataFrame) -> DataFrame:
+    """(value, fault) of the patterns among keywords that are none; they match nothing."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield pd.Series([pattern_fault(v) for v in values], dtype=object)
 
-def valid_pattern(value: str) -> bool:
-    """Whether the compatibility form of a text is a pattern."""
-    try:
-        re.compile(unicodedata.normalize("NFKC", value))
-    except re.error:
-        return False
-    return True
+    fault = F.pandas_udf(run, "string")
+    return keywords.where("match_type = 'regex' and value is not null").select("value").distinct().withColumn("fault", fault("value")).where("fault is not null")
+
+
+#: Letters of a gram, lengths at which prefixes and suffixes are looked up, and what parts a text into grams, overlapping.
+GRAM = 3
+STEPS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+
+
+def grams(text: Column, size: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def cased(text: Column, sensitive: Column) -> Column:
+    return F.when(sensitive, text).otherwise(F.lower(text))
+
+
+def near(table: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that is broadcast while its number of rows, which has been counted, is small."""
+    return F.broadcast(table) if rows <= BROADCAST_KEYWORDS else table
+
+
+def both_cases(texts: DataFrame, key: str, text: str, flags: list[bool]) -> DataFrame:
+    """Each text as it is and in lower case, as far as keywords ask for it."""
+    return texts.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("case_sensitive"), cased(F.col(text), F.lit(f)).alias("t")) for f in flags))).alias("c")).select(key, "c.*")
+
+
+def placed_hits(texts: DataFrame, words: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """Texts that are, begin with or end with a keyword: an equi-join on whole texts and on pieces of given lengths; the rest of a longer keyword is compared after it."""
+    size = F.length("v")
+    step = F.lit(0)
+    for k in STEPS:
+        step = F.when(size >= k, k).otherwise(step)
+    words = words.withColumn("step", F.when(F.col("match_type") == "exact", -1).otherwise(step))
+    kinds = {(r["match_type"], r["step"]) for r in words.select("match_type", "step").distinct().collect()}  # at most three kinds at sixteen lengths
+    flags = [r[0] for r in words.select("case_sensitive").distinct().collect()]
+    t = F.col("t")
+    pieces = [F.struct(F.lit(kind).alias("match_type"), F.lit(k).alias("step"), (t if kind == "exact" else F.substring(t, 1, k) if kind == "starts_with" else F.substring(t, -k, k)).alias("piece")) for kind, k in sorted(kinds)]
+    own = F.when(F.col("match_type") == "exact", F.col("v")).when(F.col("match_type") == "starts_with", F.substring("v", F.lit(1), F.col("step"))).otherwise(F.right("v", F.col("step")))
+    rows = both_cases(texts, key, text, flags).select(key, "case_sensitive", "t", F.explode(F.array(*pieces)).alias("p")).select(key, "case_sensitive", "t", "p.*")
+    met = rows.join(near(words.withColumn("piece", own), n), ["case_sensitive", "match_type", "step", "piece"])
+    whole = F.when(F.col("match_type") == "exact", t == F.col("v")).when(F.col("match_type") == "starts_with", F.startswith(t, F.col("v"))).otherwise(F.endswith(t, F.col("v")))
+    return met.where(whole).select(key, "value", "match_type", "case_sensitive")
+
+
+def held_hits(texts: DataFrame, words: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """Texts that contain a keyword: a keyword is looked up by the gram of it that the fewest texts have, then compared.
+
+    Keywords shorter than a gram are their own grams.
+    """
+    words = words.withColumn("size", F.least(F.length("v"), F.lit(GRAM)))
+    sizes = sorted(r[0] for r in words.select("size").distinct().collect())
+    flags = [r[0] for r in words.select("case_sensitive").distinct().collect()]
+    by_size = F.when(F.lit(False), F.array(F.lit("")))
+    for k in sizes:
+        by_size = by_size.when(F.col("size") == k, grams(F.col("v"), k))
+    spelled = written(words.withColumn("gram", F.explode(by_size)))
+    wanted = spelled.select("case_sensitive", "gram").distinct()
+    of_text = F.concat(*(grams(F.col("t"), k) for k in sizes))
+    rows = both_cases(texts, key, text, flags).select(key, "case_sensitive", "t", F.explode(of_text).alias("gram"))
+    met = rows.select("case_sensitive", "gram").join(near(wanted, spelled.count()), ["case_sensitive", "gram"])
+    counts = met.groupBy("case_sensitive", "gram").agg(F.count(F.lit(1)).alias("texts"))
+    # a gram that no text has is the best of all: its keyword is in none
+    rare = spelled.join(counts, ["case_sensitive", "gram"], "left").groupBy("value", "match_type", "case_sensitive", "v").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("best"))
+    rare = written(rare.where("best.texts > 0").select("value", "match_type", "case_sensitive", "v", "best.gram"))
+    if n <= BROADCAST_KEYWORDS:
+        return rows.join(F.broadcast(rare), ["case_sensitive", "gram"]).where(F.contains("t", "v")).select(key, "value", "match_type", "case_sensitive")
+    # texts are moved by their keys, not with each of their grams
+    pairs = rows.select(key, "case_sensitive", "gram").join(rare, ["case_sensitive", "gram"])
+    return pairs.join(texts, key).where(F.contains(cased(F.col(text), F.col("case_sensitive")), F.col("v"))).select(key, "value", "match_type", "case_sensitive")
+
+
+def pattern_hits(texts: DataFrame, words: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """Texts in which a pattern is found, by the rules of Python's patterns, in broadcast blocks of patterns."""
+    spark = texts.sparkSession
+    kind = texts.schema[key].dataType.simpleString()
+    blocks = max(1, math.ceil(n / max(1, BROADCAST_KEYWORDS)))
+    words = words.withColumn("block", F.pmod(F.xxhash64("value", "case_sensitive"), F.lit(blocks)))
+    out = None
+    for block in range(blocks):
+        held = spark.sparkContext.broadcast([(r["value"], r["form"], r["case_sensitive"]) for r in words.where(F.col("block") == block).collect()])  # about as many as the bound
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known = [(v, c, re.compile(f, 0 if c else re.IGNORECASE).search) for v, f, c in held.value if pattern_fault(f) is None]
+            for batch in batches:
+                found = [(i, v, c) for i, t in enumerate(batch.column("t").to_pylist()) if t is not None for v, c, search in known if search(t)]
+                if found:
+                    at, values, flags = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(values, pa.string()), pa.array(["regex"] * len(at)), pa.array(flags, pa.bool_())], names=[key, "value", "match_type", "case_sensitive"])
+
+        hits = texts.select(key, F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, value string, match_type string, case_sensitive boolean")
+        out = hits if out is None else out.union(hits)
+    return out
+
+
+def keyword_hits(notices: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, value, match_type, case_sensitive) of every keyword in every text, both in their compatibility forms (NFKC).
+
+    Literals are looked up, not tried: exact ones, prefixes and suffixes by equal pieces, contained ones by
+    their rarest gram. Patterns are tried one by one; one that is none matches nothing, see `bad_patterns`.
+    """
+    texts = notices.select(key, F.col(text).alias(text)).where(F.col(text).isNotNull())
+    texts = written(texts)
+    plain = F.col(text).rlike(r"^\p{ASCII}*$")  # these are their own compatibility forms
+    texts = texts.where(plain).unionByName(texts.where(~plain).select(key, nfkc(F.col(text)).alias(text)))
+    distinct = keywords.select("value", "match_type", F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive")).where("value is not null").distinct()
+    words = written(distinct.withColumn("form", keyword_form(F.col("value"))).withColumn("v", cased(F.col("form"), F.col("case_sensitive"))))
+    count = {(r["match_type"], r["blank"]): r["n"] for r in words.groupBy("match_type", (F.col("v") == "").alias("blank")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = []
+    placed = sum(count.get((k, False), 0) for k in ("exact", "starts_with", "ends_with")) + count.get(("exact", True), 0)
+    columns = ["value", "match_type", "case_sensitive", "v"]
+    if placed:
+        parts.append(placed_hits(texts, words.where("match_type = 'exact' or match_type in ('starts_with', 'ends_with') and v != ''").select(*columns), key, text, placed))
+    if count.get(("contains", False)):
+        parts.append(held_hits(texts, words.where("match_type = 'contains' and v != ''").select(*columns), key, text, count["contains", False]))
+    if patterns := count.get(("regex", False), 0) + count.get(("regex", True), 0):
+        parts.append(pattern_hits(texts, words.where("match_type = 'regex'"), key, text, patterns))
+    empty = [F.struct(F.lit("").alias("value"), F.lit(k).alias("match_type"), F.lit(c).alias("case_sensitive")) for k in ("contains", "starts_with", "ends_with") if count.get((k, True)) for c in (False, True)]
+    if empty:  # an empty keyword is in every text
+        asked = near(words.where("v = ''").select("value", "match_type", "case_sensitive"), 1)
+        parts.append(texts.select(key, F.explode(F.array(*empty)).alias("e")).select(key, "e.*").join(asked, ["value", "match_type", "case_sensitive"], "left_semi"))
+    if not parts:
+        return texts.where("false").select(key, F.lit("").alias("value"), F.lit("").alias("match_type"), F.lit(False).alias("case_sensitive"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def evaluate(notices: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Scores of notices for subscriptions: one row for each pair with a matched keyword.
 
-    keywords has subscription_id, value, match_type, case_sensitive, is_required and weight. Texts and keywords
-    are compared in their compatibility forms (NFKC). Distinct keywords are what is compared with texts; they
-    are counted and broadcast in blocks of bounded size, so that results are the same at every size.
+    keywords has subscription_id, value, match_type, case_sensitive, is_required and weight; what is compared
+    with texts are distinct keywords, so results and their cost do not depend on who shares them.
     """
-    distinct = keywords.select("value", "match_type", "case_sensitive").distinct().withColumn("form", keyword_form(F.col("value"), F.col("match_type")))
-    texts = notices.select(key, nfkc(F.col(text)).alias(text))
-    blocks = max(1, math.ceil(distinct.count() / max(1, BROADCAST_KEYWORDS)))
-    if blocks > 1:
-        texts = written(texts)
-        distinct = written(distinct.withColumn("block", F.pmod(F.xxhash64("value", "match_type", "case_sensitive"), F.lit(blocks))))
-    condition = matches(F.col(text), F.col("form"), F.col("match_type"), F.col("case_sensitive"))
-    hits = texts.join(F.broadcast(distinct.where(F.col("block") == 0) if blocks > 1 else distinct), condition)
-    for block in range(1, blocks):
-        hits = hits.union(texts.join(F.broadcast(distinct.where(F.col("block") == block)), condition))
-    hits = hits.select(key, "value", "match_type", "case_sensitive")
+    keywords = keywords.withColumn("case_sensitive", F.coalesce("case_sensitive", F.lit(False)))
+    hits = keyword_hits(notices, keywords, key, text)
     rules = keywords.groupBy("subscription_id").agg(F.collect_set(F.when(F.col("is_required"), F.col("value"))).alias("required"), F.count(F.lit(1)).alias("keywords"))
     pairs = hits.join(keywords, ["value", "match_type", "case_sensitive"])
     grouped = pairs.groupBy(key, "subscription_id").agg(
