@@ -30,8 +30,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space of that pattern before a blank: such a blank is inside a run and no place to cut.
 RUNS = tuple(c + " " for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
 CUT = regex.compile(r"(?<!\s) ")
+#: Signs that are a piece of their own after letters, in the pattern.
+SIGNS = frozenset(".,;:!?)")
 #: Pieces that a worker remembers (twice as many at most), and the longest one it does.
-CACHE = 1 << 18
+CACHE = 1 << 19
 LONGEST = 64
 
 
@@ -79,7 +81,15 @@ class Words:
     def __init__(self, encode):
         self.pieces = Pieces(encode)
         self.find = regex.compile(PATTERN).findall
-        self.words = Pieces(lambda word: encode(" " + word) if word.isalpha() else self.cut(" " + word))  # letters are one piece
+        self.words = Pieces(self.word)
+
+    def word(self, word: str) -> bytes:
+        """Letters are one piece, and so is a sign after them."""
+        if word.isalpha():
+            return self.pieces[" " + word]
+        if word[-1:] in SIGNS and word[:-1].isalpha():
+            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
+        return self.cut(" " + word)
 
     def cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
