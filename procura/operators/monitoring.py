@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import segmented
+from . import ranges, segmented
 from .stats import n
 
 #: Upper bounds of the duration histogram in seconds, and words of error classes in order.
@@ -17,11 +17,11 @@ ERROR_WORDS = (("timeout", ("timeout", "timed out")), ("connection", ("connectio
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: tuple[int, ...]) -> DataFrame:
     """Nearest-rank percentiles: the value at place min(int(n * p / 100), n - 1) of the sorted values.
 
-    Values are counted before the ranks are worked out, so a window sorts distinct values alone.
+    Values are counted, and the counts of whole ranges of values say which place a range begins at; so the
+    values of one key are spread over all tasks.
     """
-    w = W.partitionBy(*keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    placed = counted.select(*keys, value, "c", F.sum("c").over(w.orderBy(value)).alias("upto"), F.sum("c").over(w).alias("n"))
+    placed = ranges.running(counted, keys, [F.col(value)], F.col("c"), "upto", "n")
     picks = []
     for p in wanted:
         place = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)

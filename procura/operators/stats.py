@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import ranges
+
 UNKNOWN = "未知"
 #: Labelled lower bounds of amount buckets; each reaches to the next one.
 FIVE = (("0-10万", 0), ("10-50万", 100_000), ("50-100万", 500_000), ("100-500万", 1_000_000), ("500万+", 5_000_000))
@@ -81,11 +83,15 @@ def daily_filled(spark: SparkSession, df: DataFrame, column: str, start: str, en
     return days.join(daily(df, column, start, end), "day", "left").select("day", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
-def ranked_shares(df: DataFrame, key: Column) -> DataFrame:
-    """Key, count, amount, share of all rows and rank; ties are ranked by key."""
+def ranked_shares(df: DataFrame, key: Column, many: bool = False) -> DataFrame:
+    """Key, count, amount, share of all rows and rank; ties are ranked by key. `many` is for keys without bound: no window holds all groups."""
     grouped = df.groupBy(key.alias("key")).agg(n(), total())
+    order = [F.desc("count"), F.col("key")]
+    if many:
+        every = ranges.running(ranges.ranks(grouped, order), [], order, F.col("count"), "__upto", "every")
+        return every.select("key", "count", "total_amount", (F.col("count").cast("double") / F.col("every").cast("double")).alias("ratio"), "rank")
     every = F.sum("count").over(W.partitionBy())
-    return grouped.select("key", "count", "total_amount", (F.col("count").cast("double") / every.cast("double")).alias("ratio"), F.row_number().over(W.orderBy(F.desc("count"), "key")).cast("bigint").alias("rank"))
+    return grouped.select("key", "count", "total_amount", (F.col("count").cast("double") / every.cast("double")).alias("ratio"), F.row_number().over(W.orderBy(*order)).cast("bigint").alias("rank"))
 
 
 def periods(df: DataFrame, column: str = "publish_date") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import competitors, paging, predicates, stats, tables, trends
+from ..operators import competitors, paging, predicates, ranges, stats, tables, trends
 from ..sources.notices import AS_OF, bids, table, wins
 from .registry import query
 
@@ -121,8 +121,7 @@ def l2_top_by_budget(spark, sf_dir):
 
 @query("""SELECT id FROM bids ORDER BY publish_date DESC, id LIMIT 20 OFFSET (SELECT greatest(0, (CAST(ceil(count(*) / 20.0) AS BIGINT) - 1)) * 20 FROM bids)""")
 def l3_clamped_page(spark, sf_dir):
-    page, _ = paging.clamped_page(bids(spark, sf_dir).select("id", "publish_date"), [F.desc("publish_date"), F.col("id")], 10**9, 20)
-    return page.select("id")
+    return ranges.page_rows(bids(spark, sf_dir).select("id", "publish_date"), [F.desc("publish_date"), F.col("id")], 10**9, 20).select("id")
 
 
 @query("""SELECT id FROM bids ORDER BY publish_date DESC, id LIMIT 20 OFFSET 40""")
@@ -251,7 +250,7 @@ def a15_industry_heat(spark, sf_dir):
 
 @query(ranked_sql("tenderer"))
 def a17_tenderer_activity(spark, sf_dir):
-    return stats.ranked_shares(bids(spark, sf_dir), stats.known("tenderer"))
+    return stats.ranked_shares(bids(spark, sf_dir), stats.known("tenderer"), many=True)
 
 
 RANKED = """SELECT winner, count(*) AS win_count, CAST(coalesce(sum(budget_amount), 0) AS DOUBLE) AS total_amount, CAST(coalesce(sum(budget_amount), 0) AS DOUBLE) / count(*) AS average_size FROM wins WHERE winner <> '' GROUP BY 1"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import monitoring, stats
+from ..operators import monitoring, ranges, stats
 from ..sources.notices import table
 from .registry import query
 
@@ -104,7 +104,7 @@ def r10_trailing_hour(spark, sf_dir):
 @query("""SELECT event_id, count(*) OVER (PARTITION BY endpoint ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS recent FROM e""", EVENTS)
 def w8_second_rate(spark, sf_dir):
     """Requests of an endpoint within the second before each."""
-    return events(spark, sf_dir).select("event_id", monitoring.trailing(["endpoint"], "ts", 1).alias("recent"))
+    return ranges.trailing(events(spark, sf_dir), ["endpoint"], "ts", 1).select("event_id", "recent")
 
 
 @query("""SELECT endpoint, count(value) AS "count", min(value) AS least, max(value) AS most, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 6) AS average, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM e GROUP BY 1""", EVENTS)
