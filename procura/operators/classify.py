@@ -93,11 +93,14 @@ def by_keywords(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> Da
     and nothing is shuffled.
     """
     rows = dictionary.groupBy("industry").agg(F.first("code").alias("code"), F.first("weight").cast("double").alias("weight"), F.min("place").alias("place"), F.flatten(F.collect_list("keywords")).alias("keywords"))
+    rows = rows.withColumn("keywords", F.transform("keywords", lambda k: F.struct(k.alias("word"), F.lower(k).alias("low"), F.greatest(F.length(k), F.lit(1)).alias("size"))))
     table = rows.agg(F.collect_list(F.struct("industry", "code", "weight", "place", "keywords")).alias("_table"))
 
     def hits(entry: Column) -> Column:
         low = F.col("_low")
-        counted = F.transform(entry["keywords"], lambda k: F.struct(k.alias("word"), ((F.length(low) - F.length(F.replace(low, F.lower(k), F.lit("")))) / F.greatest(F.length(k), F.lit(1))).cast("int").alias("times")))
+        # most words are in no text, so they are looked for before they are counted
+        here = F.filter(entry["keywords"], lambda k: F.contains(low, k["low"]))
+        counted = F.transform(here, lambda k: F.struct(k["word"].alias("word"), ((F.length(low) - F.length(F.replace(low, k["low"], F.lit("")))) / k["size"]).cast("int").alias("times")))
         return F.struct(*(entry[c].alias(c) for c in ("industry", "code", "weight", "place")), F.filter(counted, lambda h: h["times"] > 0).alias("found"))
 
     def graded(entry: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters without width, and units of amounts.
@@ -12,6 +15,11 @@ CURRENCY = "[¥￥$€]|人民币|RMB|美元|欧元"
 TIME_FORMS = ("yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d")
 
 
+def shape(form: str) -> str:
+    """What texts of a form look like, as a pattern."""
+    return "^" + re.sub("[yMdHms]+", lambda m: r"\d{4}" if m[0] == "yyyy" else r"\d{1,2}", form.replace("'", "").replace(".", r"\.")) + "$"
+
+
 def strip_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "&[a-zA-Z#0-9]+;", "")
 
@@ -21,9 +29,10 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(strip_tags(F.regexp_replace(c, ZERO_WIDTH, "")), "(?U)\\s+", " "))
 
 
-def clean_all(c: Column) -> Column:
-    """The same for every element of an array."""
-    return F.transform(c, clean)
+def cleaned_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that hold a sign of markup in any of the columns, with all of these columns cleaned."""
+    signs = [F.col(c).contains("<") | F.col(c).contains(">") for c in columns]
+    return df.where(F.coalesce(reduce(lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)), signs), F.lit(False))).withColumns({c: clean(F.col(c)) for c in columns})
 
 
 def units() -> Column:
@@ -53,7 +62,15 @@ def amount_of(bare: Column) -> Column:
 def date_text(c: Column) -> Column:
     """A date in any of the usual forms, the whole text being read."""
     text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^(\d{4})年(\d{1,2})月(\d{1,2})日.*$", "$1-$2-$3"), r"(Z|[+-]00:?00)$", ""))
-    return bound(text, lambda t: F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMS)))
+
+    def read(t: Column) -> Column:
+        """By the one form that a text looks like; a form that fails would cost an exception."""
+        out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+        for form in TIME_FORMS:
+            out = out.when(t.rlike(shape(form)), F.try_to_timestamp(t, F.lit(form)))
+        return out
+
+    return bound(text, read)
 
 
 def compact(c: Column) -> Column:

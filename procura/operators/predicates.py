@@ -7,6 +7,7 @@ ends unless a function says otherwise.
 from __future__ import annotations
 
 import re
+from decimal import Decimal, InvalidOperation
 from datetime import datetime
 from functools import reduce
 
@@ -103,17 +104,22 @@ def parse_date(text: str) -> datetime:
 
 
 def validate(params: dict) -> None:
-    """Raises ValueError for ranges that are upside down and malformed region codes."""
+    """Raises ValueError for amounts that are none, ranges that are upside down and regions that are neither codes nor names."""
     low, high = params.get("budgetMin"), params.get("budgetMax")
-    if low is not None and high is not None and low > high:
-        raise ValueError("budgetMin exceeds budgetMax")
-    if params.get("dateFrom") and params.get("dateTo") and parse_date(params["dateFrom"]) > parse_date(params["dateTo"]):
-        raise ValueError("dateFrom is after dateTo")
-    for code in params.get("regions") or []:
-        if code.isdigit() and len(code) not in (1, 2, 4, 6):
-            raise ValueError(f"region code: {code!r}")
-        if not code.isdigit() and not re.search(r"[^\W\d_]", code):
-            raise ValueError(f"region: {code!r}")
+    if low is not None and high is not None:
+        try:
+            wrong = Decimal(str(low)) > Decimal(str(high))
+        except InvalidOperation:
+            raise ValueError(f"no amounts: {low!r}, {high!r}") from None
+        if wrong:
+            raise ValueError("budgetMin exceeds budgetMax")
+    for first, last in (("dateFrom", "dateTo"), ("publishDateFrom", "publishDateTo")):
+        if params.get(first) and params.get(last) and parse_date(params[first]) > parse_date(params[last]):
+            raise ValueError(f"{first} is after {last}")
+    for region in params.get("regions") or []:
+        code = region.strip() if isinstance(region, str) else ""
+        if not (len(code) in (2, 4, 6) if code.isdigit() else re.search("[\u4e00-\u9fff]", code)):
+            raise ValueError(f"region: {region!r}")
 
 
 def analytics(start=None, end=None, regions=None, industries=None, tenderers=None, low=None, high=None) -> Column:

@@ -130,6 +130,13 @@ def snippet(c: Column, words: list[str], **options) -> Column:
     return F.pandas_udf(run, StringType())(c)
 
 
+def formatted(df: DataFrame, query: str, title: str = "title", description: str = "description") -> DataFrame:
+    """Search results with highlighted_title, highlighted_description and a highlighted snippet; the words of the query are those between blanks."""
+    words = query.split()
+    marked = df.withColumn("highlighted_title", highlight(F.col(title), words)).withColumn("highlighted_description", highlight(F.col(description), words))
+    return marked.withColumn("snippet", snippet(F.col(description), words)).withColumn("snippet", highlight(F.col("snippet"), words))
+
+
 POSITIONS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())]))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cleaning
 from .stats import n
 
 #: Forms of links and phone numbers, kinds of notices.
@@ -65,3 +66,24 @@ def report(df: DataFrame, found: Column) -> DataFrame:
     fields = F.transform("e", lambda x: F.struct(F.lit("field").alias("kind"), x["field"].alias("key")))
     codes = F.transform("e", lambda x: F.struct(F.lit("code").alias("kind"), x["code"].alias("key")))
     return e.select(F.inline(F.concat(all_, fields, codes))).groupBy("kind", "key").agg(n())
+
+
+def checked(df: DataFrame, as_of: str, text: list[str], amount: str, days: list[str], compacted: list[str], **options) -> DataFrame:
+    """Raw rows cleaned and then validated: texts cleaned, an amount and dates parsed, links and phones without blanks; adds errors and is_valid."""
+    clean = {c: cleaning.clean(F.col(c)) for c in text} | {amount: cleaning.amount_text(F.col(amount))} | {c: cleaning.date_text(F.col(c)) for c in days} | {c: cleaning.compact(F.col(c)) for c in compacted}
+    rows = df.withColumns(clean).withColumn("errors", errors(as_of, **options))
+    return rows.withColumn("is_valid", F.size("errors") == 0)
+
+
+#: Points of the fields of a schema's record and of all others together, each of which counts as much as five.
+CORE_POINTS, EXTRA_POINTS = 20, 25
+EXTRA = ("project_number", "region", "industry", "contact_person", "contact_phone", "deadline_date")
+
+
+def quality(kind: str = "notice_type") -> Column:
+    """Points of a record up to 100: title, tenderer, date, amount and description, and further fields; a winner counts for awards, and other kinds have that point."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    core = (F.length("title") > 5, said("tenderer"), F.col("publish_date").isNotNull(), F.col("budget_amount") > 0, F.length("description") > 20)
+    extra = (*(said(c) for c in EXTRA), F.when(F.col(kind) == "win", said("winner")).otherwise(True))
+    points = sum((F.when(x, CORE_POINTS).otherwise(0) for x in core), F.lit(0)) + sum((F.when(x, EXTRA_POINTS).otherwise(0) for x in extra), F.lit(0))
+    return F.least(points, F.lit(100)).cast("bigint")

@@ -428,3 +428,84 @@ def e8_prefilled_rows(spark, sf_dir):
         "id", "title", "tenderer", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"), F.col("budget_amount").cast("double").alias("budget_amount"), "region", F.array_join("missing", ",").alias("missing"),
         F.concat_ws(",", F.col("sources")["tenderer"], F.col("sources")["title"]).alias("sources"),
     )
+
+
+@query("""SELECT id, replace(title, 'BUILDING', '<mark>BUILDING</mark>') AS highlighted_title, replace(replace(description, 'Lot', '<mark>Lot</mark>'), 'Customer', '<mark>Customer</mark>') AS highlighted_description,
+replace(replace(substr(description, 1, 33) || CASE WHEN length(description) > 33 THEN '...' ELSE '' END, 'Lot', '<mark>Lot</mark>'), 'Customer', '<mark>Customer</mark>') AS snippet FROM bids""")
+def t11_formatted_results(spark, sf_dir):
+    """Results with their title, description and snippet marked."""
+    return search.formatted(bids(spark, sf_dir).select("id", "title", "description"), "lot building customer").select("id", "highlighted_title", "highlighted_description", "snippet")
+
+
+def bare_sql(column: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({column}, '<[^>]+>', '', 'g'), '&[a-zA-Z#0-9]+;', '', 'g'), '[\\s\xa0]+', ' ', 'g'))"
+
+
+@query(f"""SELECT page_id, {', '.join(f"{bare_sql(c)} AS {c}" for c in ("title", "description", "tenderer", "region", "industry"))} FROM (
+SELECT page_id, regexp_extract(html, '<h1>.*?</h1>') AS title, substr(html, 1, 400) AS description, regexp_extract(html, '<a [^>]*>[^<]*') AS tenderer, url AS region, regexp_extract(html, '>([^<]*)<br', 1) AS industry FROM pages WHERE page_id % 3 <> 0
+UNION ALL SELECT page_id, 'plain', NULL, '', url, CASE WHEN page_id % 2 = 0 THEN 'a > b' ELSE 'b' END FROM pages WHERE page_id % 3 = 0) WHERE page_id % 3 <> 0 OR page_id % 2 = 0""")
+def f16_markup_columns(spark, sf_dir):
+    """F16: rows with signs of markup in any of five columns, with all five cleaned."""
+    k, h = F.col("page_id"), F.col("html")
+    plain = k % 3 == 0
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(plain, "plain").otherwise(F.regexp_extract(h, "<h1>.*?</h1>", 0)).alias("title"), F.when(~plain, F.substring(h, 1, 400)).alias("description"), F.when(plain, "").otherwise(F.regexp_extract(h, "<a [^>]*>[^<]*", 0)).alias("tenderer"),
+        F.col("url").alias("region"), F.when(plain & (k % 2 == 0), "a > b").when(plain, "b").otherwise(F.regexp_extract(h, ">([^<]*)<br", 1)).alias("industry"),
+    )
+    return cleaning.cleaned_rows(rows, ["title", "description", "tenderer", "region", "industry"])
+
+
+@query("""SELECT id, title, source_url, phone, CAST(amount AS DOUBLE) AS amount, day, array_to_string([x FOR x IN [CASE WHEN title = '' THEN 'REQUIRED' END, CASE WHEN length(title) < 5 THEN 'TITLE_TOO_SHORT' END, CASE WHEN source_url = 'ftp://x.y/' THEN 'INVALID_URL' END, CASE WHEN phone = '12345' THEN 'INVALID_PHONE' END] IF x IS NOT NULL], ',') AS errors,
+title <> '' AND length(title) >= 5 AND source_url <> 'ftp://x.y/' AND phone <> '12345' AS is_valid FROM (
+SELECT id, CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 = 1 THEN 'abc' ELSE title END AS title, CASE WHEN id % 7 = 0 THEN 'ftp://x.y/' ELSE source_url END AS source_url, CASE WHEN id % 3 = 0 THEN '12345' ELSE '057188' || lpad(CAST(id % 1000000 AS VARCHAR), 6, '0') END AS phone, id % 50 * 10000 AS amount, strftime(publish_date, '%Y-%m-%d') AS day FROM bids)""")
+def c6_cleaned_and_checked(spark, sf_dir):
+    """Raw rows cleaned, links and phones without blanks, then validated."""
+    k, b = F.col("id"), bids(spark, sf_dir)
+    rows = b.select(
+        "id", F.when(k % 5 == 0, "<b> </b>").when(k % 5 == 1, " a<i>b</i>c ").otherwise(F.concat(F.lit("<p>"), F.replace("title", F.lit(" "), F.lit("  \n")), F.lit("</p>&nbsp;"))).alias("title"),
+        F.when(k % 7 == 0, "ftp:// x.y/").otherwise(F.concat(F.lit(" "), F.regexp_replace("source_url", "/([^/]*)$", "/ $1"), F.lit("\n"))).alias("source_url"),
+        F.when(k % 3 == 0, "12 345").otherwise(F.concat(F.lit("0571 88 "), F.lpad((k % 1000000).cast("string"), 6, "0"))).alias("phone"),
+        F.concat(F.lit("￥"), (k % 50).cast("string"), F.lit("万元")).alias("amount"), F.date_format("publish_date", "yyyy年M月d日").alias("day"), F.lit("bidding").alias("notice_type"),
+    )
+    out = validation.checked(rows, AS_OF, ["title"], "amount", ["day"], ["source_url", "phone"], budget="amount", dates=("day",), phone="phone")
+    return out.select("id", "title", "source_url", "phone", F.col("amount").cast("double").alias("amount"), F.date_format("day", "yyyy-MM-dd").alias("day"), F.array_join(F.transform("errors", lambda e: e["code"]), ",").alias("errors"), "is_valid")
+
+
+@query("""SELECT id, CAST(least(100, CASE WHEN length(title) > 5 THEN 20 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 20 ELSE 0 END + 20 + CASE WHEN budget_amount > 0 THEN 20 ELSE 0 END + CASE WHEN length(description) > 20 THEN 20 ELSE 0 END
++ 25 * (CASE WHEN id % 2 = 0 AND region_name <> '' THEN 1 ELSE 0 END + CASE WHEN id % 5 = 0 AND industry <> '' THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 AND deadline_date IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END)) AS BIGINT) AS points FROM bids""")
+def v2_quality_points(spark, sf_dir):
+    """V2: how much of a schema's record is filled."""
+    k = F.col("id")
+    none = F.lit(None).cast("string")
+    rows = bids(spark, sf_dir).select(
+        "id", "title", F.when(k % 3 == 0, F.col("tenderer")).alias("tenderer"), "publish_date", "budget_amount", "description", F.when(k % 2 == 0, F.col("region_name")).alias("region"), F.when(k % 5 == 0, F.col("industry")).alias("industry"),
+        F.when(k % 7 == 0, F.col("deadline_date")).alias("deadline_date"), none.alias("project_number"), none.alias("contact_person"), F.lit("").alias("contact_phone"), "winner", F.when(k % 11 == 0, "bidding").otherwise("win").alias("notice_type"),
+    )
+    return rows.select("id", validation.quality().alias("points"))
+
+
+@query("""SELECT id, '额定功率' AS name, id % 9 || 'W' AS value, '电气规格' AS category, false AS is_mandatory FROM bids WHERE id % 2 = 0 UNION ALL SELECT id, '接口', '必须' || id % 4, '功能要求', true FROM bids WHERE id % 2 = 0
+UNION ALL SELECT id, '主机', id % 5 || 'GB', '其他', true FROM bids WHERE id % 2 = 1 UNION ALL SELECT id, '免费', id % 3 || '年', '其他', true FROM bids WHERE id % 2 = 1""")
+def e6_technical_parameters(spark, sf_dir):
+    """Lines of technical sections; measures in sentences where there is no section."""
+    k = F.col("id")
+    section = F.concat(F.lit("预算：5\n技术参数：\n1. 额定功率："), (k % 9).cast("string"), F.lit("W\n联系人：王\n接口: 必须"), (k % 4).cast("string"))
+    stated = F.concat(F.lit("采购，主机内存：≥"), (k % 5).cast("string"), F.lit("GB，免费质保"), (k % 3).cast("string"), F.lit("年。"))
+    found = extraction.technical_parameters(bids(spark, sf_dir).select("id", F.when(k % 2 == 0, section).otherwise(stated).alias("text")), "id", "text")
+    return found.select("id", "name", F.regexp_replace("value", "。$", "").alias("value"), "category", "is_mandatory")
+
+
+@query("""SELECT id, round(0.25 + 0.2 + CASE WHEN budget_amount IS NOT NULL THEN 0.15 ELSE 0 END + 0.15 + 0.15 + CASE WHEN id % 4 = 0 THEN 0.1 ELSE 0 END, 4)::DOUBLE AS confidence FROM bids""")
+def e14_confidence(spark, sf_dir):
+    """How sure a record is, by six fields."""
+    rows = bids(spark, sf_dir).withColumn("contact_person", F.when(F.col("id") % 4 == 0, "x"))
+    weights = {"title": 0.25, "tenderer": 0.2, "budget_amount": 0.15, "publish_date": 0.15, "description": 0.15, "contact_person": 0.1}
+    return rows.select("id", extraction.confidence(weights).cast("double").alias("confidence"))
+
+
+@query("""SELECT page_id, count(*) AS links, count(*) FILTER (page_id % 4 = 0 OR NOT regexp_matches(href, '^/')) AS kept FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM pages) GROUP BY 1""")
+def v5_safe_links(spark, sf_dir):
+    """V5: links of pages, of which those to private hosts and other schemes are not safe; pages stand on private hosts but for each fourth."""
+    host = F.when(F.col("page_id") % 4 == 0, "https://h.example.org/").when(F.col("page_id") % 4 == 1, "http://192.168.7.1/").when(F.col("page_id") % 4 == 2, "http://LOCALHOST:8000/x").otherwise("ftp://h.example.org/")
+    found = markup.selected(table(spark, sf_dir, "pages").withColumn("page", host), "html", {"a": "a[href]"}, "page_id", "page")
+    return found.groupBy("page_id").agg(stats.n(name="links"), stats.n(markup.safe_link(markup.absolute(F.col("attributes")["href"], F.col("page"))), "kept"))

@@ -248,3 +248,15 @@ def test_pages_filters_and_matches(spark):
     rows = spark.createDataFrame([(1, "a1b22c"), (2, ""), (3, None), (4, "9")], "id int, t string")
     got = {r["id"]: [tuple(x) for x in r["m"] or []] for r in rows.select("id", extraction.pattern_matches(F.col("t"), r"(\d)\d*").alias("m")).collect()}
     assert got == {1: [(1, 2, "1", "1"), (3, 5, "22", "2")], 2: [], 3: [], 4: [(0, 1, "9", "9")]}
+
+
+@pytest.mark.parametrize(("params", "good"), [
+    ({"regions": ["11", "1101", "110101", "北京", " 浙江省 "]}, True), ({"regions": ["1"]}, False), ({"regions": ["110"]}, False), ({"regions": ["Beijing"]}, False), ({"regions": [" "]}, False), ({"regions": [11]}, False),
+    ({"budgetMin": "5", "budgetMax": 6}, True), ({"budgetMin": 7, "budgetMax": 6}, False), ({"budgetMin": "x", "budgetMax": 6}, False), ({"publishDateFrom": "2024-01-02", "publishDateTo": "01-01-2024"}, False), ({"dateFrom": "2024/01/01", "dateTo": "2024-01-01 10:00:00"}, True), ({"dateFrom": "soon", "dateTo": "2024-01-01"}, False),
+])
+def test_filters_are_checked(params, good):
+    if good:
+        predicates.validate(params)
+    else:
+        with pytest.raises(ValueError):
+            predicates.validate(params)
