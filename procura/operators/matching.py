@@ -73,6 +73,22 @@ def both_cases(texts: DataFrame, key: str, text: str, flags: list[bool]) -> Data
     return texts.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("case_sensitive"), cased(F.col(text), F.lit(f)).alias("t")) for f in flags))).alias("c")).select(key, "c.*")
 
 
+#: Literals up to which each is tried on each text inside the row; beyond, they are looked up.
+FEW = 200
+
+
+def few_hits(texts: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts with a keyword by trying all of a few literals, which are written into the plan."""
+    each = F.array(*(F.struct(F.lit(r["value"]).alias("value"), F.lit(r["match_type"]).alias("match_type"), F.lit(r["case_sensitive"]).alias("case_sensitive"), F.lit(r["v"]).alias("v")) for r in words.collect()))
+
+    def found(w: Column) -> Column:
+        t, v = F.when(w["case_sensitive"], F.col(text)).otherwise(F.col("__low")), w["v"]
+        return F.when(w["match_type"] == "contains", F.contains(t, v)).when(w["match_type"] == "exact", t == v).when(w["match_type"] == "starts_with", F.startswith(t, v)).otherwise(F.endswith(t, v))
+
+    rows = texts.withColumn("__low", F.lower(F.col(text)))
+    return rows.select(key, F.explode(F.filter(each, found)).alias("w")).select(key, "w.value", "w.match_type", "w.case_sensitive")
+
+
 def placed_hits(texts: DataFrame, words: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Texts that are, begin with or end with a keyword: an equi-join on whole texts and on pieces of given lengths; the rest of a longer keyword is compared after it."""
     size = F.length("v")
@@ -155,18 +171,22 @@ def keyword_hits(notices: DataFrame, keywords: DataFrame, key: str = "id", text:
     words = written(distinct.withColumn("form", keyword_form(F.col("value"))).withColumn("v", cased(F.col("form"), F.col("case_sensitive"))))
     count = {(r["match_type"], r["blank"]): r["n"] for r in words.groupBy("match_type", (F.col("v") == "").alias("blank")).agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = []
-    placed = sum(count.get((k, False), 0) for k in ("exact", "starts_with", "ends_with")) + count.get(("exact", True), 0)
+    literals = sum(n for (kind, blank), n in count.items() if kind != "regex" and not blank)
+    if 0 < literals <= FEW:
+        parts.append(few_hits(texts, words.where("match_type in ('exact', 'contains', 'starts_with', 'ends_with') and v != ''"), key, text))
+        count = {(kind, blank): n for (kind, blank), n in count.items() if kind == "regex" or blank}
+    placed = sum(count.get((k, False), 0) for k in ("exact", "starts_with", "ends_with"))
     columns = ["value", "match_type", "case_sensitive", "v"]
     if placed:
-        parts.append(placed_hits(texts, words.where("match_type = 'exact' or match_type in ('starts_with', 'ends_with') and v != ''").select(*columns), key, text, placed))
+        parts.append(placed_hits(texts, words.where("match_type in ('exact', 'starts_with', 'ends_with') and v != ''").select(*columns), key, text, placed))
     if count.get(("contains", False)):
         parts.append(held_hits(texts, words.where("match_type = 'contains' and v != ''").select(*columns), key, text, count["contains", False]))
     if patterns := count.get(("regex", False), 0) + count.get(("regex", True), 0):
         parts.append(pattern_hits(texts, words.where("match_type = 'regex'"), key, text, patterns))
-    empty = [F.struct(F.lit("").alias("value"), F.lit(k).alias("match_type"), F.lit(c).alias("case_sensitive")) for k in ("contains", "starts_with", "ends_with") if count.get((k, True)) for c in (False, True)]
-    if empty:  # an empty keyword is in every text
-        asked = near(words.where("v = ''").select("value", "match_type", "case_sensitive"), 1)
-        parts.append(texts.select(key, F.explode(F.array(*empty)).alias("e")).select(key, "e.*").join(asked, ["value", "match_type", "case_sensitive"], "left_semi"))
+    blank = [r for r in words.where("v = '' and match_type != 'regex'").select("value", "match_type", "case_sensitive").collect()] if any(b and k != "regex" for k, b in count) else []
+    if blank:  # what is empty in its form is in every text, and is none but the empty one; of these there are as many as kinds and cases
+        each = F.array(*(F.struct(F.lit(r["value"]).alias("value"), F.lit(r["match_type"]).alias("match_type"), F.lit(r["case_sensitive"]).alias("case_sensitive")) for r in blank))
+        parts.append(texts.select(key, F.explode(F.filter(each, lambda w: (w["match_type"] != "exact") | (F.col(text) == ""))).alias("w")).select(key, "w.*"))
     if not parts:
         return texts.where("false").select(key, F.lit("").alias("value"), F.lit("").alias("match_type"), F.lit(False).alias("case_sensitive"))
     out = parts[0]

@@ -49,9 +49,10 @@ def data(seed: int):
     return texts, list(dict.fromkeys(words + [(p, "regex", c) for p in patterns for c in (False, True)])) + [(None, "contains", False)]
 
 
-@pytest.mark.parametrize(("seed", "bound"), [(1, 200_000), (2, 5), (3, 0)])
-def test_against_trying_all(spark, monkeypatch, seed, bound):
-    monkeypatch.setattr(matching, "BROADCAST_KEYWORDS", max(bound, 1))
+@pytest.mark.parametrize(("seed", "bound", "few"), [(1, 200_000, 0), (2, 5, 0), (3, 1, 0), (4, 200_000, 10_000)])
+def test_against_trying_all(spark, monkeypatch, seed, bound, few):
+    monkeypatch.setattr(matching, "BROADCAST_KEYWORDS", bound)
+    monkeypatch.setattr(matching, "FEW", few)
     texts, words = data(seed)
     table = spark.createDataFrame([(f"s{i}", v, k, c, False, 1.0) for i, (v, k, c) in enumerate(words)], KEYWORD)
     hits = matching.keyword_hits(spark.createDataFrame(texts, "id long, text string"), table)
@@ -59,7 +60,8 @@ def test_against_trying_all(spark, monkeypatch, seed, bound):
     assert len(rows) == len(set(rows)) and set(rows) == plain(texts, words)
 
 
-def test_literals_are_not_tried_one_by_one(spark):
+def test_literals_are_not_tried_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FEW", 0)
     words = [("build", "contains"), ("bu", "starts_with"), ("it", "ends_with"), ("x", "exact")]
     table = spark.createDataFrame([("s", v, k, False, False, 1.0) for v, k in words], KEYWORD)
     plan = matching.keyword_hits(spark.createDataFrame([(1, "build it")], "id long, text string"), table)._jdf.queryExecution().toString()
