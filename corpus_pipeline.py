@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura.llm import packing, secrets, simhash, suffix_dedup, toxicity
-from procura.llm.common import crc_bucket, documents, written
+from procura.llm.common import crc_bucket, documents, remove, written_at
 from procura.llm.queries import owner_and_repository
 
 #: Text operators of the stages go by a model, connected classes and repeated strings: SQL can't express them.
@@ -55,8 +55,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage returns is written to the shared folder and read again, and deleted once the next one's is there."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        older = path
+        docs, path = written_at(stage(spark, docs, sf_dir))
+        if older:
+            remove(spark, older)
     return STAGES[-1][1](spark, docs, sf_dir)

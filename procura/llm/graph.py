@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written_at
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node that can be reached.
 
     Each round links larger neighbours, then smaller ones, to the least neighbour of a node; the number
-    of rounds grows with the logarithm of the size of a component. Edges keep their number at most.
+    of rounds grows with the logarithm of the size of a component. Edges keep their number at most; those of the round before are deleted.
     """
 
     def state(df: DataFrame) -> tuple:
@@ -27,10 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         own = least.select("a", F.col("m").alias("b"))
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).where("a != b").distinct()
 
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    now, path = written_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     seen = state(now)
     while seen[0]:
-        now = written(star(star(now, larger=True), larger=False))
+        older = path
+        now, path = written_at(star(star(now, larger=True), larger=False))
+        remove(edges.sparkSession, older)
         after = state(now)
         if after == seen:
             break
