@@ -75,21 +75,26 @@ class Pieces(dict):
         return ids
 
 
+class WordIds(Pieces):
+    """Ids of words after a blank. Letters are one piece, and so is a sign after them: such words are put together from what is remembered."""
+
+    def __init__(self, encode, signs: dict[str, bytes]):
+        super().__init__(encode)
+        self.signs = signs
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1:] in SIGNS and word[:-1].isalpha():
+            return self[word[:-1]] + self.signs[word[-1]]
+        return super().__missing__(word)
+
+
 class Words:
     """Ids of whole texts from those of pieces. Blank-separated words are remembered too, so that the pattern runs over new ones only."""
 
     def __init__(self, encode):
         self.pieces = Pieces(encode)
         self.find = regex.compile(PATTERN).findall
-        self.words = Pieces(self.word)
-
-    def word(self, word: str) -> bytes:
-        """Letters are one piece, and so is a sign after them."""
-        if word.isalpha():
-            return self.pieces[" " + word]
-        if word[-1:] in SIGNS and word[:-1].isalpha():
-            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
-        return self.cut(" " + word)
+        self.words = WordIds(lambda word: encode(" " + word) if word.isalpha() else self.cut(" " + word), self.pieces)
 
     def cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
