@@ -7,8 +7,9 @@ ends unless a function says otherwise.
 from __future__ import annotations
 
 import re
-from decimal import Decimal, InvalidOperation
+from collections.abc import Callable
 from datetime import datetime
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column
@@ -64,12 +65,20 @@ def code_or_name(code: str, name: str, wanted: list[str]) -> Column:
     return any_of([(F.col(code) == w) | has_text(name, w) for w in wanted])
 
 
-def build(params: dict) -> Column:
-    """One predicate of a parameter dictionary: kinds are joined by AND, values of a kind by OR. Unknown kinds raise ValueError."""
+def is_region(text: str) -> bool:
+    """Whether a text is a region's code of two, four or six digits or a Chinese name."""
+    return len(text) in (2, 4, 6) if text.isdigit() else bool(re.search("[\u4e00-\u9fff]", text))
+
+
+def build(params: dict, region: Callable[[str], bool] = is_region) -> Column:
+    """One predicate of a parameter dictionary: kinds are joined by AND, values of a kind by OR. Unknown kinds raise ValueError.
+
+    region tells what is a region's code or name where these are not China's.
+    """
     if unknown := sorted(set(params) - PARAMETERS):
         raise ValueError(f"unknown filters: {', '.join(unknown)}")
     params = {**params, **{k: params.get(k) or params.get(other) for k, other in (("dateFrom", "publishDateFrom"), ("dateTo", "publishDateTo"))}}
-    validate(params)
+    validate(params, region)
     parts = []
     if params.get("regions"):
         parts.append(code_or_name("region_code", "region_name", params["regions"]))
@@ -103,7 +112,7 @@ def parse_date(text: str) -> datetime:
     raise ValueError(f"no date: {text!r}")
 
 
-def validate(params: dict) -> None:
+def validate(params: dict, region: Callable[[str], bool] = is_region) -> None:
     """Raises ValueError for amounts that are none, ranges that are upside down and regions that are neither codes nor names."""
     low, high = params.get("budgetMin"), params.get("budgetMax")
     if low is not None and high is not None:
@@ -116,10 +125,9 @@ def validate(params: dict) -> None:
     for first, last in (("dateFrom", "dateTo"), ("publishDateFrom", "publishDateTo")):
         if params.get(first) and params.get(last) and parse_date(params[first]) > parse_date(params[last]):
             raise ValueError(f"{first} is after {last}")
-    for region in params.get("regions") or []:
-        code = region.strip() if isinstance(region, str) else ""
-        if not (len(code) in (2, 4, 6) if code.isdigit() else re.search("[\u4e00-\u9fff]", code)):
-            raise ValueError(f"region: {region!r}")
+    for given in params.get("regions") or []:
+        if not isinstance(given, str) or not region(given.strip()):
+            raise ValueError(f"region: {given!r}")
 
 
 def analytics(start=None, end=None, regions=None, industries=None, tenderers=None, low=None, high=None) -> Column:

@@ -68,7 +68,7 @@ AND (industry_code = 'E47' OR contains(lower(industry), 'e47') OR industry_code
 AND budget_amount >= 500000 AND publish_date >= TIMESTAMP '1996-06-01' AND publish_date <= TIMESTAMP '2001-06-01' AND status IN ('active', 'pending') AND notice_type = 'bidding' AND contains(lower(tenderer), '#0000000')""")
 def f5_query_builder(spark, sf_dir):
     params = {"regions": ["8", "NATION_1"], "industries": ["E47", "furn"], "budgetMin": 500_000, "publishDateFrom": "1996/06/01", "publishDateTo": "2001-06-01", "status": ["active", "pending"], "notice_type": "bidding", "tenderer": "#0000000"}
-    return bids(spark, sf_dir).where(predicates.build(params)).select("id")
+    return bids(spark, sf_dir).where(predicates.build(params, bool)).select("id")
 
 
 @query("""SELECT id, CAST(budget_amount AS DOUBLE) AS amount FROM bids WHERE budget_amount >= 1000000 AND budget_amount <= 5000000""")
