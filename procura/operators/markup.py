@@ -13,9 +13,10 @@ end tag without a start is ignored. Scripts and styles have no text. A null or e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -143,19 +144,27 @@ class Page(HTMLParser):
         return "".join(self.parts)
 
 
+REFERENCE = re.compile(r"&(#\d+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
+
+
+def ended_only(text: str | None) -> str:
+    """A page whose references without a semicolon (`&amp</p>`), which parsers resolve like others, stay as they are written."""
+    return REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + m[0][1:], text or "")
+
+
 NODE = pa.struct([("tag", pa.string()), ("id", pa.string()), ("class", pa.string()), ("href", pa.string()), ("datetime", pa.string()), ("parent", pa.int32()), ("next", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("linked", pa.int32())])
 NODES = "array<struct<tag:string,id:string,class:string,href:string,datetime:string,parent:int,next:int,start:int,end:int,linked:int>>"
 
 
-def parsed(df: DataFrame, markup: str, *keep: str) -> DataFrame:
-    """The columns to keep, the text of each page and its elements (`nodes`); rows stay in their tasks."""
+def parsed(df: DataFrame, markup: str, *keep: str, ended: bool = False) -> DataFrame:
+    """The columns to keep, the text of each page and its elements (`nodes`); rows stay in their tasks. With `ended`, only references that end in a semicolon are resolved."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                pages = [Page().read(t) for t in part.column("__markup").to_pylist()]
+                pages = [Page().read(ended_only(t) if ended else t) for t in part.column("__markup").to_pylist()]
                 nodes = [[{"tag": e.tag, "id": e.attributes.get("id"), "class": e.attributes.get("class"), "href": e.attributes.get("href"), "datetime": e.attributes.get("datetime"), "parent": e.parent, "next": e.next, "start": e.start, "end": e.end, "linked": e.linked} for e in p.elements] for p in pages]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([p.text for p in pages], pa.string()), pa.array(nodes, pa.list_(NODE))], names=[*keep, "page_text", "nodes"])
 
@@ -346,19 +355,19 @@ def main_node() -> Column:
     return F.coalesce(first(tagged("article")), first(tagged("main")), *named, smallest, first(tagged("body")), first(F.col("nodes")))
 
 
-def records(df: DataFrame, markup: str, *keep: str, date_of, amount_of) -> DataFrame:
+def records(df: DataFrame, markup: str, *keep: str, date_of, amount_of, size: Callable[[Column], Column] = F.length, ended: bool = False) -> DataFrame:
     """title, publish_date, budget_amount, tenderer, description and content of detail pages, null where a page does not say.
 
     date_of and amount_of turn a found text into a date and an amount. What stands beside a label comes
     first, then the main content. A title is the first heading, or a line that speaks of a tender before one
-    that does not; a line holds no further blocks.
+    that does not; a line holds no further blocks. `size` says how long a title is; `ended` is that of `parsed`.
     """
-    pages = parsed(df, markup, *keep).withColumn("__main", main_node()).withColumn("content", F.nullif(text_of(F.col("__main")), F.lit("")))
+    pages = parsed(df, markup, *keep, ended=ended).withColumn("__main", main_node()).withColumn("content", F.nullif(text_of(F.col("__main")), F.lit("")))
     heading = text_of(first(tagged("h1")))
-    plain = F.when(F.length(heading).between(6, 199), heading)
-    speaking = first(F.filter(F.transform(tagged("h1", "h2", "h3", "div", "p"), lambda n: text_of(n)), lambda t: F.length(t).between(11, 199) & t.rlike(TITLE_WORDS) & ~F.contains(t, F.lit("\n"))))
+    plain = F.when(size(heading).between(6, 199), heading)
+    speaking = first(F.filter(F.transform(tagged("h1", "h2", "h3", "div", "p"), lambda n: text_of(n)), lambda t: size(t).between(11, 199) & t.rlike(TITLE_WORDS) & ~F.contains(t, F.lit("\n"))))
     tab = F.trim(F.regexp_extract(text_of(first(tagged("title"))), r"^([^_\-\\／]*)", 1))
-    title = F.coalesce(F.when(plain.rlike(TITLE_WORDS), plain), speaking, plain, F.when(F.length(tab) > 5, tab))
+    title = F.coalesce(F.when(plain.rlike(TITLE_WORDS), plain), speaking, plain, F.when(size(tab) > 5, tab))
     time = first(tagged("time"))
     dates = F.concat(F.filter(F.array(time["datetime"], text_of(time)), lambda x: x.isNotNull()), labelled_values(DATE_LABELS), F.array(F.coalesce("content", F.lit(""))))
     day = first(F.filter(F.transform(dates, lambda t: F.regexp_extract(t, DATE, 1)), lambda x: x != ""))

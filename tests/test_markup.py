@@ -58,6 +58,17 @@ def test_records(spark):
     assert "bridge" in next(r["description"] for r in rows if r["id"] == 0) and "Home" not in next(r["content"] for r in rows if r["id"] == 0)
 
 
+def test_records_as_the_sql_states_them(spark):
+    """References without a semicolon stay as they are written, and blanks don't count in a title's length, where the caller says so."""
+    pages = ["<article><h1>Roads &amp;&amp and&amp</h1><p>a &lt b &amp;lt; c&#39;d&#39 &ampx; &zzz; &&eacute;</article>", "<article><h1>Au un.</h1>", "<article><h1>Auf un.</h1>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "id long, html string")
+    options = dict(date_of=cleaning.date_text, amount_of=cleaning.amount_text)
+    plain = {r["id"]: (r["title"], r["content"]) for r in markup.records(df, "html", "id", **options).collect()}
+    assert plain[0] == ("Roads && and&", "Roads && and&\na < b &lt; c'd' &x; &zzz; &é") and plain[1][0] == "Au un."
+    bare = {r["id"]: (r["title"], r["content"]) for r in markup.records(df, "html", "id", size=lambda t: F.length(F.replace(t, F.lit(" "), F.lit(""))), ended=True, **options).collect()}
+    assert bare[0] == ("Roads &&amp and&amp", "Roads &&amp and&amp\na &lt b &lt; c'd&#39 &ampx; &zzz; &é") and bare[1][0] is None and bare[2][0] == "Auf un."
+
+
 def test_safe_and_absolute_links(spark):
     links = {"http://h.org/a": True, "https://u:p@h.org:80/a": True, "ftp://h.org/": False, "http://localhost/x": False, "http://127.0.0.1": False, "http://10.1.1.1/": False, "http://172.20.0.1/": False, "http://172.32.0.1/": True, "http://192.168.1.1:8/": False, "http://[::1]/": False, "http://printer.local/": False, "javascript:x": False, "": False}
     df = spark.createDataFrame([(k,) for k in links], "u string")
