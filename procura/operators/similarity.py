@@ -33,6 +33,8 @@ TITLE_THRESHOLD = 0.85
 NAME_THRESHOLD = 0.796
 #: Rows of one key that are paired with the others in one group.
 CHUNK = 500
+#: Spellings whose first names are tried before all names are.
+HEADS = 8
 
 
 def title_form(text: str) -> str:
@@ -148,24 +150,82 @@ def ruled(rows: DataFrame) -> DataFrame:
     return begins.join(rows.select(F.col("x").alias("a")), "a").select("a", "b").union(numbered).union(empty)
 
 
-def candidates(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
-    """Pairs (p, q) that may reach the threshold, p before q by o and by label; none at or above it is left out.
+def spelled(name: Column) -> Column:
+    """The letters of a name in order, each as often as it stands there."""
+    return F.when(F.length(name) > 0, F.array_join(F.array_sort(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))), "")).otherwise("")
 
-    rows has x, o and label, both of one orderable type. Pairs share a key of keyed_names, and are left out where even
-    all shared letters in their places would not do. The rows of a frequent key are dealt to tasks in chunks.
+
+def most_score(alike: bool = False) -> Column:
+    """The highest score of names that have the letters of p_x and q_x in any order, but for what the naming rules bind; with `alike`, as if they had the same distinct letters."""
+    n, m = F.length("p_x"), F.length("q_x")
+    in_p, in_q = n - F.length(F.expr("translate(p_x, q_x, '')")), m - F.length(F.expr("translate(q_x, p_x, '')"))
+    placed = 0.8 * F.least(in_p, in_q) / (n + m) + 0.3 * in_p / F.greatest(n, m)
+    if alike:
+        return placed + 0.3
+    # a spelling's distinct letters are its runs
+    of_p, of_q = (F.length(F.regexp_replace(c, r"(?s)(.)\1+", "$1")) for c in ("p_x", "q_x"))
+    shared = of_p - F.length(F.regexp_replace(F.expr("translate(p_x, q_x, '')"), r"(?s)(.)\1+", "$1"))
+    return placed + 0.3 * shared / (of_p + of_q - shared)
+
+
+def near_spellings(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of spellings (p_x, p_o, p_label, q_x, q_label) of which names may reach the threshold, with the highest score (most), p's label before q's.
+
+    rows has x, label and o, the least and last place of the names of one label that have the spelling x. The
+    bound on a score needs the letters alone, in no order, so names of one spelling and label share it. The rows of a frequent
+    key are dealt to tasks in chunks.
     """
     keyed = keyed_names(rows, threshold)
     counts = keyed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     dealt = keyed.join(counts, "g")
-    ends_of = F.broadcast(rows.agg(F.min("label").alias("least"), F.max("label").alias("last")))  # one row
-    ps = dealt.join(ends_of, F.col("label") < F.col("last")).select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *(F.col(c).alias(f"p_{c}") for c in ("x", "o", "label", "letters", "keys")))
-    qs = dealt.join(ends_of, F.col("label") > F.col("least")).select("g", F.pmod(F.hash("x"), "chunks").alias("chunk"), *(F.col(c).alias(f"q_{c}") for c in ("x", "o", "label", "letters", "keys")))
-    n, m = F.length("p_x"), F.length("q_x")
-    in_p, in_q = n - F.length(F.expr("translate(p_x, q_x, '')")), m - F.length(F.expr("translate(q_x, p_x, '')"))
-    shared = F.size(F.array_intersect("p_letters", "q_letters"))
-    most = 0.8 * F.least(in_p, in_q) / (n + m) + 0.3 * shared / (F.size("p_letters") + F.size("q_letters") - shared) + 0.3 * in_p / F.greatest(n, m)
-    later = (F.col("p_o") < F.col("q_o")) & (F.col("p_label") < F.col("q_label"))
-    pairs = ps.join(qs, ["g", "chunk"]).where(later).where(F.element_at(F.array_intersect("p_keys", "q_keys"), 1) == F.col("g")).where(most >= threshold - 1e-9).select(F.col("p_x").alias("p"), F.col("q_x").alias("q"))
+    ends_of = F.broadcast(rows.agg(F.min("label").alias("first_label"), F.max("label").alias("last_label")))  # one row
+    ps = dealt.join(ends_of, F.col("label") < F.col("last_label")).select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *(F.col(c).alias(f"p_{c}") for c in ("x", "o", "label", "keys")))
+    qs = dealt.join(ends_of, F.col("label") > F.col("first_label")).select("g", F.pmod(F.hash("x"), "chunks").alias("chunk"), *(F.col(c).alias(f"q_{c}") for c in ("x", "o", "label", "keys")))
+    later = (F.col("p_o.least") < F.col("q_o.last")) & (F.col("p_label") < F.col("q_label"))
+    pairs = ps.join(qs, ["g", "chunk"]).where(later).where(most_score(alike=True) >= threshold - 1e-9).withColumn("most", most_score()).where(F.col("most") >= threshold - 1e-9).where(F.element_at(F.array_intersect("p_keys", "q_keys"), 1) == F.col("g"))
+    return pairs.select("p_x", "p_o", "p_label", "q_x", "q_label", "most")
+
+
+def spellings_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their spelling s, and the spellings of each label (x, label, o) for near_spellings."""
+    spellings = written(rows.where("x != ''").select("x", "o", "label", spelled(F.col("x")).alias("s")))
+    return spellings, written(spellings.groupBy(F.col("s").alias("x"), "label").agg(F.struct(F.min("o").alias("least"), F.max("o").alias("last")).alias("o")))
+
+
+def first_names(spellings: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (p, q) of a name and the first ones of those HEADS spellings that may be most like its own."""
+    best = near.groupBy("q_x", "q_label").agg(F.slice(F.sort_array(F.collect_set(F.struct("most", F.col("p_o.least").alias("p"))), asc=False), 1, HEADS).alias("ps"))
+    qs = spellings.select(F.col("s").alias("q_x"), F.col("label").alias("q_label"), F.col("x").alias("q"), "o")
+    return qs.join(best, ["q_x", "q_label"]).select("q", "o", F.explode("ps.p").alias("p")).where("p < o").select("p.x", "q").toDF("p", "q").distinct()
+
+
+def head_names(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (p, q) of a name and the first ones of spellings that come first under one of its own spelling's keys."""
+    spellings, groups = spellings_of(rows)
+    keyed = keyed_names(groups, threshold).select("g", "x", "o", "label")
+    heads = keyed.groupBy("g").agg(F.min(F.struct("o", "label", "x")).alias("head"))
+    pairs = keyed.join(heads, "g").where((F.col("head.o.least") < F.col("o.last")) & (F.col("head.label") < F.col("label")))
+    pairs = pairs.select(F.col("head.x").alias("p_x"), F.col("head.o").alias("p_o"), F.col("x").alias("q_x"), F.col("label").alias("q_label")).distinct()
+    return first_names(spellings, pairs.withColumn("most", most_score()).where(F.col("most") >= threshold - 1e-9))
+
+
+def spelling_heads(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (p, q) of a name and the first ones of the spellings most like its own, under any key."""
+    spellings, groups = spellings_of(rows)
+    return first_names(spellings, near_spellings(groups, threshold))
+
+
+def candidates(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
+    """Pairs (p, q) that may reach the threshold, p before q by o and by label; none at or above it is left out.
+
+    rows has x, o and label, both of one orderable type. Pairs share a key of keyed_names, and are left out where even
+    all shared letters in their places would not do. Both are told of the spellings, of which there are far
+    fewer than names where names differ in their numbers, and then brought to the names of the spellings left.
+    """
+    spellings, groups = spellings_of(rows)
+    near = written(near_spellings(groups, threshold).select("p_x", "p_label", "q_x", "q_label"))
+    ps, qs = (spellings.select(F.col("s").alias(f"{c}_x"), F.col("label").alias(f"{c}_label"), F.col("x").alias(c), F.col("o").alias(f"{c}_o")) for c in "pq")
+    pairs = near.join(ps, ["p_x", "p_label"]).join(qs, ["q_x", "q_label"]).where("p_o < q_o").select("p", "q")
     both = ruled(rows.select("x"))
     ends = [rows.select(F.col("x").alias(c), F.col("o").alias(f"{c}_o"), F.col("label").alias(f"{c}_label")) for c in "ab"]
     bound = both.join(ends[0], "a").join(ends[1], "b")
@@ -222,13 +282,6 @@ def near_names(rows: DataFrame) -> DataFrame:
     return forms.join(heads, "form").where(F.col("head") < F.col("o")).select(F.col("head.x").alias("p"), F.col("x").alias("q")).distinct()
 
 
-def head_names(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (p, q) of a name and the first one among those that share a key, where q's label can become less by p's."""
-    keyed = keyed_names(rows, threshold).select("g", "x", "o", "label")
-    heads = keyed.groupBy("g").agg(F.min(F.struct("o", "label", "x")).alias("head"))
-    return keyed.join(heads, "g").where((F.col("head.o") < F.col("o")) & (F.col("head.label") < F.col("label"))).select(F.col("head.x").alias("p"), F.col("x").alias("q")).distinct()
-
-
 def alike(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose score reaches the threshold."""
     return written(pairs.repartition("p", "q").where(name_score(F.col("p"), F.col("q")) >= threshold))
@@ -260,14 +313,13 @@ def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold:
     labels = written(firsts.select("x", o.alias("o"), o.alias("label")))
     edges = alike(near_names(labels), threshold)
     labels = descended(labels, edges)
-    edges = edges.union(alike(head_names(labels, threshold), threshold))
-    labels = descended(labels, edges)
-    while True:
-        fresh = alike(candidates(labels, threshold), threshold)
-        if not fresh.limit(1).count():
-            break
-        edges = edges.union(fresh)
-        labels = descended(labels, edges)
+    for tried in (head_names, spelling_heads, candidates):
+        while True:
+            fresh = alike(tried(labels, threshold), threshold)
+            if not fresh.limit(1).count():
+                break
+            edges = edges.union(fresh)
+            labels = descended(labels, edges)
     restored = F.exists("names", lambda v: v != F.col("x"))
     rows = firsts.withColumn("restored", restored).join(labels.select("x", F.col("label.x").alias("cluster")), "x")
     each = rows.select("cluster", "x", "restored", F.explode(F.array_union(F.array("x"), "names")).alias("v"))
