@@ -69,6 +69,17 @@ def test_no_similar_pair_is_lost(spark, scores):
     assert len(want) > 60 and want - got == set()
 
 
+def test_numbered_names_are_told_apart_by_their_spellings(spark):
+    """Names that differ in their digits share spellings: the pairs that are tried grow with these, not with the names."""
+    names = [f"{kind}{i:06d}" for kind in ("Customer", "Supplier") for i in range(600)]
+    rows = spark.createDataFrame([(x, i, i // 600) for i, x in enumerate(names)], "x string, o int, label int")
+    _, groups = similarity.spellings_of(rows)
+    assert groups.count() == 400 and similarity.candidates(rows).count() == 0
+    df = spark.createDataFrame(list(enumerate(names)), "k long, name string").withColumn("normal", F.col("name"))
+    got = {r["cluster"]: set(r["variants"]) for r in similarity.cluster_names(df, "normal", "name", "k").collect()}
+    assert set().union(*got.values()) == set(names) and sum(map(len, got.values())) == len(names) and all(len({v[0] for v in vs}) == 1 for vs in got.values())
+
+
 def test_clusters_equal_greedy_merging(spark, scores):
     names = some_names()
     want, rest = {}, list(names)
