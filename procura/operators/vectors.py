@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import store
@@ -19,34 +19,42 @@ from .search import normalise, tokens
 #: Fields by weight class, and what a class counts in a rank.
 CLASSES = {"A": ("title",), "B": ("description",), "C": ("tenderer", "project_name")}
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
+#: Words of one weight of a row that are counted without a shuffle.
+SHORT = 64
+
+
+def fields(df: DataFrame, classes: dict[str, tuple[str, ...]] | None) -> dict[str, Column]:
+    """Words of the fields of each weight; fields that the table lacks are blank."""
+    own = {w: [f for f in names if f in df.columns] for w, names in (classes or CLASSES).items()}
+    return {w: reduce(F.concat, (tokens(f) for f in names)) for w, names in own.items() if names}
 
 
 def postings(df: DataFrame, key: str, classes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(word, key, weight, hits, length) of every word of every row; fields that the table lacks are blank."""
-    own = {w: [f for f in fields if f in df.columns] for w, fields in (classes or CLASSES).items()}
-    parts = []
-    for weight, fields in own.items():
-        if fields:
-            words = reduce(F.concat, (tokens(f) for f in fields))
-            parts.append(df.select(F.col(key), F.lit(weight).alias("weight"), words.alias("words")))
-    every = reduce(DataFrame.unionByName, parts)
-    every = every.select(key, "weight", F.size("words").alias("length"), F.explode("words").alias("word"))
-    return every.groupBy("word", key, "weight", "length").agg(F.count(F.lit(1)).cast("int").alias("hits")).select("word", key, "weight", "hits", "length")
+    """(word, key, weight, hits, length) of every word of every row, one row a key. Up to SHORT words are counted within their row, more by groups."""
+    each = F.array(*(F.struct(F.lit(w).alias("weight"), words.alias("words")) for w, words in fields(df, classes).items()))
+    every = df.select(key, F.inline(each))
+    words = F.col("words")
+    counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("word"), F.size(F.filter(words, lambda x: x == w)).alias("hits")))
+    short = every.where(F.size("words") <= SHORT).select(key, "weight", F.size("words").alias("length"), F.inline(counted))
+    long = every.where(F.size("words") > SHORT).select(key, "weight", F.size("words").alias("length"), F.explode("words").alias("word"))
+    long = long.groupBy("word", key, "weight", "length").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    return short.select("word", key, "weight", "hits", "length").unionByName(long)
 
 
 def folders(path: str) -> tuple[str, str]:
     return f"{path}/postings", f"{path}/words"
 
 
-def words_of(posted: DataFrame, key: str) -> DataFrame:
-    return posted.groupBy(key).agg(F.collect_set("word").alias("words"))
+def words_of(df: DataFrame, key: str, classes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(key, words) of every row that has any; rows stay in their tasks."""
+    return df.select(key, F.array_distinct(F.concat(*fields(df, classes).values())).alias("words")).where(F.size("words") > 0)
 
 
 def build(df: DataFrame, path: str, key: str = "id", classes: dict[str, tuple[str, ...]] | None = None, buckets: int = store.BUCKETS) -> None:
     """Writes the index of a whole table."""
     posted, held = folders(path)
     store.create(postings(df, key, classes), posted, "word", buckets)
-    store.create(words_of(store.read(df.sparkSession, posted), key), held, key, buckets)
+    store.create(words_of(df, key, classes), held, key, buckets)
 
 
 def update(df: DataFrame, path: str, key: str = "id", classes: dict[str, tuple[str, ...]] | None = None, buckets: int = store.BUCKETS, deleted: DataFrame | None = None) -> set[int]:
@@ -60,7 +68,7 @@ def update(df: DataFrame, path: str, key: str = "id", classes: dict[str, tuple[s
     near = store.read(spark, held).where(F.col("bucket").isin(sorted(store.numbers(changed))))
     had = near.join(changed.select(key), key, "left_semi").select(key, F.explode("words").alias("word"))
     touched = store.merge(spark, posted, had, news, [key], "word", buckets)
-    store.merge(spark, held, changed.select(key), words_of(news, key), [key], key, buckets)
+    store.merge(spark, held, changed.select(key), words_of(df, key, classes), [key], key, buckets)
     return touched
 
 
