@@ -31,8 +31,8 @@ NUMBERED_SCORE, SUB_UNIT_SCORE, RANK_FACTOR = 0.85, 0.88, 0.85
 PUNCTUATION = "[，。！？、；：\"（）【】《》]"
 TITLE_THRESHOLD = 0.85
 NAME_THRESHOLD = 0.796
-#: Rows of one key that are paired with the others in one group.
-CHUNK = 500
+#: Rows of one key on either side that are paired in one group.
+CHUNK = 200
 #: Spellings whose first names are tried before all names are.
 HEADS = 8
 
@@ -142,7 +142,8 @@ def keyed_names(rows: DataFrame, threshold: float) -> DataFrame:
 def ruled(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) that the naming rules bind whatever their letters: sub-units, and names that differ in their numbers."""
     begin = F.substring("x", F.lit(1), F.col("i"))
-    begins = rows.where(F.length("x") > 1).select("x", F.explode(F.sequence(F.lit(1), F.length("x") - 1)).alias("i")).where(unit_of(F.col("x"), begin)).select(begin.alias("a"), F.col("x").alias("b"))
+    units = rows.where(F.length("x") > 1).where(F.col("x").rlike("|".join(SUB_UNITS + OFFICE_ENDINGS)))  # without any of these there is no sub-unit
+    begins = units.select("x", F.explode(F.sequence(F.lit(1), F.length("x") - 1)).alias("i")).where(unit_of(F.col("x"), begin)).select(begin.alias("a"), F.col("x").alias("b"))
     bare = F.regexp_replace("x", "|".join(FIRST_NUMBERS), "")
     plain = rows.select("x", bare.alias("bare"))
     numbered = plain.where("x != bare").select(F.col("x").alias("b"), "bare").join(plain.select(F.col("x").alias("a"), "bare"), "bare").select("a", "b")
@@ -155,40 +156,43 @@ def spelled(name: Column) -> Column:
     return F.when(F.length(name) > 0, F.array_join(F.array_sort(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))), "")).otherwise("")
 
 
-def most_score(alike: bool = False) -> Column:
-    """The highest score of names that have the letters of p_x and q_x in any order, but for what the naming rules bind; with `alike`, as if they had the same distinct letters."""
+def most_score() -> Column:
+    """The highest score of names that have the letters of p_x and q_x in any order, the distinct ones in p_own and q_own, but for what the naming rules bind."""
     n, m = F.length("p_x"), F.length("q_x")
-    in_p, in_q = n - F.length(F.expr("translate(p_x, q_x, '')")), m - F.length(F.expr("translate(q_x, p_x, '')"))
-    placed = 0.8 * F.least(in_p, in_q) / (n + m) + 0.3 * in_p / F.greatest(n, m)
-    if alike:
-        return placed + 0.3
-    # a spelling's distinct letters are its runs
-    of_p, of_q = (F.length(F.regexp_replace(c, r"(?s)(.)\1+", "$1")) for c in ("p_x", "q_x"))
-    shared = of_p - F.length(F.regexp_replace(F.expr("translate(p_x, q_x, '')"), r"(?s)(.)\1+", "$1"))
-    return placed + 0.3 * shared / (of_p + of_q - shared)
+    in_p, in_q, shared = (F.length(a) - F.length(F.call_function("translate", F.col(a), F.col(b), F.lit(""))) for a, b in (("p_x", "q_own"), ("q_x", "p_own"), ("p_own", "q_own")))
+    return 0.8 * F.least(in_p, in_q) / (n + m) + 0.3 * in_p / F.greatest(n, m) + 0.3 * shared / (F.length("p_own") + F.length("q_own") - shared)
+
+
+def tasks(df: DataFrame) -> int:
+    """Partitions for rows that are few and take long, which Spark would put together by their size."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def near_spellings(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs of spellings (p_x, p_o, p_label, q_x, q_label) of which names may reach the threshold, with the highest score (most), p's label before q's.
 
     rows has x, label and o, the least and last place of the names of one label that have the spelling x. The
-    bound on a score needs the letters alone, in no order, so names of one spelling and label share it. The rows of a frequent
-    key are dealt to tasks in chunks.
+    bound on a score needs the letters alone, in no order, so names of one spelling and label share it. Rows of a key's most
+    frequent label are not brought together with each other. A frequent key is dealt to tasks in chunks of either side.
     """
-    keyed = keyed_names(rows, threshold)
-    counts = keyed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    dealt = keyed.join(counts, "g")
-    ends_of = F.broadcast(rows.agg(F.min("label").alias("first_label"), F.max("label").alias("last_label")))  # one row
-    ps = dealt.join(ends_of, F.col("label") < F.col("last_label")).select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *(F.col(c).alias(f"p_{c}") for c in ("x", "o", "label", "keys")))
-    qs = dealt.join(ends_of, F.col("label") > F.col("first_label")).select("g", F.pmod(F.hash("x"), "chunks").alias("chunk"), *(F.col(c).alias(f"q_{c}") for c in ("x", "o", "label", "keys")))
+    keyed = written(keyed_names(rows, threshold).withColumn("own", F.array_join("letters", "")))
+    counts = keyed.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(
+        F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"), F.min("label").alias("first_label"), F.max("label").alias("last_label"), F.max(F.struct("n", "label"))["label"].alias("main"),
+    ).where("first_label < last_label")
+    dealt, own, sides = keyed.join(counts, "g"), F.pmod(F.hash("x"), "chunks"), F.sequence(F.lit(0), F.col("chunks") - 1)
+    in_main = F.col("label") == F.col("main")
+    ps = dealt.where("label < last_label").withColumn("chunk", own).withColumn("q_chunk", F.explode(sides)).withColumn("q_main", F.explode(F.when(in_main, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    qs = dealt.where("label > first_label").withColumn("q_chunk", own).withColumn("chunk", F.explode(sides)).withColumn("q_main", in_main)
+    by = ["g", "chunk", "q_chunk", "q_main"]
+    ps, qs = (df.select(*by, *(F.col(c).alias(f"{side}_{c}") for c in ("x", "o", "label", "own", "keys"))).repartition(tasks(rows), *by) for side, df in (("p", ps), ("q", qs)))
     later = (F.col("p_o.least") < F.col("q_o.last")) & (F.col("p_label") < F.col("q_label"))
-    pairs = ps.join(qs, ["g", "chunk"]).where(later).where(most_score(alike=True) >= threshold - 1e-9).withColumn("most", most_score()).where(F.col("most") >= threshold - 1e-9).where(F.element_at(F.array_intersect("p_keys", "q_keys"), 1) == F.col("g"))
-    return pairs.select("p_x", "p_o", "p_label", "q_x", "q_label", "most")
+    pairs = ps.join(qs, by).where(later).where(most_score() >= threshold - 1e-9).where(F.element_at(F.array_intersect("p_keys", "q_keys"), 1) == F.col("g"))
+    return pairs.select("p_x", "p_o", "p_label", "q_x", "q_label", most_score().alias("most"))
 
 
 def spellings_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with their spelling s, and the spellings of each label (x, label, o) for near_spellings."""
-    spellings = written(rows.where("x != ''").select("x", "o", "label", spelled(F.col("x")).alias("s")))
+    """Rows with their spelling s, unless they have it, and the spellings of each label (x, label, o) for near_spellings."""
+    spellings = rows.where("x != ''").select("x", "o", "label", "s") if "s" in rows.columns else written(rows.where("x != ''").select("x", "o", "label", spelled(F.col("x")).alias("s")))
     return spellings, written(spellings.groupBy(F.col("s").alias("x"), "label").agg(F.struct(F.min("o").alias("least"), F.max("o").alias("last")).alias("o")))
 
 
@@ -199,16 +203,6 @@ def first_names(spellings: DataFrame, near: DataFrame) -> DataFrame:
     return qs.join(best, ["q_x", "q_label"]).select("q", "o", F.explode("ps.p").alias("p")).where("p < o").select("p.x", "q").toDF("p", "q").distinct()
 
 
-def head_names(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (p, q) of a name and the first ones of spellings that come first under one of its own spelling's keys."""
-    spellings, groups = spellings_of(rows)
-    keyed = keyed_names(groups, threshold).select("g", "x", "o", "label")
-    heads = keyed.groupBy("g").agg(F.min(F.struct("o", "label", "x")).alias("head"))
-    pairs = keyed.join(heads, "g").where((F.col("head.o.least") < F.col("o.last")) & (F.col("head.label") < F.col("label")))
-    pairs = pairs.select(F.col("head.x").alias("p_x"), F.col("head.o").alias("p_o"), F.col("x").alias("q_x"), F.col("label").alias("q_label")).distinct()
-    return first_names(spellings, pairs.withColumn("most", most_score()).where(F.col("most") >= threshold - 1e-9))
-
-
 def spelling_heads(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs (p, q) of a name and the first ones of the spellings most like its own, under any key."""
     spellings, groups = spellings_of(rows)
@@ -284,18 +278,42 @@ def near_names(rows: DataFrame) -> DataFrame:
 
 def alike(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose score reaches the threshold."""
-    return written(pairs.repartition("p", "q").where(name_score(F.col("p"), F.col("q")) >= threshold))
+    return written(pairs.repartition(tasks(pairs), "p", "q").where(name_score(F.col("p"), F.col("q")) >= threshold))
+
+
+def kin(name: Column, threshold: float) -> Column:
+    """What names have in common of which any two reach the threshold: length, distinct letters, rank of their place and beginning.
+
+    Names of one length and the same distinct letters score 0.6 and 0.4 of their ratio, which is at least the share of a common
+    beginning, since it counts the longest block. Difflib leaves out frequent letters from 200 letters on: these
+    names are their own kin.
+    """
+    rank = F.call_function("translate", F.right(place(name), F.lit(1)), F.lit(PLACE_ENDINGS), F.lit(PLACE_RANKS))
+    begin = F.floor(F.length(name) * F.greatest(F.lit((threshold - 0.6) / 0.4), F.lit(0.0)) + 1e-6).cast("int") + 1
+    own = F.array_join(F.array_sort(letters(name)), "")
+    return F.struct(F.length(name).alias("n"), F.when(F.length(name).between(1, 199), own).otherwise(name).alias("letters"), rank.alias("rank"), F.substring(name, F.lit(1), begin).alias("begin"))
 
 
 def descended(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels carried along edges (p, q): the least label of a name and of all from which edges lead to it."""
+    """Labels carried along edges (p, q): the least label of a name and of all from which edges lead to it.
+
+    Labels with a column head have it in common with their kin, and edges lead from each name to its later kin.
+    Few labels have labels less than they are and few kin differ in their labels, so what is joined is small.
+    """
+    kept = [c for c in labels.columns if c != "label"]
     while True:
         came = edges.join(labels.select(F.col("x").alias("p"), "label"), "p").groupBy("q").agg(F.min("label").alias("near"))
-        step = labels.join(came, F.col("x") == F.col("q"), "left").select("x", "o", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
-        up = step.select(F.col("x").alias("r"), F.col("label").alias("above"))
-        step = written(step.join(up, F.col("label.x") == F.col("r")).select("x", "o", F.least("label", "above").alias("label"), "old"))
+        above = labels.where("label != o").select(F.col("x").alias("r"), F.col("label").alias("above"))
+        above = above.join(labels.select(F.col("label.x").alias("r")).distinct(), "r", "left_semi")
+        step = labels.join(came, F.col("x") == F.col("q"), "left").join(above, F.col("label.x") == F.col("r"), "left")
+        least = [F.coalesce("near", "label"), F.coalesce("above", "label")]
+        if "head" in kept:
+            own = labels.groupBy("head").agg(F.min(F.struct("label", "o")).alias("least"), F.max("label").alias("most")).where("least.label != most").select(F.col("head").alias("own"), "least")
+            step = step.join(own, F.col("head") == F.col("own"), "left")
+            least.append(F.when(F.col("least.o") < F.col("o"), F.col("least.label")).otherwise(F.col("label")))
+        step = written(step.select(*kept, F.least("label", *least).alias("label"), F.col("label").alias("old")))
         changed = step.where("label != old").limit(1).count()
-        labels = step.select("x", "o", "label")
+        labels = step.drop("old")
         if not changed:
             return labels
 
@@ -310,10 +328,16 @@ def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold:
     """
     firsts = written(df.where(F.col(normal).isNotNull()).groupBy(F.col(normal).alias("x")).agg(F.min(order).alias("first"), F.sort_array(F.collect_set(name)).alias("names")))
     o = F.struct("first", "x")
-    labels = written(firsts.select("x", o.alias("o"), o.alias("label")))
-    edges = alike(near_names(labels), threshold)
-    labels = descended(labels, edges)
-    for tried in (head_names, spelling_heads, candidates):
+    rows = firsts.select("x", o.alias("o"), kin(F.col("x"), threshold).alias("kin"))
+    heads = rows.groupBy("kin").agg(F.min("o").alias("head"))
+    labels = written(rows.join(heads, "kin").select("x", "o", "head", spelled(F.col("x")).alias("s")))
+    tops = labels.where("o = head").select("x", "o", F.col("o").alias("label"), "s")
+    edges = alike(near_names(tops), threshold)
+    tops = descended(tops, edges)
+    edges = edges.union(alike(spelling_heads(tops, threshold), threshold))
+    tops = descended(tops, edges).select(F.col("o").alias("head"), "label")
+    labels = written(labels.join(tops, "head"))
+    for tried in (spelling_heads, candidates):
         while True:
             fresh = alike(tried(labels, threshold), threshold)
             if not fresh.limit(1).count():
@@ -349,7 +373,7 @@ def resolved(names: DataFrame, clusters: DataFrame, normal: Callable[[Column], C
     forms = written(known.groupBy("x").agg(F.min(target).alias("near")))
     other = asked.join(exact, "name", "left_anti").join(forms, "x", "left_anti").select("x").distinct()  # an equal form scores 1
     rows = other.select("x", F.lit(0).alias("o"), F.lit(0).alias("label")).union(forms.select("x", F.lit(1), F.lit(1)))
-    pairs = candidates(rows, threshold).repartition("p", "q").withColumn("score", name_score(F.col("p"), F.col("q"))).where(F.col("score") >= threshold)
+    pairs = candidates(rows, threshold).repartition(tasks(rows), "p", "q").withColumn("score", name_score(F.col("p"), F.col("q"))).where(F.col("score") >= threshold)
     best = pairs.join(forms, F.col("q") == F.col("x")).groupBy(F.col("p").alias("x")).agg(F.min(F.struct((-F.col("score")).alias("less"), "near")).alias("best"))
     found = asked.join(exact, "name", "left").join(forms, "x", "left").join(best, "x", "left")
     taken = F.coalesce("exact", "near", "best.near")

@@ -80,6 +80,17 @@ def test_numbered_names_are_told_apart_by_their_spellings(spark):
     assert set().union(*got.values()) == set(names) and sum(map(len, got.values())) == len(names) and all(len({v[0] for v in vs}) == 1 for vs in got.values())
 
 
+def test_kin_reach_the_threshold(spark):
+    """Any two names of one kin are similar, so that they are linked without a score."""
+    r = random.Random(3)
+    names = {f"{kind}{i:09d}" for kind in ("Customer", "某市客户", "某县客户") for i in r.sample(range(90_000), 300)}
+    names |= {"".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(200)} | {"b" * k + "".join(r.choice("ab") for _ in range(n - k)) for n in (199, 200, 201, 420) for k in (98, 99, 110) for _ in range(3)}
+    rows = spark.createDataFrame([(x,) for x in sorted(names)], "x string").select("x", similarity.kin(F.col("x"), similarity.NAME_THRESHOLD).alias("kin"))
+    pairs = rows.alias("a").join(rows.alias("b"), "kin").where("a.x != b.x").select("a.x", "b.x").collect()
+    assert len(pairs) > 500 and all(score(p, q) >= similarity.NAME_THRESHOLD for p, q in pairs)
+    assert any("县" in p for p, _ in pairs) and rows.select("kin").distinct().count() < len(names) // 2
+
+
 def test_clusters_equal_greedy_merging(spark, scores):
     names = some_names()
     want, rest = {}, list(names)
