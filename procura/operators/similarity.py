@@ -33,8 +33,8 @@ TITLE_THRESHOLD = 0.85
 NAME_THRESHOLD = 0.796
 #: Rows of one key on either side that are paired in one group.
 CHUNK = 200
-#: Spellings whose first names are tried before all names are.
-HEADS = 8
+#: Spellings whose first names are tried before all names are, unless all make so few pairs a name.
+HEADS, PAIRS = 8, 2
 
 
 def title_form(text: str) -> str:
@@ -153,7 +153,7 @@ def ruled(rows: DataFrame) -> DataFrame:
 
 def spelled(name: Column) -> Column:
     """The letters of a name in order, each as often as it stands there."""
-    return F.when(F.length(name) > 0, F.array_join(F.array_sort(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))), "")).otherwise("")
+    return F.when(F.length(name) > 0, F.array_join(F.sort_array(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))), "")).otherwise("")
 
 
 def most_score() -> Column:
@@ -169,9 +169,9 @@ def tasks(df: DataFrame) -> int:
 
 
 def near_spellings(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of spellings (p_x, p_o, p_label, q_x, q_label) of which names may reach the threshold, with the highest score (most), p's label before q's.
+    """Pairs of spellings (p_x, p_o, p_label, q_x, q_o, q_label) of which names may reach the threshold, with the highest score (most), p's label before q's.
 
-    rows has x, label and o, the least and last place of the names of one label that have the spelling x. The
+    rows has x, label and o, the least and last place and number of the names of one label that have the spelling x. The
     bound on a score needs the letters alone, in no order, so names of one spelling and label share it. Rows of a key's most
     frequent label are not brought together with each other. A frequent key is dealt to tasks in chunks of either side.
     """
@@ -187,13 +187,13 @@ def near_spellings(rows: DataFrame, threshold: float) -> DataFrame:
     ps, qs = (df.select(*by, *(F.col(c).alias(f"{side}_{c}") for c in ("x", "o", "label", "own", "keys"))).repartition(tasks(rows), *by) for side, df in (("p", ps), ("q", qs)))
     later = (F.col("p_o.least") < F.col("q_o.last")) & (F.col("p_label") < F.col("q_label"))
     pairs = ps.join(qs, by).where(later).where(most_score() >= threshold - 1e-9).where(F.element_at(F.array_intersect("p_keys", "q_keys"), 1) == F.col("g"))
-    return pairs.select("p_x", "p_o", "p_label", "q_x", "q_label", most_score().alias("most"))
+    return pairs.select("p_x", "p_o", "p_label", "q_x", "q_o", "q_label", most_score().alias("most"))
 
 
 def spellings_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their spelling s, unless they have it, and the spellings of each label (x, label, o) for near_spellings."""
     spellings = rows.where("x != ''").select("x", "o", "label", "s") if "s" in rows.columns else written(rows.where("x != ''").select("x", "o", "label", spelled(F.col("x")).alias("s")))
-    return spellings, written(spellings.groupBy(F.col("s").alias("x"), "label").agg(F.struct(F.min("o").alias("least"), F.max("o").alias("last")).alias("o")))
+    return spellings, written(spellings.groupBy(F.col("s").alias("x"), "label").agg(F.struct(F.min("o").alias("least"), F.max("o").alias("last"), F.count(F.lit(1)).alias("n")).alias("o")))
 
 
 def first_names(spellings: DataFrame, near: DataFrame) -> DataFrame:
@@ -203,12 +203,6 @@ def first_names(spellings: DataFrame, near: DataFrame) -> DataFrame:
     return qs.join(best, ["q_x", "q_label"]).select("q", "o", F.explode("ps.p").alias("p")).where("p < o").select("p.x", "q").toDF("p", "q").distinct()
 
 
-def spelling_heads(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (p, q) of a name and the first ones of the spellings most like its own, under any key."""
-    spellings, groups = spellings_of(rows)
-    return first_names(spellings, near_spellings(groups, threshold))
-
-
 def candidates(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     """Pairs (p, q) that may reach the threshold, p before q by o and by label; none at or above it is left out.
 
@@ -217,7 +211,12 @@ def candidates(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     fewer than names where names differ in their numbers, and then brought to the names of the spellings left.
     """
     spellings, groups = spellings_of(rows)
-    near = written(near_spellings(groups, threshold).select("p_x", "p_label", "q_x", "q_label"))
+    return names_of(rows, spellings, written(near_spellings(groups, threshold)))
+
+
+def names_of(rows: DataFrame, spellings: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (p, q) of all names of near spellings, and those that the naming rules bind."""
+    near = near.select("p_x", "p_label", "q_x", "q_label")
     ps, qs = (spellings.select(F.col("s").alias(f"{c}_x"), F.col("label").alias(f"{c}_label"), F.col("x").alias(c), F.col("o").alias(f"{c}_o")) for c in "pq")
     pairs = near.join(ps, ["p_x", "p_label"]).join(qs, ["q_x", "q_label"]).where("p_o < q_o").select("p", "q")
     both = ruled(rows.select("x"))
@@ -268,14 +267,6 @@ def known_titles(news: DataFrame, stored: DataFrame, threshold: float = TITLE_TH
     return scored.groupBy("title", *own).agg(F.max(F.struct("similarity", "other")).alias("best")).select("title", *own, "best.other", "best.similarity")
 
 
-def near_names(rows: DataFrame) -> DataFrame:
-    """Pairs (p, q) of a name and the first one among those that are the same but for one letter."""
-    less = F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.concat(F.substring("x", F.lit(1), i - 1), F.substring("x", i + 1, F.length("x"))))
-    forms = rows.where(F.length("x") > 1).select("x", "o", F.explode(F.array_distinct(F.concat(less, F.array("x")))).alias("form"))
-    heads = forms.groupBy("form").agg(F.min("o").alias("head"))
-    return forms.join(heads, "form").where(F.col("head") < F.col("o")).select(F.col("head.x").alias("p"), F.col("x").alias("q")).distinct()
-
-
 def alike(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose score reaches the threshold."""
     return written(pairs.repartition(tasks(pairs), "p", "q").where(name_score(F.col("p"), F.col("q")) >= threshold))
@@ -290,7 +281,7 @@ def kin(name: Column, threshold: float) -> Column:
     """
     rank = F.call_function("translate", F.right(place(name), F.lit(1)), F.lit(PLACE_ENDINGS), F.lit(PLACE_RANKS))
     begin = F.floor(F.length(name) * F.greatest(F.lit((threshold - 0.6) / 0.4), F.lit(0.0)) + 1e-6).cast("int") + 1
-    own = F.array_join(F.array_sort(letters(name)), "")
+    own = F.array_join(F.sort_array(letters(name)), "")
     return F.struct(F.length(name).alias("n"), F.when(F.length(name).between(1, 199), own).otherwise(name).alias("letters"), rank.alias("rank"), F.substring(name, F.lit(1), begin).alias("begin"))
 
 
@@ -326,26 +317,31 @@ def cluster_names(df: DataFrame, normal: str, name: str, order: str, threshold:
     lead to it, each from an earlier name to a later one. Pairs are scored only where they could change that, the
     nearest names first, until none is left. Merged clusters have the confidence 1 they start with.
     """
-    firsts = written(df.where(F.col(normal).isNotNull()).groupBy(F.col(normal).alias("x")).agg(F.min(order).alias("first"), F.sort_array(F.collect_set(name)).alias("names")))
-    o = F.struct("first", "x")
-    rows = firsts.select("x", o.alias("o"), kin(F.col("x"), threshold).alias("kin"))
+    firsts = df.where(F.col(normal).isNotNull()).groupBy(F.col(normal).alias("x")).agg(F.min(order).alias("first"), F.sort_array(F.collect_set(name)).alias("names"))
+    firsts = written(firsts.select("*", kin(F.col("x"), threshold).alias("kin"), spelled(F.col("x")).alias("s")))
+    rows = firsts.select("x", F.struct("first", "x").alias("o"), "kin", "s")
     heads = rows.groupBy("kin").agg(F.min("o").alias("head"))
-    labels = written(rows.join(heads, "kin").select("x", "o", "head", spelled(F.col("x")).alias("s")))
+    labels = written(rows.join(heads, "kin").select("x", "o", "head", "s"))
     tops = labels.where("o = head").select("x", "o", F.col("o").alias("label"), "s")
-    edges = alike(near_names(tops), threshold)
-    tops = descended(tops, edges)
-    edges = edges.union(alike(spelling_heads(tops, threshold), threshold))
+    spellings, groups = spellings_of(tops)
+    edges = alike(first_names(spellings, near_spellings(groups, threshold)), threshold)
     tops = descended(tops, edges).select(F.col("o").alias("head"), "label")
     labels = written(labels.join(tops, "head"))
-    for tried in (spelling_heads, candidates):
-        while True:
-            fresh = alike(tried(labels, threshold), threshold)
-            if not fresh.limit(1).count():
-                break
+    few, whole = PAIRS * labels.count(), False
+    while True:
+        spellings, groups = spellings_of(labels)
+        near = written(near_spellings(groups, threshold))
+        whole = whole or (near.agg(F.sum(F.col("p_o.n") * F.col("q_o.n"))).first()[0] or 0) <= few
+        fresh = alike(names_of(labels, spellings, near) if whole else first_names(spellings, near), threshold)
+        found = fresh.limit(1).count()
+        if found:
             edges = edges.union(fresh)
             labels = descended(labels, edges)
+        elif whole:
+            break
+        whole = not found  # all pairs are tried last
     restored = F.exists("names", lambda v: v != F.col("x"))
-    rows = firsts.withColumn("restored", restored).join(labels.select("x", F.col("label.x").alias("cluster")), "x")
+    rows = firsts.select("x", "names", restored.alias("restored")).join(labels.select("x", F.col("label.x").alias("cluster")), "x")
     each = rows.select("cluster", "x", "restored", F.explode(F.array_union(F.array("x"), "names")).alias("v"))
     shortest, longest = F.struct(F.length("v").alias("n"), "v"), F.struct((-F.length("v")).alias("n"), "v")
     complete = F.lit(False)
